@@ -1,0 +1,6 @@
+"""The registered queries over the driver's tables, each with the SQL that checks it."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
