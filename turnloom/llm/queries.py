@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from turnloom.llm import bpe, exact, mixing
+from turnloom.llm import bpe, chat, exact, mixing, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,14 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts hold the template's own control strings."""
+    own = "<|im_end|><|im_start|>assistant ok"
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_chats(chat.events_of_turns(turns.unionByName(extra))))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact dedup of all documents."""
     return exact.exact_dedup(_table(spark, sf_dir, "documents"))
@@ -27,12 +35,21 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every embedding whose id is divisible by 20."""
+    return topk.exact_top_k(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_chat_format": op2_chat_format,
     "op4_exact_dedup": op4_exact_dedup,
     "op9_mix_sources": op9_mix_sources,
+    "op10_exact_top_k": op10_exact_top_k,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_chat_format": chat.SQL,
     "op4_exact_dedup": exact.SQL,
     "op9_mix_sources": mixing.SQL,
+    "op10_exact_top_k": topk.SQL,
 }
