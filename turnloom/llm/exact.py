@@ -81,7 +81,11 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     for more in done[1:]:
         texts = texts.unionByName(more)
     groups = texts.groupBy("level", "name").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("group_size"))
-    return texts.join(groups, ["level", "name"]).select(
+    # groups above the limit are at most HOT_SHARE, so their rows stay where they are
+    hot = F.broadcast(groups.filter(F.col("group_size") > hot_rows))
+    large = texts.join(hot, ["level", "name"])
+    rest = texts.join(hot.select("level", "name"), ["level", "name"], "left_anti").join(groups.filter(F.col("group_size") <= hot_rows), ["level", "name"])
+    return large.unionByName(rest).select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )
 

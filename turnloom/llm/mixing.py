@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from turnloom.llm.common import column, cut
 
 BINS = 4096
+#: Up to so many sources (a row each) are broadcast to the documents' tasks; more are joined by shuffle.
+BROADCAST_SOURCES = 20_000
 PASSES = 3
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -66,23 +68,27 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     rows = df.select(column(df, id_col, "bigint").alias("doc_id"), column(df, source_col, "string").alias("source"), F.coalesce(F.regexp_count(column(df, text_col, "string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     rows = cut(rows)
     sources = cut(source_targets(rows, weights, share, most))
+    few = sources.count() <= BROADCAST_SOURCES
+    per_source = F.broadcast if few else (lambda small: small)
     full = F.col("target") / F.col("source_size")
     sources = sources.withColumn("certain", F.when(F.col("source_size") > 0, F.floor(full)).otherwise(0))
     sources = sources.withColumn("f", F.when(F.col("source_size") > 0, full - F.col("certain")).otherwise(0.0))
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
-    keyed = rows.join(sources.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    keyed = rows.join(per_source(sources.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     keyed = keyed.withColumn("u", u).withColumn("q", F.when(F.col("f") > 0, (F.col("u") / (1 - F.col("u"))) / (F.col("f") / (1 - F.col("f")))))
     keyed = keyed.withColumn("bin", F.least(F.floor(F.col("q") / (1 + F.col("q")) * BINS), F.lit(BINS - 1))).withColumn("more", F.lit(False))
     keyed = cut(keyed.drop("u", "f"))
     for _ in range(PASSES):
         missing = F.first("target") - F.first("certain") * F.first("source_size") - F.sum(F.when(F.col("more"), F.col("size")).otherwise(0))
         gaps = keyed.groupBy("place").agg(missing.alias("gap"))
-        marked = keyed.join(gaps, "place")
+        marked = keyed.join(per_source(gaps), "place")
         can = ~F.col("more") & (F.col("size") > 0) & (F.col("size") <= F.col("gap")) & F.col("q").isNotNull()
         marked = marked.withColumn("can", can)
         edges = _edges(marked.filter("can"), gaps)
-        marked = marked.join(edges, "place", "left")
+        marked = marked.join(per_source(edges), "place", "left")
+        if not few:  # else the window below would take the join's partitions, and with them whole sources
+            marked = cut(marked)
         at_edge = F.col("can") & F.col("edge").isNotNull() & (F.col("bin") == F.col("edge.bin"))
         inside = F.sum("size").over(Window.partitionBy("place").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
         edge = marked.filter(at_edge).withColumn("more", F.col("edge.before") + inside <= F.col("gap"))
