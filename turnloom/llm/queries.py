@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from turnloom.llm import bpe, chat, exact, mixing, topk
+from turnloom.llm import bpe, chat, exact, minhash, mixing, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(chat.events_of_turns(turns.unionByName(extra))))
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents."""
+    return minhash.near_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact dedup of all documents."""
     return exact.exact_dedup(_table(spark, sf_dir, "documents"))
@@ -43,12 +48,14 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_chat_format": op2_chat_format,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_exact_top_k": op10_exact_top_k,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_format": chat.SQL,
+    "op3_minhash_near_dedup": minhash.SQL,
     "op4_exact_dedup": exact.SQL,
     "op9_mix_sources": mixing.SQL,
     "op10_exact_top_k": topk.SQL,
