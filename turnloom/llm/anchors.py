@@ -1,0 +1,157 @@
+"""Which runs of a fixed length repeat in an earlier document, found from a sample of positions.
+
+A run of LENGTH units (words or bytes) is sampled by its minimizer: of the short grams in it the one
+with the smallest hash. Equal runs have their minimizer at the same place, so two equal runs always
+meet at an equal sampled gram, an anchor, and only one position in about w / 2 is one.
+
+1. Anchors are sorted by gram. Those whose gram is in one row only drop out; most do.
+2. The others are sorted by context: the gram with all units that any run sampled by it can hold.
+   Where an earlier document has the same context, all of it repeats. What is left of an anchor is
+   the first document of each context.
+3. Only where an anchor has several contexts, which is at the ends of repeated passages, the runs
+   that it samples are sorted themselves, and those that an earlier document has are found.
+
+Grams, contexts and runs are compared by 64, 128 and 128 bits of hash. Nothing but rows of fixed size
+is shuffled, and texts only of documents that have a shared anchor.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from turnloom.llm.common import Texts, column, cut, mix, slices, span_hashes
+
+LENGTH = 50
+#: Null ids count as larger than any id.
+LAST = 2**63 - 1
+
+Units = Callable[[Texts], tuple[np.ndarray, np.ndarray]]
+
+
+def minimizers(values: np.ndarray, first: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For runs of LENGTH units that lie within one text: their starts, the places of their minimizers
+    (leftmost where equal), and the hashes of all grams."""
+    n, w = len(values), LENGTH - gram + 1
+    if n < LENGTH:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    at = np.arange(n - gram + 1, dtype=np.int64)
+    grams = span_hashes(values, at, at + gram)
+    low = grams >> np.uint64(32) << np.uint64(32) | at.astype(np.uint64)
+    span = 1
+    while 2 * span <= w:
+        low = np.minimum(low[:-span], low[span:])
+        span *= 2
+    if span < w:
+        low = np.minimum(low[: len(low) - (w - span)], low[w - span :])
+    end = np.repeat(first[1:], np.diff(first))[: n - LENGTH + 1]
+    starts = np.flatnonzero(np.arange(n - LENGTH + 1) + LENGTH <= end)
+    return starts, (low[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64), grams
+
+
+def _anchors(units: Units, gram: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches):
+            values, first = units(texts)
+            starts, places, grams = minimizers(values, first, gram)
+            if not len(places):
+                continue
+            places = places[np.concatenate([[True], places[1:] != places[:-1]])]
+            text = np.searchsorted(first, places, "right") - 1
+            yield pa.RecordBatch.from_pydict({"gram": pa.array(grams[places].view(np.int64)), "row": part.column("row").take(pa.array(text)), "place": pa.array((places - first[text]).astype(np.int32))})
+
+    return run
+
+
+def _places(part: pa.RecordBatch, name: str, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places listed for each text, in order, among all units, and their texts."""
+    lists = part.column(name)
+    counts = lists.value_lengths().fill_null(0).to_numpy()
+    text = np.repeat(np.arange(len(counts)), counts)
+    places = lists.flatten().to_numpy().astype(np.int64) + first[text]
+    order = np.argsort(places, kind="stable")
+    return places[order], text[order]
+
+
+def _contexts(units: Units, gram: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches):
+            values, first = units(texts)
+            places, text = _places(part, "places", first)
+            if not len(places):
+                continue
+            left = np.minimum(LENGTH - gram, places - first[text])
+            start, end = places - left, np.minimum(places + LENGTH, first[text + 1])
+            other = mix(values ^ np.uint64(0x5851F42D4C957F2D))
+            yield pa.RecordBatch.from_pydict({
+                "gram": pa.array(span_hashes(values, places, places + gram).view(np.int64)),
+                "one": pa.array((span_hashes(values, start, end) ^ mix(left.astype(np.uint64) + np.uint64(1))).view(np.int64)), "two": pa.array(span_hashes(other, start, end).view(np.int64)),
+                "ord": part.column("ord").take(pa.array(text)), "row": part.column("row").take(pa.array(text)), "place": pa.array((places - first[text]).astype(np.int32)),
+            })
+
+    return run
+
+
+def _runs(units: Units, gram: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches):
+            values, first = units(texts)
+            wanted, _ = _places(part, "places", first)
+            starts, places, _ = minimizers(values, first, gram)
+            if not len(wanted) or not len(starts):
+                continue
+            at = np.minimum(np.searchsorted(wanted, places), len(wanted) - 1)
+            starts = starts[wanted[at] == places]
+            text = np.searchsorted(first, starts, "right") - 1
+            other = mix(values ^ np.uint64(0x5851F42D4C957F2D))
+            yield pa.RecordBatch.from_pydict({
+                "one": pa.array(span_hashes(values, starts, starts + LENGTH).view(np.int64)), "two": pa.array(span_hashes(other, starts, starts + LENGTH).view(np.int64)),
+                "ord": part.column("ord").take(pa.array(text)), "row": part.column("row").take(pa.array(text)), "start": pa.array((starts - first[text]).astype(np.int32)),
+            })
+
+    return run
+
+
+def numbered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``row, doc_id, ord, text`` of df, which must give the same rows in the same order whenever it is
+    read, as tables do."""
+    doc_id = column(df, id_col, "bigint")
+    return df.select(F.monotonically_increasing_id().alias("row"), doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(LAST)).alias("ord"), F.coalesce(column(df, text_col, "string"), F.lit("")).alias("text"))
+
+
+def repeated(rows: DataFrame, units: Units, gram: int) -> DataFrame:
+    """Rows (row, doc_id, ord, text) that hold a run which also starts in a row of smaller ord, with
+    ``whole`` (anchors whose whole context repeats) and ``starts`` (single runs that do)."""
+    anchors = rows.select("row", "text").mapInArrow(_anchors(units, gram), "gram long, row long, place int")
+    same = Window.partitionBy("gram")
+    shared = anchors.withColumn("low", F.min("row").over(same)).withColumn("high", F.max("row").over(same)).filter("low < high")
+    lists = cut(shared.groupBy("row").agg(F.collect_list("place").alias("places")))
+    texts = cut(rows.join(lists, "row"))
+    contexts = texts.select("row", "ord", "text", "places").mapInArrow(_contexts(units, gram), "gram long, one long, two long, ord long, row long, place int")
+    inside = Window.partitionBy("gram", "one", "two")
+    contexts = contexts.withColumn("several", F.min("one").over(same) != F.max("one").over(same)).withColumn("low", F.min("ord").over(inside))
+    found = cut(contexts.select("row", "place", (F.col("ord") > F.col("low")).alias("repeats"), "several").filter("repeats or several"))
+    whole = found.filter("repeats").groupBy("row").agg(F.collect_list("place").alias("whole"))
+    edges = found.filter("not repeats").groupBy("row").agg(F.collect_list("place").alias("places"))
+    runs = texts.select("row", "ord", "text").join(edges, "row").mapInArrow(_runs(units, gram), "one long, two long, ord long, row long, start int")
+    runs = runs.withColumn("low", F.min("ord").over(Window.partitionBy("one", "two"))).filter("ord > low")
+    starts = runs.groupBy("row").agg(F.collect_list("start").alias("starts"))
+    both = cut(whole.join(starts, "row", "full"))
+    return texts.drop("places").join(both, "row")
+
+
+def removed(part: pa.RecordBatch, first: np.ndarray, gram: int) -> np.ndarray:
+    """Of all units of the part's texts, which ones repeated runs cover."""
+    total = int(first[-1])
+    depth = np.zeros(total + 1, np.int32)
+    places, text = _places(part, "whole", first)
+    np.add.at(depth, np.maximum(places - (LENGTH - gram), first[text]), 1)
+    np.add.at(depth, np.minimum(places + LENGTH, first[text + 1]), -1)
+    starts, _ = _places(part, "starts", first)
+    np.add.at(depth, starts, 1)
+    np.add.at(depth, starts + LENGTH, -1)
+    return np.cumsum(depth[:-1]) > 0
