@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from turnloom.llm import bpe, chat, exact, minhash, mixing, topk
+from turnloom.llm import bpe, chat, exact, minhash, mixing, rlz, suffix, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,16 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op7_rlz_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of 50 words that repeat across documents."""
+    return rlz.substring_dedup(_table(spark, sf_dir, "documents"))
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of 50 bytes that repeat across documents."""
+    return suffix.suffix_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents at 150% of their words, weights 3, 1, 2."""
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -50,6 +60,8 @@ QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op7_rlz_substring_dedup": op7_rlz_substring_dedup,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_exact_top_k": op10_exact_top_k,
 }
@@ -57,6 +69,8 @@ ORACLE_SQL: dict[str, str] = {
     "op2_chat_format": chat.SQL,
     "op3_minhash_near_dedup": minhash.SQL,
     "op4_exact_dedup": exact.SQL,
+    "op7_rlz_substring_dedup": rlz.SQL,
+    "op8_suffix_dedup": suffix.SQL,
     "op9_mix_sources": mixing.SQL,
     "op10_exact_top_k": topk.SQL,
 }
