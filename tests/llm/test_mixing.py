@@ -10,7 +10,7 @@ SCHEMA = "doc_id long, text string, source string, size long, place int"
 
 def run(spark, rows, **more):
     df = spark.createDataFrame([(i, t, s, 1, 1) for i, t, s in rows], SCHEMA)
-    return sorted((tuple(r) for r in mixing.mix_sources(df, **more).collect()), key=str)
+    return sorted((tuple(r) for r in mixing.mix_sources(df, **more).drop("row").collect()), key=str)
 
 
 def targets(sizes, weights, share, most):

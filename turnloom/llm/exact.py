@@ -49,7 +49,8 @@ def name_values(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4096) -> DataFrame:
-    """One row per row of df: ``doc_id, keep_id, group_size, kept, text_sha256``.
+    """One row per row of df: ``doc_id, keep_id, group_size, kept, text_sha256``, and ``row``, the
+    row's monotonically increasing id.
 
     Texts are equal when identical without any change; null counts as the empty text. Of equal texts
     the row with the largest id stays (null ids count as smallest); where that id itself repeats, one
@@ -86,7 +87,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     large = texts.join(hot, ["level", "name"])
     rest = texts.join(hot.select("level", "name"), ["level", "name"], "left_anti").join(groups.filter(F.col("group_size") <= hot_rows), ["level", "name"])
     return large.unionByName(rest).select(
-        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
+        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "row"
     )
 
 

@@ -192,15 +192,15 @@ def predict(df: DataFrame, model: Model | None, keep: list[str], text_col: str =
     """Columns ``keep`` of df with ``lang_pred`` and ``score``.
 
     Texts that are null, empty or without any letter get ``und`` and score 0, as do all without a model
-    (nothing to learn from). keep must not name a column ``_text``, ``lang_pred`` or ``score``.
+    (nothing to learn from). keep must not name a column ``lang_pred`` or ``score``.
     """
-    rows = df.select(*(F.col(f"`{c}`") for c in keep), F.coalesce(column(df, text_col, "string"), F.lit("")).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_text")
+    rows = df.select(*(F.col(f"`{c}`") for c in keep), *([] if text_col in keep else [column(df, text_col, "string").alias(text_col)]))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keep)
     known = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = known.value
-        for part, texts in slices(batches, "_text"):
+        for part, texts in slices(batches, text_col):
             langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
             some = np.flatnonzero(_has_letter(texts.data, texts.offsets)) if model else []
             if len(some):

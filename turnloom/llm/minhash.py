@@ -127,14 +127,16 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of df: ``doc_id, n_shingles, component_id, kept``.
+    """One row per row of df: ``doc_id, n_shingles, component_id, kept``, and ``row``, the row's
+    monotonically increasing id.
 
     Words are runs of bytes other than space, tab, line feed, vertical tab, form feed and carriage
     return, with A-Z lower-cased. A text of fewer than five words has its whole sequence as its one
     shingle; null, empty and wordless texts have none and are linked with nothing. component_id is the
     smallest id that can be reached by links (null ids count as largest); kept is true for one row of
     a component, the first with that id. Rows with equal ids are separate rows. Other columns are
-    ignored, whatever their names. An empty table gives an empty result.
+    ignored, whatever their names. An empty table gives an empty result. df is read several times and
+    must give the same rows in the same order each time, as tables do.
     """
     rows = df.select(F.monotonically_increasing_id().alias("row"), column(df, id_col, "bigint").alias("doc_id"), column(df, text_col, "string").alias("text"))
     features = cut(rows.mapInArrow(_features, FEATURES))
@@ -162,7 +164,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     alone = features.filter("n_shingles = 0").select("row", "doc_id", "n_shingles", F.col("row").alias("component"))
     placed = cut(placed.unionByName(alone))
     best = placed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"))
-    return placed.join(best, "component").select("doc_id", "n_shingles", F.col("best.doc_id").alias("component_id"), (F.col("row") == F.col("best.row")).alias("kept"))
+    return placed.join(best, "component").select("doc_id", "n_shingles", F.col("best.doc_id").alias("component_id"), (F.col("row") == F.col("best.row")).alias("kept"), "row")
 
 
 def _rest(members: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFrame:

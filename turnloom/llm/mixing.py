@@ -56,7 +56,8 @@ def _edges(open_rows: DataFrame, gaps: DataFrame) -> DataFrame:
 
 
 def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: str = "mix") -> DataFrame:
-    """One row per row of df: ``doc_id, source, size, source_size, target, copies, taken``.
+    """One row per row of df: ``doc_id, source, size, source_size, target, copies, taken``, and ``row``,
+    the row's monotonically increasing id.
 
     size: words of the text, null and empty texts have 0. copies: how often the mix takes the row (0
     to most), taken: copies * size. The words taken of a source never exceed its target, and miss it
@@ -65,7 +66,7 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     with equal ids each count by themselves. Null is a source of its own. Other columns are ignored.
     An empty table gives an empty result.
     """
-    rows = df.select(column(df, id_col, "bigint").alias("doc_id"), column(df, source_col, "string").alias("source"), F.coalesce(F.regexp_count(column(df, text_col, "string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    rows = df.select(column(df, id_col, "bigint").alias("doc_id"), column(df, source_col, "string").alias("source"), F.coalesce(F.regexp_count(column(df, text_col, "string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.monotonically_increasing_id().alias("row"))
     rows = cut(rows)
     sources = cut(source_targets(rows, weights, share, most))
     few = sources.count() <= BROADCAST_SOURCES
@@ -96,7 +97,7 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         others = marked.filter(~at_edge).withColumn("more", taken)
         keyed = cut(edge.unionByName(others).select(*keyed.columns))
     copies = F.col("certain") + F.col("more").cast("int")
-    return keyed.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return keyed.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "row")
 
 
 _PASS = """

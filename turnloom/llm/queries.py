@@ -27,12 +27,12 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
-    return minhash.near_dedup(_table(spark, sf_dir, "documents"))
+    return minhash.near_dedup(_table(spark, sf_dir, "documents")).drop("row")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact dedup of all documents."""
-    return exact.exact_dedup(_table(spark, sf_dir, "documents"))
+    return exact.exact_dedup(_table(spark, sf_dir, "documents")).drop("row")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
