@@ -10,7 +10,7 @@ come near the threshold are confirmed on the full sets.
 Groups of copies make neither all their pairs nor one large task. Documents with the same set count
 as one. A band's bucket first links its members to one of them, drawn by hash and so another one in
 every band. Confirmed links are contracted to components; then only members of a bucket that are
-still in different components are compared, on packed bits, within a join that AQE can split.
+still in different components are compared, a few by a join and many in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import Texts, column, cut, long_lists, mix, slices, span_hashes
+from turnloom.llm.common import Texts, column, cut, long_lists, mix, ragged, slices, span_hashes
 from turnloom.llm.components import components
 
 WORDS = 5
@@ -32,10 +32,15 @@ MINIMA = BANDS * PER_BAND
 THRESHOLD = 75
 #: Pairs with an estimate below this are not confirmed: over four standard deviations under 0.75.
 LEAST_ESTIMATE = 0.58
+#: So many other minima, of members of buckets only, tell the pairs apart that the first links leave; an
+#: estimate from them below LEAST_FINE is again over four standard deviations under 0.75.
+FINE, LEAST_FINE = 512, 0.66
+#: Buckets with more members than LARGE are compared in blocks of about TILE.
+LARGE, TILE = 64, 512
 
 _random = np.random.Generator(np.random.PCG64(20240611))
-_FLIP = _random.integers(0, 2**64, MINIMA, np.uint64)
-_TIMES = _random.integers(0, 2**64, MINIMA, np.uint64) | np.uint64(1)
+_FLIP = _random.integers(0, 2**64, MINIMA + FINE, np.uint64)
+_TIMES = _random.integers(0, 2**64, MINIMA + FINE, np.uint64) | np.uint64(1)
 
 FEATURES = "row long, doc_id long, n_shingles long, key1 long, key2 long, bands array<long>, bits array<long>"
 
@@ -62,6 +67,18 @@ def shingle_sets(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(found) if found else np.zeros(0, np.uint64)), np.array(ends)
 
 
+def _minimum(sets: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """The k-th minimum of each set that starts at one of the places."""
+    return np.minimum.reduceat((sets ^ _FLIP[k]) * _TIMES[k], at)
+
+
+def _pack(bits: np.ndarray, k: int, least: np.ndarray) -> None:
+    """Puts the low bits of the k-th minima into the packed signatures."""
+    each = 64 // BITS
+    # the low bits of a product see little of the hash, so the minimum is scrambled first
+    bits[:, k // each] |= (mix(least) & np.uint64((1 << BITS) - 1)) << np.uint64(k % each * BITS)
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, texts in slices(batches):
         sets, ends = shingle_sets(texts)
@@ -72,12 +89,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, bits = np.zeros((len(some), BANDS), np.uint64), np.zeros((len(some), MINIMA * BITS // 64), np.uint64)
         if len(some):
             key1[some], key2[some] = np.add.reduceat(mix(sets), at), np.add.reduceat(mix(sets ^ _FLIP[0]), at)
-            each = 64 // BITS
             for k in range(MINIMA):
-                least = np.minimum.reduceat((sets ^ _FLIP[k]) * _TIMES[k], at)
+                least = _minimum(sets, at, k)
                 bands[:, k // PER_BAND] = mix(bands[:, k // PER_BAND] ^ mix(least + np.uint64(k)))
-                # the low bits of a product see little of the hash, so the minimum is scrambled first
-                bits[:, k // each] |= (mix(least) & np.uint64((1 << BITS) - 1)) << np.uint64(k % each * BITS)
+                _pack(bits, k, least)
         lists = lambda x: long_lists(x.ravel(), np.concatenate([[0], np.cumsum((counts > 0) * x.shape[1])]))  # noqa: E731, B023
         yield pa.RecordBatch.from_pydict({
             "row": part.column("row"), "doc_id": part.column("doc_id"), "n_shingles": pa.array(counts.astype(np.int64)),
@@ -88,14 +103,17 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, texts in slices(batches):
         sets, ends = shingle_sets(texts)
-        yield pa.RecordBatch.from_pydict({"node": part.column("node"), "set": long_lists(sets, ends)})
+        fine = np.zeros((len(texts), FINE * BITS // 64), np.uint64)
+        for k in range(FINE):  # members of buckets all have shingles
+            _pack(fine, k, _minimum(sets, ends[:-1], MINIMA + k))
+        yield pa.RecordBatch.from_pydict({"node": part.column("node"), "set": long_lists(sets, ends), "fine": long_lists(fine.ravel(), np.arange(len(texts) + 1) * fine.shape[1])})
 
 
-def estimate(left: str, right: str) -> Column:
+def estimate(left: str, right: str, minima: int = MINIMA) -> Column:
     """The similarity that packed bits tell: equal groups counted, less what is equal by chance."""
     ones = sum(1 << k for k in range(0, 64, BITS))
     different: Column = F.lit(0)
-    for k in range(MINIMA * BITS // 64):
+    for k in range(minima * BITS // 64):
         x = F.col(left)[k].bitwiseXOR(F.col(right)[k])
         shift = 1
         while shift < BITS:
@@ -103,7 +121,7 @@ def estimate(left: str, right: str) -> Column:
             shift *= 2
         different = different + F.bit_count(x.bitwiseAND(F.lit(ones).cast("long")))
     chance = 1 / (1 << BITS)
-    return ((1 - different / F.lit(float(MINIMA))) - chance) / (1 - chance)
+    return ((1 - different / F.lit(float(minima))) - chance) / (1 - chance)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -148,16 +166,16 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spread = first.select("node", "bits", F.posexplode("bands").alias("band", "bucket"))
     drawn = F.struct(F.xxhash64("node", "band").alias("draw"), F.col("node"))
     buckets = spread.select("node", "band", "bucket").groupBy("bucket").agg(F.count("*").alias("n"), F.min(drawn)["node"].alias("pivot")).filter("n > 1")
-    members = cut(spread.select("node", "bucket", "bits").join(buckets, "bucket"))
+    members = cut(spread.select("node", "band", "bucket", "bits").join(buckets, "bucket"))
     inside = cut(members.select("node").distinct())
-    sets = cut(rows.withColumnRenamed("row", "node").join(inside, "node", "left_semi").select("node", "text").mapInArrow(_sets, "node long, set array<long>"))
+    sets = cut(rows.withColumnRenamed("row", "node").join(inside, "node", "left_semi").select("node", "text").mapInArrow(_sets, "node long, set array<long>, fine array<long>"))
     bits = members.select("node", "bits").dropDuplicates(["node"])
     pairs = members.filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     pairs = pairs.join(bits.select(F.col("node").alias("a"), F.col("bits").alias("bits_a")), "a").join(bits.select(F.col("node").alias("b"), F.col("bits").alias("bits_b")), "b")
     pairs = pairs.filter(estimate("bits_a", "bits_b") >= LEAST_ESTIMATE).select("a", "b")
     links = cut(_confirmed(pairs, sets))
     parts = cut(components(links))
-    links = links.unionByName(_rest(members, parts, sets))
+    links = links.unionByName(_rest(members, parts, sets, first.select("node", "bands")))
     parts = components(links)
     placed = some.join(nodes, key).select("row", "doc_id", "n_shingles", "node").join(parts, "node", "left")
     placed = placed.withColumn("component", F.coalesce("component", "node")).select("row", "doc_id", "n_shingles", "component")
@@ -167,18 +185,70 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return placed.join(best, "component").select("doc_id", "n_shingles", F.col("best.doc_id").alias("component_id"), (F.col("row") == F.col("best.row")).alias("kept"), "row")
 
 
-def _rest(members: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between members of a bucket that the first links leave in different components."""
-    now = members.filter("n > 2").join(parts, "node", "left").select("bucket", "node", "pivot", "bits", F.coalesce("component", "node").alias("part"))
-    now = cut(now)
+def _tile(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Links between two blocks of one bucket: for each row on the left, one to each other component on
+    the right that it is linked with."""
+    links: list[tuple[int, int]] = []
+    if left.num_rows and right.num_rows:
+        square = lambda t, name: t.column(name).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(t.num_rows, -1)
+        node_a, node_b = left.column("node").to_numpy(), right.column("node").to_numpy()
+        part_a, part_b, minor_b = left.column("part").to_numpy(), right.column("part").to_numpy(), right.column("minor").to_numpy()
+        bands_a, bands_b, fine_a, fine_b = square(left, "bands"), square(right, "bands"), square(left, "fine"), square(right, "fine")
+        band = int(left.column("band")[0].as_py())
+        sets_a, sets_b = left.column("set").combine_chunks(), right.column("set").combine_chunks()
+        flat, ends = sets_b.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(sets_b.value_lengths().to_numpy())])
+        ones = np.uint64(sum(1 << k for k in range(0, 64, BITS)))
+        for i in range(len(node_a)):
+            # a pair meets in every band that it shares; the first of them decides it
+            other = np.flatnonzero((part_b != part_a[i]) & (~minor_b | (node_a[i] < node_b)))
+            other = other[~(bands_b[other, :band] == bands_a[i, :band]).any(1)]
+            x = fine_b[other] ^ fine_a[i]
+            x |= x >> np.uint64(1)
+            x |= x >> np.uint64(2)
+            equal = 1 - np.bitwise_count(x & ones).sum(1) / FINE
+            other = other[(equal - 1 / (1 << BITS)) / (1 - 1 / (1 << BITS)) >= LEAST_FINE]
+            if not len(other):
+                continue
+            own, sizes = sets_a[i].values.to_numpy().view(np.uint64), ends[other + 1] - ends[other]
+            values = flat[ragged(ends[other], sizes)]
+            at = np.minimum(np.searchsorted(own, values), len(own) - 1)
+            shared = np.add.reduceat((own[at] == values).astype(np.int64), np.cumsum(sizes) - sizes)
+            linked = other[100 * shared >= THRESHOLD * (len(own) + sizes - shared)]
+            _, one = np.unique(part_b[linked], return_index=True)
+            links += [(int(node_a[i]), int(node_b[j])) for j in linked[one]]
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+
+def _rest(members: DataFrame, parts: DataFrame, sets: DataFrame, bands: DataFrame) -> DataFrame:
+    """Links between members of a bucket that the first links leave in different components.
+
+    The members outside a bucket's main component are held against all of it. Small buckets do so by a
+    join. Large ones are cut into blocks, and a task compares two blocks: it makes a row for a link, and
+    none for the pairs that it looks at.
+    """
+    now = members.filter("n > 2").join(parts, "node", "left").select("bucket", "band", "node", "n", "pivot", "bits", F.coalesce("component", "node").alias("part"))
     sizes = now.groupBy("bucket", "part").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "part"))["part"].alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    now = now.join(main.select("bucket", "main"), "bucket").withColumn("minor", F.col("part") != F.col("main"))
-    left = now.filter("minor").select("bucket", F.col("node").alias("a"), F.col("part").alias("part_a"), F.col("bits").alias("bits_a"), F.col("pivot").alias("pivot"))
-    right = now.select("bucket", F.col("node").alias("b"), F.col("part").alias("part_b"), F.col("bits").alias("bits_b"), F.col("minor").alias("minor_b"))
-    new = (F.col("part_a") != F.col("part_b")) & (~F.col("minor_b") | (F.col("a") < F.col("b"))) & (F.col("a") != F.col("pivot")) & (F.col("b") != F.col("pivot"))
-    pairs = left.join(right, "bucket").filter(new & (estimate("bits_a", "bits_b") >= LEAST_ESTIMATE))
-    return _confirmed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets)
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
+    main = main.select("bucket", F.col("main.part").alias("main"), (F.col("n") - F.col("main.n")).alias("n_minor"))
+    now = cut(now.join(main, "bucket").withColumn("minor", F.col("part") != F.col("main")))
+
+    fields = ("part", "bits", "minor")
+    side = lambda df, to: df.select("bucket", F.col("node").alias(to), *(F.col(c).alias(f"{c}_{to}") for c in fields))
+    small = now.filter((F.col("n") <= LARGE) & (F.col("node") != F.col("pivot")))
+    new = (F.col("part_a") != F.col("part_b")) & (~F.col("minor_b") | (F.col("a") < F.col("b")))
+    pairs = side(small.filter("minor"), "a").join(side(small, "b"), "bucket").filter(new & (estimate("bits_a", "bits_b") >= LEAST_ESTIMATE))
+    few = _confirmed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets)
+
+    large = now.filter(F.col("n") > LARGE).join(sets, "node").join(bands, "node")
+    blocks = lambda n: F.ceil(F.col(n) / F.lit(TILE)).cast("int")
+    dealt = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    given = ["node", "part", "minor", "band", "bands", "set", "fine"]
+    left = large.filter("minor").select("bucket", dealt("n_minor").alias("x"), each("n").alias("y"), *given)
+    right = large.select(F.col("bucket").alias("bucket"), each("n_minor").alias("x"), dealt("n").alias("y"), *(F.col(c).alias(c) for c in given))
+    key = ["bucket", "x", "y"]
+    many = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_tile, "a long, b long")
+    return few.unionByName(many)
 
 
 SQL = r"""
