@@ -1,6 +1,481 @@
-"""The registered queries over the driver's tables, each with the SQL that checks it."""
+"""The registered queries over the driver's tables, each with the SQL that checks it.
+
+The tables hold no share links and no provider markup, so queries derive what they need from ids, the
+same way in Spark and in SQL: links and markers by an id modulo a number, repeats by a union with later
+positions, pages of a provider from conversation texts.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from turnloom.functions import rules, text
+from turnloom.functions.sanitize import sanitize_html
+from turnloom.operators import admission, guides, messages, providers, render
+from turnloom.plans import pages as share
+from turnloom.plans import streams
+from turnloom.sources.tables import read_table as table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLE_SQL[function.__name__] = sql
+        return function
+
+    return register
+
+
+# -- SQL forms of the text functions ---------------------------------------------------------------
+
+
+def c_(x: str) -> str:
+    return f"trim(regexp_replace(coalesce({x}, ''), '[{rules.SPACE_CLASS_SQL}]+', ' ', 'g'), ' ')"
+
+
+def key_(x: str) -> str:
+    zero = r"[\x{200B}-\x{200D}\x{FEFF}]"
+    return f"lower({c_(f'''regexp_replace(coalesce({x}, ''), '{zero}', '', 'g')''')})"
+
+
+def role_(x: str) -> str:
+    letters = f"regexp_replace(lower({x}), '[^a-z]', '', 'g')"
+    return f"CASE WHEN regexp_matches({letters}, '{'|'.join(rules.USER_WORDS)}') THEN 'user' WHEN regexp_matches({letters}, '{'|'.join(rules.ASSISTANT_WORDS)}') THEN 'assistant' ELSE '' END"
+
+
+def escape_(x: str) -> str:
+    return f"replace(replace(replace(replace(replace(coalesce({x}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
+
+
+def strip_title_(x: str) -> str:
+    s = rules.SPACE_CLASS_SQL
+    cut = f"regexp_replace(coalesce({x}, ''), '(?i)[{s}]*\\|[{s}]*(Shared )?(ChatGPT|Claude|Gemini|Grok|Qwen).*$', '')"
+    return f"regexp_replace(regexp_replace({cut}, '(?i)^Check out this chat$', ''), '^[{s}]+|[{s}]+$', '', 'g')"
+
+
+def md5(x: Column | str) -> Column:
+    return F.md5(x)
+
+
+def pick(number: Column, values: list[str | None]) -> Column:
+    found = F.lit(values[-1])
+    for i, v in enumerate(values[:-1]):
+        found = F.when(number == i, v).otherwise(found)
+    return found
+
+
+def pick_(number: str, values: list[str | None]) -> str:
+    lit = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'"
+    return "CASE " + " ".join(f"WHEN {number} = {i} THEN {lit(v)}" for i, v in enumerate(values[:-1])) + f" ELSE {lit(values[-1])} END"
+
+
+# -- text functions ----------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, md5({c_('text')}) AS body, length({c_('text')}) AS n FROM documents")
+def text_collapse(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", md5(text.collapse("text")).alias("body"), F.length(text.collapse("text")).cast("long").alias("n"))
+
+
+@query(f"SELECT doc_id, md5({key_('text')}) AS key FROM documents")
+def dedupe_key(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", md5(text.dedupe_key("text")).alias("key"))
+
+
+@query(f"SELECT min(doc_id) AS doc_id, md5({key_('text')}) AS key FROM documents GROUP BY md5({key_('text')})")
+def dedupe_first(spark, sf_dir):
+    keyed = table(spark, sf_dir, "documents").select("doc_id", md5(text.dedupe_key("text")).alias("key"))
+    return messages.first_wins(keyed, ["key"], ["doc_id"])
+
+
+ROLES = ["AI_Model", "system", "assistant-user", "focus errand", "Bot 1", "", None]
+
+
+@query(f"WITH r AS (SELECT conv_id, turn, coalesce({pick_('(conv_id + turn) % 9', ROLES + ['x'])}, role) AS given, role FROM conversations) SELECT conv_id, turn, {role_('given')} AS kind, {role_('role')} AS own FROM r")
+def role_normalize(spark, sf_dir):
+    given = F.coalesce(pick((F.col("conv_id") + F.col("turn")) % 9, ROLES + ["x"]), F.col("role"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.normalize_role(given).alias("kind"), text.normalize_role("role").alias("own"))
+
+
+@query(f"SELECT page_id, md5({escape_('html')}) AS body FROM pages")
+def escape_html(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", md5(text.escape_html("html")).alias("body"))
+
+
+@query("SELECT page_id, md5(regexp_replace(html, '<[^>]+>', ' ', 'g')) AS spaced, md5(regexp_replace(html, '<[^>]+>', '', 'g')) AS joined, md5(replace(html, '<', '&lt;')) AS title, md5(replace(html, '\"', '&quot;')) AS attribute FROM pages")
+def strip_tags(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", md5(text.strip_tags("html")).alias("spaced"), md5(text.strip_tags("html", "")).alias("joined"), md5(text.escape_title("html")).alias("title"), md5(text.escape_attribute("html")).alias("attribute"))
+
+
+TITLES = ["Plan | Shared ChatGPT x", "Check out this chat", " One | Two ", "A|grok", "", None, "check OUT this chat", "Long title | Claude | Qwen"]
+
+
+@query(f"SELECT page_id, {strip_title_('t')} AS title FROM (SELECT page_id, {pick_('page_id % 8', TITLES)} AS t FROM pages)")
+def title_strip(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.strip_title(pick(F.col("page_id") % 8, TITLES)).alias("title"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'May 5, 2025' ELSE strftime(DATE '2024-02-29', '%A, %B %-d, %Y') END AS label FROM pages")
+def date_label(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.date_label(pick(F.col("page_id") % 3, [" May 5,\n2025 ", " \t", None]), "2024-02-29").alias("label"))
+
+
+PHRASES = ["Sign in now", "signing in", "privacy policy", " New  chat about", "Designed for mobile devices", "report", ""]
+
+
+def _prefix_sql(x: str, phrases) -> str:
+    v = f"lower({c_(x)})"
+    return f"({v} = '' OR " + " OR ".join(f"{v} = '{p}' OR starts_with({v}, '{p} ')" for p in phrases) + ")"
+
+
+@query(f"WITH d AS (SELECT doc_id, coalesce({pick_('doc_id % 8', PHRASES + [None])}, text) AS v FROM documents) SELECT doc_id, {_prefix_sql('v', rules.NOISE_PREFIXES)} AS common, {_prefix_sql('v', rules.NOISE_PREFIXES + rules.NOISE_PREFIXES_QWEN)} AS qwen FROM d")
+def noise_exact_prefix(spark, sf_dir):
+    value = F.coalesce(pick(F.col("doc_id") % 8, PHRASES + [None]), F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.noise_prefix(value).alias("common"), text.noise_prefix(value, qwen=True).alias("qwen"))
+
+
+def _part_sql(x: str, provider: str) -> str:
+    v = f"lower({c_(x)})"
+    return f"({v} = '' OR " + " OR ".join(f"contains({v}, '{p}')" for p in rules.NOISE_PARTS[provider]) + ")"
+
+
+PARTS = ["A reporter", "Claude can make  mistakes", "Terms of Use", "we Sign in", "Open in CLAUDE", ""]
+
+
+@query(f"WITH d AS (SELECT doc_id, {pick_('doc_id % 7', PARTS + [''])} || ' ' || text AS v FROM documents) SELECT doc_id, " + ", ".join(f"{_part_sql('v', p)} AS {p}" for p in rules.NOISE_PARTS) + " FROM d")
+def noise_contains(spark, sf_dir):
+    value = F.concat(pick(F.col("doc_id") % 7, PARTS + [""]), F.lit(" "), F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", *(text.noise_part(value, p).alias(p) for p in rules.NOISE_PARTS))
+
+
+@query(f"SELECT conv_id, turn, length(coalesce(s, '')) <= 16 AND NOT regexp_matches(s, '[\\n\\r]') AS small FROM (SELECT conv_id, turn, left(text, (1 + turn * 6)::INT) AS s FROM conversations)")
+def small_bubble(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.small_bubble(F.substring(F.col("text"), F.lit(1), (1 + F.col("turn") * 6).cast("int"))).alias("small"))
+
+
+# -- routing -----------------------------------------------------------------------------------------
+
+LINKS = [
+    "https://claude.ai/share/abc", "https://GROK.com/share/x/", "https://gemini.google.com:8443/share/x", "https://chat.qwen.ai/s/x_1-y",
+    "https://chat.qwen.ai/share/x", "https://chatgpt.com/share/e/x", "https://www.chatgpt.com/share/x", "http://claude.ai/share/abc",
+    "https://g.co/gemini/share/x", "nope", "https://chatgpt.com/share/A-b_9?q=1#f", "https://claude.ai/SHARE/x",
+]
+_LINK = pick_("conv_id % 12", LINKS)
+_PARTS = f"""WITH c AS (SELECT conv_id, {_LINK} AS url FROM conversations WHERE turn = 0),
+p AS (SELECT conv_id, url, lower(nullif(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1), '')) AS scheme,
+    lower(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1), '')) AS host,
+    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM c),
+h AS (SELECT *, CASE {' '.join(f"WHEN host = '{h}' THEN '{p}'" for h, p in rules.HOSTS.items())} ELSE 'unknown' END AS provider FROM p)"""
+
+
+def _links(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").filter("turn = 0").select("conv_id", pick(F.col("conv_id") % 12, LINKS).alias("url"))
+
+
+@query(f"""{_PARTS}, e AS (SELECT conv_id, url, provider, CASE WHEN scheme IS NULL OR host IS NULL THEN '{admission.BAD_URL}'
+    WHEN host = 'g.co' AND contains(lower(path), '/gemini/share/') THEN '{admission.SHORT_LINK}'
+    WHEN scheme <> 'https' OR provider = 'unknown' OR NOT CASE WHEN provider = 'qwen' THEN regexp_matches(path, '(?i)^/s/[A-Za-z0-9_-]+/?$') ELSE regexp_matches(path, '(?i)^/share/[A-Za-z0-9_-]+/?$') END THEN '{admission.UNSUPPORTED}' END AS error FROM h)
+SELECT conv_id, url, provider, CASE WHEN error IS NULL THEN 200 ELSE 400 END AS status, error FROM e""")
+def url_admission(spark, sf_dir):
+    return admission.admit(_links(spark, sf_dir)).select("conv_id", "url", "provider", "status", "error")
+
+
+@query(f"{_PARTS} SELECT provider, count(*) AS n FROM h GROUP BY provider")
+def host_provider(spark, sf_dir):
+    return admission.admit(_links(spark, sf_dir)).groupBy("provider").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"{_PARTS} SELECT url, 400 AS code, count(*) AS n FROM h WHERE NOT (scheme IS NOT NULL AND host IS NOT NULL AND host <> 'g.co' AND scheme = 'https' AND provider <> 'unknown' AND "
+    "CASE WHEN provider = 'qwen' THEN regexp_matches(path, '(?i)^/s/[A-Za-z0-9_-]+/?$') ELSE regexp_matches(path, '(?i)^/share/[A-Za-z0-9_-]+/?$') END) GROUP BY url"
+    .replace("NOT (scheme", "NOT coalesce(scheme").replace("END) GROUP", "END, false) GROUP")
+)
+def error_sink(spark, sf_dir):
+    return admission.rejected(admission.admit(_links(spark, sf_dir))).groupBy("url", "code").agg(F.count("*").alias("n"))
+
+
+MARKS = ["share-viewer data-message-author-role", "Qwen Studio", "cdn.grok.com", "conversation-turn-1", "data-test-render", ""]
+SOURCES = ["https://x.test/?r=grok.com", "", "", "", "", "", "", "https://CHATGPT.com/x"]
+
+
+def _detect_sql(html: str, url: str) -> str:
+    arms = [f"WHEN {' OR '.join(f'''contains(lower({value}), '{m}')''' for m in marks)} THEN '{p}'" for value, known in ((url, rules.URL_MARKERS), (html, rules.HTML_MARKERS)) for p, marks in known]
+    return f"CASE {' '.join(arms)} ELSE 'claude' END"
+
+
+@query(f"WITH p AS (SELECT page_id, left(CASE WHEN page_id % 5 = 4 THEN repeat('y', 60000) ELSE '' END || {pick_('page_id % 6', MARKS)} || html, 60000) AS h, {pick_('page_id % 8', SOURCES)} AS u FROM pages) SELECT page_id, {_detect_sql('h', 'u')} AS provider FROM p")
+def provider_detect(spark, sf_dir):
+    far = F.when(F.col("page_id") % 5 == 4, F.repeat(F.lit("y"), F.lit(60000))).otherwise(F.lit(""))
+    return table(spark, sf_dir, "pages").select("page_id", text.detect_provider(F.concat(far, pick(F.col("page_id") % 6, MARKS), F.col("html")), pick(F.col("page_id") % 8, SOURCES)).alias("provider"))
+
+
+@query(f"SELECT page_id, CASE WHEN contains(h, 'Just a moment...') OR contains(h, 'Cloudflare') THEN '{admission.BLOCKED}' END AS error FROM (SELECT page_id, {pick_('page_id % 4', ['Just a moment...', 'about Cloudflare', 'cloudflare', ''])} || html AS h FROM pages)")
+def blocked_pages(spark, sf_dir):
+    html = F.concat(pick(F.col("page_id") % 4, ["Just a moment...", "about Cloudflare", "cloudflare", ""]), F.col("html"))
+    return admission.guard_blocked(table(spark, sf_dir, "pages").select("page_id", html.alias("html"))).select("page_id", "error")
+
+
+COLLECTED = ["<p DATA-TURN='x'>", "<i class=share-layout-messages>", "nothing", None]
+KINDS = ["chatgpt", "qwen", "grok"]
+
+
+@query(f"""WITH p AS (SELECT page_id, html, {pick_('page_id % 4', COLLECTED)} AS got, {pick_('page_id % 3', KINDS)} AS provider FROM pages)
+SELECT page_id, md5(CASE WHEN provider = 'chatgpt' AND regexp_matches(coalesce(got, ''), '(?i)data-message-author-role|conversation-turn-|data-turn=') OR provider = 'qwen' AND regexp_matches(coalesce(got, ''), '(?i)share-layout-messages|qwen-chat-message') THEN got ELSE html END) AS body FROM p""")
+def collected_fallback(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", "html", pick(F.col("page_id") % 4, COLLECTED).alias("got"), pick(F.col("page_id") % 3, KINDS).alias("provider"))
+    return p.select("page_id", md5(admission.collected_or_whole("got", "html", "provider")).alias("body"))
+
+
+_SLOTS = "WITH r AS (SELECT event_id, row_number() OVER (PARTITION BY user_id, time_bucket(INTERVAL '15 minutes', ts, TIMESTAMP '1970-01-01') ORDER BY ts, event_id) AS n FROM events)"
+
+
+@query(f"{_SLOTS} SELECT event_id, n <= 1 AS admitted FROM r")
+def rate_limit(spark, sf_dir):
+    return admission.rate_limit(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", limit=1).select("event_id", "admitted")
+
+
+# -- messages ------------------------------------------------------------------------------------------
+
+
+def _rows(spark, sf_dir) -> DataFrame:
+    """Conversations as messages, each there twice, the second time 1,000 positions later."""
+    once = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("pos"), text.normalize_role("role").alias("role"), "text")
+    return once.unionByName(once.withColumn("pos", F.col("pos") + 1000)).filter("role <> ''")
+
+
+_MESSAGES = f"""WITH o AS (SELECT conv_id, turn AS pos, {role_('role')} AS role, text FROM conversations),
+rows AS (SELECT * FROM o WHERE role <> '' UNION ALL SELECT conv_id, pos + 1000, role, text FROM o WHERE role <> '')"""
+_DEDUPED = f"""{_MESSAGES}, deduped AS (SELECT * FROM rows WHERE {key_('text')} <> '' QUALIFY row_number() OVER (PARTITION BY conv_id, role, md5({key_('text')}) ORDER BY pos) = 1)"""
+
+
+_FIRST = "arg_min(text, CASE WHEN role = 'user' THEN pos ELSE pos + 1000000 END)"
+_TITLED = f"CASE WHEN length({_FIRST}) > 78 THEN left({_FIRST}, 75) || '...' ELSE {_FIRST} END"
+@query(f"""{_DEDUPED} SELECT conv_id, count(*) AS n_messages, md5(string_agg(pos || role || text, chr(10) ORDER BY pos)) AS body,
+    {_TITLED} AS title FROM deduped GROUP BY conv_id""")
+def conversation_assemble(spark, sf_dir):
+    made = messages.assemble_conversations(messages.dedupe_messages(_rows(spark, sf_dir)))
+    body = F.array_join(F.transform("messages", lambda m: F.concat(m["pos"].cast("string"), m["role"], m["text"])), "\n")
+    return made.select("conv_id", "n_messages", "title", md5(body).alias("body"))
+
+
+@query(f"""{_MESSAGES}, f AS (SELECT conv_id, left({_FIRST}, (60 + conv_id % 40)::INT) AS f FROM rows GROUP BY conv_id),
+t AS (SELECT conv_id, f, {strip_title_(pick_('conv_id % 8', TITLES))} AS t FROM f)
+SELECT conv_id, CASE WHEN t <> '' THEN t WHEN length(f) > 78 THEN left(f, 75) || '...' ELSE f END AS title FROM t""")
+def conversation_title(spark, sf_dir):
+    rows = _rows(spark, sf_dir).withColumn("text", F.substring(F.col("text"), F.lit(1), (60 + F.col("conv_id") % 40).cast("int")))
+    return messages.assemble_conversations(rows, title=pick(F.col("conv_id") % 8, TITLES)).select("conv_id", "title")
+
+
+_PRIMARY = "(role = 'user' OR conv_id % 2 = 0) AND pos < 1000"
+_MERGE = f"""{_MESSAGES}, p AS (SELECT * FROM rows WHERE {_PRIMARY}), f AS (SELECT * FROM rows WHERE pos >= 1000 OR role = 'assistant'),
+whole AS (SELECT conv_id FROM p GROUP BY conv_id HAVING count(*) >= 2 AND bool_or(role = 'user') AND bool_or(role = 'assistant')),
+u AS (SELECT *, 0 AS source FROM p WHERE conv_id NOT IN (SELECT conv_id FROM whole) UNION ALL SELECT *, 1 FROM f WHERE conv_id NOT IN (SELECT conv_id FROM whole)),
+m AS (SELECT *, 0 AS source FROM p WHERE conv_id IN (SELECT conv_id FROM whole) UNION ALL
+    SELECT * FROM u WHERE {key_('text')} <> '' QUALIFY row_number() OVER (PARTITION BY conv_id, role, md5({key_('text')}) ORDER BY source, pos) = 1)
+SELECT conv_id, pos, role, source FROM m"""
+
+
+@query(_MERGE)
+def merge_sources(spark, sf_dir):
+    rows = _rows(spark, sf_dir)
+    return messages.merge_sources(rows.filter(_PRIMARY), rows.filter("pos >= 1000 or role = 'assistant'")).select("conv_id", "pos", "role", "source")
+
+
+@query(f"{_MESSAGES}, p AS (SELECT * FROM rows WHERE pos < 1000 AND conv_id % 3 = 0) SELECT conv_id, pos, role FROM p UNION ALL SELECT conv_id, pos, role FROM rows WHERE pos >= 1000 AND conv_id NOT IN (SELECT conv_id FROM p)")
+def priority_fallback(spark, sf_dir):
+    rows = _rows(spark, sf_dir)
+    return messages.prefer(rows.filter("pos < 1000 and conv_id % 3 = 0"), rows.filter("pos >= 1000")).select("conv_id", "pos", "role")
+
+
+@query(f"""{_MESSAGES}, p AS (SELECT * FROM rows WHERE pos < conv_id % 4) SELECT conv_id, pos, 1 AS stage FROM p UNION ALL
+SELECT conv_id, pos, 2 FROM rows WHERE pos >= 1000 AND conv_id NOT IN (SELECT conv_id FROM p GROUP BY conv_id HAVING count(*) >= 2)""")
+def widened_scan(spark, sf_dir):
+    rows = _rows(spark, sf_dir)
+    return messages.widen(rows.filter(F.col("pos") < F.col("conv_id") % 4), rows.filter("pos >= 1000")).select("conv_id", "pos", "stage")
+
+
+_CAPTURE = f"""{_MESSAGES}, k AS (SELECT *, coalesce(nullif(CASE WHEN conv_id % 4 = 0 THEN 't' || pos % 1000 ELSE '' END, ''), nullif(CASE WHEN conv_id % 4 = 1 THEN 'c' || pos % 3 END, ''),
+    role || ':' || left({c_('text')}, 180)) AS key FROM rows)"""
+
+
+@query(f"{_CAPTURE} SELECT conv_id, min(pos) AS pos, md5(key) AS key FROM k GROUP BY conv_id, md5(key)")
+def first_wins_capture(spark, sf_dir):
+    pos = F.col("pos")
+    turn_id = F.when(F.col("conv_id") % 4 == 0, F.concat(F.lit("t"), (pos % 1000).cast("string"))).otherwise(F.lit(""))
+    container = F.when(F.col("conv_id") % 4 == 1, F.concat(F.lit("c"), (pos % 3).cast("string")))
+    keyed = _rows(spark, sf_dir).withColumn("key", md5(text.turn_key(turn_id, container, F.lit(None).cast("string"), F.col("role"), F.col("text"))))
+    return messages.first_wins(keyed, ["conv_id", "key"], ["pos"]).select("conv_id", "pos", "key")
+
+
+_LINES = f"lines AS (SELECT doc_id, text, line, pos FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents))"
+
+
+def _lines(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "text", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+
+
+@query(f"WITH {_LINES} SELECT doc_id, pos, length({c_('line')}) AS n FROM lines WHERE {c_('line')} <> '' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length({c_('line')}) DESC, pos) = 1")
+def best_longest(spark, sf_dir):
+    return messages.best_longest(_lines(spark, sf_dir).drop("text"), "doc_id", "line", "pos").select("doc_id", F.col("pos").cast("long").alias("pos"), F.length(text.collapse("line")).cast("long").alias("n"))
+
+
+@query(f"WITH {_LINES} SELECT doc_id, pos FROM lines WHERE length({c_('line')}) >= 1 AND length({c_('line')}) >= floor(length(text) * 0.55::DOUBLE) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length({c_('line')}), pos) = 1")
+def best_shortest_55pct(spark, sf_dir):
+    lines = _lines(spark, sf_dir).withColumn("size", F.length("text")).drop("text")
+    return messages.best_shortest(lines, "doc_id", "line", "pos", F.col("size")).select("doc_id", F.col("pos").cast("long").alias("pos"))
+
+
+@query(f"""WITH k AS (SELECT doc_id, lang, source, {key_('text')} AS key FROM documents), r AS (SELECT * FROM k UNION ALL SELECT doc_id + 1000000, lang, source, left(key, 60) FROM k)
+SELECT x.lang, x.source, x.doc_id AS a, y.doc_id AS b FROM r x JOIN r y ON x.lang = y.lang AND x.source = y.source AND x.doc_id <> y.doc_id AND length(x.key) > 40 AND length(y.key) > 40 AND contains(y.key, x.key)""")
+def near_dup_pairs(spark, sf_dir):
+    keyed = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", text.dedupe_key("text").alias("key"))
+    both = keyed.unionByName(keyed.select((F.col("doc_id") + 1000000).alias("doc_id"), "lang", "source", F.substring("key", 1, 60).alias("key")))
+    return messages.near_duplicate_pairs(both, ["lang", "source"], "doc_id", "key")
+
+
+@query(f"{_MESSAGES} SELECT conv_id, md5('<!doctype html><html><head><title>' || 'T <'.replace('<', '&lt;') || '</title><link rel=\"canonical\" href=\"' || 'u&quot;' || conv_id || '\"></head><body><main>' || string_agg('<p>' || text || '</p>', chr(10) ORDER BY pos) || '</main></body></html>') AS body FROM rows WHERE pos < 1000 GROUP BY conv_id".replace("'T <'.replace('<', '&lt;')", "'T &lt;'"))
+def synthetic_document(spark, sf_dir):
+    rows = _rows(spark, sf_dir).filter("pos < 1000").select("conv_id", "pos", F.concat(F.lit("<p>"), F.col("text"), F.lit("</p>")).alias("html"), F.lit("T <").alias("title"), F.concat(F.lit('u"'), F.col("conv_id").cast("string")).alias("link"))
+    return messages.synthetic_documents(rows, "conv_id", "pos", "html", "title", "link").select("conv_id", md5("html").alias("body"))
+
+
+# -- rendering -----------------------------------------------------------------------------------------
+
+
+def _conversations(spark, sf_dir):
+    made = messages.assemble_conversations(_rows(spark, sf_dir).filter("pos < 1000"))
+    safe = F.transform("messages", lambda m: F.struct(m["role"].alias("role"), F.concat(F.lit("<p>"), text.escape_html(m["text"]), F.lit("</p>")).alias("html"), m["text"].alias("text"), F.when(m["pos"] % 3 == 1, "Thought for 3s").otherwise(F.lit("")).alias("thought")))
+    return made.withColumns({"messages": safe, "provider": F.lit("grok"), "date": F.lit("May 5, 2025"), "url": F.lit("")})
+
+
+_RENDERED = f"""{_MESSAGES}, parts AS (SELECT conv_id, pos, role, text, CASE WHEN role = 'user' THEN '<div class="message user"><div class="bubble' || CASE WHEN length(text) <= 16 AND NOT regexp_matches(text, '[\\n\\r]') THEN ' small' ELSE '' END || '">' || {escape_('text')} || '</div></div>'
+    ELSE '<div class="message assistant"><div class="copy">' || CASE WHEN pos % 3 = 1 THEN '<div class="thought"><span>Thought for 3s</span></div>' ELSE '' END || '<p>' || {escape_('text')} || '</p></div></div>' END AS part FROM rows WHERE pos < 1000),
+docs AS (SELECT conv_id, {_TITLED} AS title, string_agg(part, chr(10) ORDER BY pos) AS body FROM parts GROUP BY conv_id),
+full_docs AS (SELECT conv_id, title, body, '<div class="paper"><header><div class="title">' || {escape_('title')} || '</div><div class="subtitle">May 5, 2025 · GROK</div></header><div class="chat">' || body || '</div></div>' AS doc FROM docs)"""
+
+
+@query(f"{_RENDERED} SELECT conv_id, md5(body) AS body FROM docs")
+def render_messages(spark, sf_dir):
+    return _conversations(spark, sf_dir).select("conv_id", md5(render.render_messages("messages")).alias("body"))
+
+
+@query(f"{_RENDERED} SELECT conv_id, md5(doc) AS template, md5('<!doctype html><html lang=\"en\"><head><meta charset=\"utf-8\"><title>' || {escape_('title')} || '</title>{render.render_styles()}</head><body>' || doc || '</body></html>') AS page FROM full_docs")
+def render_document(spark, sf_dir):
+    made = render.render(_conversations(spark, sf_dir)).withColumnRenamed("document", "template")
+    return render.render(made, standalone=True).select("conv_id", md5("template").alias("template"), md5("document").alias("page"))
+
+
+@query(f"""{_MESSAGES}, m AS (SELECT conv_id, '[' || string_agg('{{"role":"' || role || '","text":' || to_json(text) || '}}', ',' ORDER BY pos) || ']' AS j FROM rows WHERE pos < 1000 GROUP BY conv_id) SELECT conv_id, md5(j) AS body FROM m""")
+def json_sink(spark, sf_dir):
+    made = messages.assemble_conversations(_rows(spark, sf_dir).filter("pos < 1000"))
+    return made.select("conv_id", md5(F.to_json(F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text"))))).alias("body"))
+
+
+# -- guides --------------------------------------------------------------------------------------------
+
+
+def _guides(spark, sf_dir):
+    name = lambda c: F.concat(F.lit("g"), c.cast("string"))
+    i = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select(i.alias("position"), name(i).alias("slug"), F.concat(F.lit(" Guide "), i.cast("string"), F.lit(" | Site | x")).alias("title"), F.array(name(i + 7), name(i + 1), F.lit("none"), name(i + 7)).alias("related_slugs"), F.array(F.struct(F.concat(F.lit('Is "'), i.cast("string"), F.lit('" ok?')).alias("q"), F.lit("Yes").alias("a"))).alias("faqs"))
+
+
+@query("WITH w AS (SELECT doc_id, unnest([doc_id + 7, doc_id + 1, -1, doc_id + 7]) AS r, unnest([0, 1, 2, 3]) AS pos FROM documents) SELECT 'g' || w.doc_id AS slug, pos::BIGINT AS pos, 'g' || d.doc_id AS related_slug, 'Guide ' || d.doc_id AS related_title FROM w JOIN documents d ON d.doc_id = w.r")
+def related_join(spark, sf_dir):
+    return guides.related(_guides(spark, sf_dir))
+
+
+@query("SELECT doc_id AS position, 'Guide ' || doc_id AS title FROM documents WHERE doc_id = 17")
+def guide_lookup(spark, sf_dir):
+    return guides.guide(_guides(spark, sf_dir), "g17").select("position", guides.short_title("title").alias("title"))
+
+
+@query("""SELECT doc_id AS position, '{"@type":"ListItem","position":' || doc_id || ',"url":"https://x.test/tools/g' || doc_id || '","name":"Guide ' || doc_id || '"}' AS item,
+'{"@context":"https://schema.org","@type":"FAQPage","mainEntity":[{"@type":"Question","name":"Is \\"' || doc_id || '\\" ok?","acceptedAnswer":{"@type":"Answer","text":"Yes"}}]}' AS faq,
+'{"@context":"https://schema.org","@type":"BreadcrumbList","itemListElement":[{"@type":"ListItem","position":1,"name":"S","item":"https://x.test/"},{"@type":"ListItem","position":2,"name":"Tools","item":"https://x.test/tools"},{"@type":"ListItem","position":3,"name":"Guide ' || doc_id || '","item":"https://x.test/tools/g' || doc_id || '"}]}' AS crumbs, count(*) OVER () AS n FROM documents""")
+def structured_data(spark, sf_dir):
+    g = _guides(spark, sf_dir)
+    total = g.agg(F.count("*").alias("n"))  # one row
+    made = g.select("position", guides.item_list(g, "https://x.test/tools/").alias("item"), guides.faq_page("faqs").alias("faq"), guides.breadcrumbs("https://x.test/", "S", guides.short_title("title"), F.col("slug")).alias("crumbs"))
+    return made.join(F.broadcast(total))
+
+
+# -- pages ---------------------------------------------------------------------------------------------
+
+
+@query()
+def page_dom_text(spark, sf_dir):
+    """Collapsed text of the stored pages' trees, and how many of their elements are noise."""
+    return share.dom_summary(table(spark, sf_dir, "pages"))
+
+
+@query()
+def sanitize_pages(spark, sf_dir):
+    made = table(spark, sf_dir, "pages").select("page_id", sanitize_html(F.col("html"), F.lit("")).alias("html"))
+    return made.select("page_id", F.length("html").alias("n_chars"), md5("html").alias("body"))
+
+
+@query("SELECT page_id, 'claude' AS provider, 0::BIGINT AS n_messages, 'No conversation messages were found in this HTML.' AS error FROM pages")
+def parse_stored_pages(spark, sf_dir):
+    """The stored pages come from no provider; all of them land in the quarantine."""
+    made = providers.assemble(providers.parse_pages(table(spark, sf_dir, "pages")), "2024-02-29")
+    return made.select("page_id", "provider", F.size("messages").cast("long").alias("n_messages"), "error")
+
+
+def _parse(provider: str):
+    def run(spark, sf_dir):
+        made = providers.assemble(providers.parse_pages(share.provider_pages(table(spark, sf_dir, "conversations"), provider)), "2024-02-29")
+        body = F.array_join(F.transform("messages", lambda m: F.concat_ws("|", m["role"], m["text"], m["thought"])), "\n")
+        return made.select("page_id", "provider", "title", "date", "url", F.size("messages").cast("long").alias("n_messages"), md5(body).alias("body"))
+
+    return run
+
+
+for _provider in rules.PROVIDERS:
+    QUERIES[f"parse_{_provider}"] = _parse(_provider)
+    ORACLE_SQL[f"parse_{_provider}"] = share.provider_sql(_provider, c_, key_)
+
+
+@query(share.provider_sql("chatgpt", c_, key_, columns="page_id, n_messages, error"))
+def pages_to_documents(spark, sf_dir):
+    """Links to rendered documents, end to end; pages without messages stay without a document."""
+    pages = share.provider_pages(table(spark, sf_dir, "conversations"), "chatgpt")
+    good = admission.accepted(admission.admit(admission.guard_blocked(pages).filter("error is null").drop("error"))).drop("provider")
+    made = render.render(providers.assemble(providers.parse_pages(good), "2024-02-29"), standalone=True)
+    return made.filter("document is not null or error is not null").select("page_id", F.size("messages").cast("long").alias("n_messages"), "error")
+
+
+# -- streams -------------------------------------------------------------------------------------------
+
+
+@query("SELECT user_id, event_type, count(DISTINCT user_id)::BIGINT AS n FROM events GROUP BY user_id, event_type")
+def stream_first_capture(spark, sf_dir):
+    return streams.first_captures(spark, sf_dir)
+
+
+@query(f"{_SLOTS} SELECT event_id, n <= 1 AS admitted FROM r")
+def stream_rate_limit(spark, sf_dir):
+    return streams.rate_limit(spark, sf_dir)
+
+
+# -- extras, beyond the pages ----------------------------------------------------------------------------
+
+
+@query("SELECT role, count(*) AS n, sum(length(text))::BIGINT AS chars, max(turn) AS last_turn FROM conversations GROUP BY role")
+def ext_role_summary(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("chars"), F.max("turn").alias("last_turn"))
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS started, count(*) AS n FROM s GROUP BY user_id, k""")
+def ext_sessions(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return events.groupBy("user_id", F.session_window("ts", "30 minutes").alias("s")).agg(F.count("*").alias("n")).select("user_id", F.col("s.start").cast("timestamp_ntz").alias("started"), "n")
