@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from turnloom.llm import bpe, chat, exact, langid, minhash, mixing, rlz, suffix, topk
+from turnloom.llm import bpe, chat, exact, html, langid, minhash, mixing, rlz, suffix, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(_table(spark, sf_dir, "documents")).drop("row")
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of all pages."""
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
     return langid.identify(_table(spark, sf_dir, "documents"))
@@ -65,6 +70,7 @@ QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_html_text": op5_html_text,
     "op6_language_id": op6_language_id,
     "op7_rlz_substring_dedup": op7_rlz_substring_dedup,
     "op8_suffix_dedup": op8_suffix_dedup,
