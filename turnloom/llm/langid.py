@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from turnloom.llm.common import column, slices
 
 #: Hashed features, and the longest run.
-FEATURES, RUNS = 1 << 15, 4
+FEATURES, RUNS = 1 << 13, 4
 #: Labelled texts per language that the machines are fitted on, about; twice that over all at most.
-SAMPLE = 800
+SAMPLE = 400
 UNKNOWN = "und"
 
 #: Families of languages by code. A language that is not listed is a family of its own.
@@ -53,7 +53,7 @@ def hashed_runs(data: np.ndarray) -> list[np.ndarray]:
     for n in range(RUNS):
         key = key[: len(low) - n] * np.uint32(16777619) ^ (low[n:] + np.uint32(1))
         mixed = (key ^ (key >> np.uint32(15))) * np.uint32(2246822519)
-        found.append((mixed >> np.uint32(17)).astype(np.int32))
+        found.append((mixed >> np.uint32(19)).astype(np.int32))
     return found
 
 
