@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Texts are worked on in slices of about this many bytes, so that numpy's temporaries stay small.
 SLICE_BYTES = 2 << 20
 
@@ -30,10 +32,11 @@ _MASK = (1 << 64) - 1
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is configured."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not where:
-        where = tempfile.mkdtemp(prefix="turnloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="turnloom-"))
+        where = context.getCheckpointDir()
     return where.rstrip("/")
 
 
@@ -42,7 +45,13 @@ def cut(df: DataFrame) -> DataFrame:
     and a lost executor costs a reread only."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    try:
+        # once the table stands, the shuffles that made it are of no more use
+        spark.conf.set(CLEANUP, "true")
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
