@@ -90,3 +90,25 @@ def test_large_texts(spark, monkeypatch):
     rows = [(1, text), (2, "start " + text), (3, text[1000:2000])]
     got = {r[0]: r for r in run(spark, suffix.suffix_dedup, rows)}
     assert got[1][2] == 0 and got[2][2] == len(text) and got[3][2] == 1000
+
+
+@pytest.mark.parametrize("held", [1, 7, 40])
+def test_anchors_of_one_gram_in_many_batches(monkeypatch, held):
+    """Whatever a task holds at a time, no anchor that another row shares is dropped."""
+    import numpy as np
+    import pyarrow as pa
+
+    from turnloom.llm import anchors
+
+    monkeypatch.setattr(anchors, "HELD", held)
+    rng = random.Random(held)
+    rows = sorted((rng.choice([1, 2, 2, 2, 3, 4, 5, 6, 7]), rng.randrange(3) << 16 | rng.randrange(3), rng.randrange(6)) for _ in range(60))
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.array(c, t)) for c, t in zip(zip(*rows[i : i + 4]), ("i8", "i4", "i8"))], names=["gram", "sides", "row"]) for i in range(0, 60, 4)]
+    near = {tuple(r.values())[:3]: r["near"] for b in anchors._shared(iter(batches)) for r in b.to_pylist()}
+    got = list(near)
+    others = lambda r, bit: any(r[0] == o[0] and r[2] != o[2] and (r[1] >> 16 == o[1] >> 16 if bit == 1 else r[1] & 0xFFFF == o[1] & 0xFFFF) for o in rows)
+    assert all(near[r] & bit for r in got for bit in (1, 2) if others(r, bit))
+    need = {r for r in rows for o in rows if r[0] == o[0] and r[2] != o[2] and (r[1] >> 16 == o[1] >> 16 or r[1] & 0xFFFF == o[1] & 0xFFFF)}
+    assert need <= set(got) <= set(rows) and (held < 60 or set(got) == need)
+    whole = list(anchors._shared(iter([pa.concat_batches(batches)]))) if held == 40 else []
+    assert held != 40 or whole

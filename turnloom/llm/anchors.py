@@ -4,14 +4,15 @@ A run of LENGTH units (words or bytes) is sampled by its minimizer: of the short
 with the smallest hash. Equal runs have their minimizer at the same place, so two equal runs always
 meet at an equal sampled gram, an anchor, and only one position in about w / 2 is one.
 
-1. Anchors are sorted by gram. Those whose gram is in one row only drop out; most do.
+1. Anchors are sorted by gram with what stands left of it, and right of it. Those that have neither
+   in common with another row drop out; nearly all do.
 2. The others are sorted by context: the gram with all units that any run sampled by it can hold.
    Where an earlier document has the same context, all of it repeats. What is left of an anchor is
    the first document of each context.
 3. Only where an anchor has several contexts, which is at the ends of repeated passages, the runs
    that it samples are sorted themselves, and those that an earlier document has are found.
 
-Grams, contexts and runs are compared by 64, 128 and 128 bits of hash. Nothing but rows of fixed size
+Anchors are compared by 80 bits of hash, contexts and runs by 128. Nothing but rows of fixed size
 is shuffled, and texts only of documents that have a shared anchor.
 """
 
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from turnloom.llm.common import Texts, column, cut, mix, slices, span_hashes
 
 LENGTH = 50
+#: Anchors that a task holds to compare, about.
+HELD = 200_000
 #: Null ids count as larger than any id.
 LAST = 2**63 - 1
 
@@ -53,20 +56,109 @@ def minimizers(values: np.ndarray, first: np.ndarray, gram: int) -> tuple[np.nda
     return starts, (low[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64), grams
 
 
+def _sampled(values: np.ndarray, first: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The anchors of all texts: their places, texts and grams, and 16 bits each of what stands left and
+    right of the gram. A run that holds the gram has all of the left side in it, or of the right side."""
+    _, places, grams = minimizers(values, first, gram)
+    if not len(places):
+        return places, places, grams[:0], np.zeros(0, np.int32)
+    places = places[np.concatenate([[True], places[1:] != places[:-1]])]
+    text = np.searchsorted(first, places, "right") - 1
+    side = (LENGTH - gram) // 2
+    begin, end = np.maximum(places - side, first[text]), np.minimum(places + gram + side, first[text + 1])
+    low = np.uint64(0xFFFF)
+    left = span_hashes(values, begin, places) & low
+    right = span_hashes(values, places + gram, end) & low
+    return places, text, grams[places], (left << np.uint64(16) | right).astype(np.uint32).view(np.int32)
+
+
 def _anchors(units: Units, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
             values, first = units(texts)
-            starts, places, grams = minimizers(values, first, gram)
-            if not len(places):
-                continue
-            places = places[np.concatenate([[True], places[1:] != places[:-1]])]
-            text = np.searchsorted(first, places, "right") - 1
-            yield pa.RecordBatch.from_pydict({"gram": pa.array(grams[places].view(np.int64)), "row": part.column("row").take(pa.array(text)), "place": pa.array((places - first[text]).astype(np.int32))})
+            _, text, grams, sides = _sampled(values, first, gram)
+            # a gram that repeats with the same sides within a text counts once
+            key = mix(grams ^ mix(sides.view(np.uint32).astype(np.uint64) << np.uint64(32) | text.astype(np.uint64)))
+            _, one = np.unique(key, return_index=True)
+            yield pa.RecordBatch.from_pydict({"gram": pa.array(grams[one].view(np.int64)), "sides": pa.array(sides[one]), "row": part.column("row").take(pa.array(text[one]))})
 
     return run
 
 
+def _anchor_key(grams: np.ndarray, sides: np.ndarray, text: np.ndarray) -> np.ndarray:
+    return mix(grams + mix(sides.view(np.uint32).astype(np.uint64)) + mix(text.astype(np.uint64) + np.uint64(1)))
+
+
+def _in_other_rows(key: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Which keys are in more than one row."""
+    order = np.argsort(key, kind="stable")
+    key, row = key[order], row[order]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    several = np.minimum.reduceat(row, start) != np.maximum.reduceat(row, start)
+    found = np.empty(len(key), bool)
+    found[order] = np.repeat(several, np.diff(np.append(start, len(key))))
+    return found
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of anchors sorted by gram those that have a side in common with another row's; ``near`` is 1 where
+    it is the left side, 2 the right, 3 both.
+
+    Whole runs of a gram are looked at together, a few at a time. A run too long to hold passes as it
+    is: what follows decides exactly, and only has more to look at.
+    """
+    held: list[pa.RecordBatch] = []
+    count, passing = 0, None
+
+    def judged(part: pa.RecordBatch) -> pa.RecordBatch:
+        gram, sides, row = (part.column(name).to_numpy() for name in ("gram", "sides", "row"))
+        near = gram[1:] == gram[:-1]
+        some = np.flatnonzero(np.concatenate([[False], near]) | np.concatenate([near, [False]]))
+        if not len(some):
+            return with_near(part.slice(0, 0), np.zeros(0, np.int32))
+        base, side = mix(gram[some].view(np.uint64)), sides[some].view(np.uint32).astype(np.uint64)
+        left, right = mix(base + (side >> np.uint64(16))), mix(base + (side & np.uint64(0xFFFF)) + np.uint64(1 << 20))
+        found = _in_other_rows(left, row[some]) + 2 * _in_other_rows(right, row[some]).astype(np.int32)
+        return with_near(part.take(pa.array(some[found > 0])), found[found > 0])
+
+    def with_near(part: pa.RecordBatch, near: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*part.columns, pa.array(near.astype(np.int32))], names=[*part.schema.names, "near"])
+
+    def passed(part: pa.RecordBatch) -> pa.RecordBatch:
+        return with_near(part, np.full(part.num_rows, 3))
+
+    def together() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if passing is not None and batch.num_rows:
+            gram = batch.column("gram").to_numpy()
+            same = int(np.argmin(gram == passing)) if gram[-1] != passing else len(gram)
+            if same:
+                yield passed(batch.slice(0, same))
+            if same == len(gram):
+                continue
+            batch, passing = batch.slice(same), None
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        count += batch.num_rows
+        if count < HELD:
+            continue
+        whole = together()
+        gram = whole.column("gram").to_numpy()
+        end = int(np.flatnonzero(gram != gram[-1])[-1]) + 1 if gram[0] != gram[-1] else 0
+        if end:
+            yield judged(whole.slice(0, end))
+        rest = whole.slice(end)
+        held, count = [rest], rest.num_rows
+        if count >= HELD:
+            yield passed(rest)
+            held, count, passing = [], 0, gram[-1]
+    if held:
+        yield judged(together())
+
+
 def _places(part: pa.RecordBatch, name: str, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The places listed for each text, in order, among all units, and their texts."""
     lists = part.column(name)
@@ -81,16 +173,26 @@ def _contexts(units: Units, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
             values, first = units(texts)
-            places, text = _places(part, "places", first)
-            if not len(places):
+            places, text, grams, sides = _sampled(values, first, gram)
+            lists = part.column("anchors")
+            counts = lists.value_lengths().fill_null(0).to_numpy()
+            wanted = lists.flatten()
+            wanted = _anchor_key(wanted.field("gram").to_numpy().view(np.uint64), wanted.field("sides").to_numpy(), np.repeat(np.arange(len(counts)), counts))
+            near = lists.flatten().field("near").to_numpy()
+            if not len(wanted):
                 continue
+            order = np.argsort(wanted)
+            key = _anchor_key(grams, sides, text)
+            at = order[np.minimum(np.searchsorted(wanted, key, sorter=order), len(wanted) - 1)]
+            chosen = wanted[at] == key
+            places, text, near = places[chosen], text[chosen], near[at[chosen]]
             left = np.minimum(LENGTH - gram, places - first[text])
             start, end = places - left, np.minimum(places + LENGTH, first[text + 1])
             other = mix(values ^ np.uint64(0x5851F42D4C957F2D))
             yield pa.RecordBatch.from_pydict({
                 "gram": pa.array(span_hashes(values, places, places + gram).view(np.int64)),
                 "one": pa.array((span_hashes(values, start, end) ^ mix(left.astype(np.uint64) + np.uint64(1))).view(np.int64)), "two": pa.array(span_hashes(other, start, end).view(np.int64)),
-                "ord": part.column("ord").take(pa.array(text)), "row": part.column("row").take(pa.array(text)), "place": pa.array((places - first[text]).astype(np.int32)),
+                "ord": part.column("ord").take(pa.array(text)), "row": part.column("row").take(pa.array(text)), "place": pa.array(places - first[text]), "near": pa.array(near),
             })
 
     return run
@@ -100,17 +202,24 @@ def _runs(units: Units, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
             values, first = units(texts)
-            wanted, _ = _places(part, "places", first)
+            lists = part.column("edges")
+            counts = lists.value_lengths().fill_null(0).to_numpy()
+            wanted = lists.flatten().field("place").to_numpy() + np.repeat(first[:-1], counts)
             starts, places, _ = minimizers(values, first, gram)
             if not len(wanted) or not len(starts):
                 continue
-            at = np.minimum(np.searchsorted(wanted, places), len(wanted) - 1)
-            starts = starts[wanted[at] == places]
+            order = np.argsort(wanted)
+            at = order[np.minimum(np.searchsorted(wanted, places, sorter=order), len(wanted) - 1)]
+            near = lists.flatten().field("near").to_numpy()[at]
+            # a run that holds a whole side of its anchor can only repeat where another row has that side
+            side = (LENGTH - gram) // 2
+            left, right = places - starts, LENGTH - gram - (places - starts)
+            starts = starts[(wanted[at] == places) & ((left < side) | (near & 1 > 0)) & ((right < side) | (near & 2 > 0))]
             text = np.searchsorted(first, starts, "right") - 1
             other = mix(values ^ np.uint64(0x5851F42D4C957F2D))
             yield pa.RecordBatch.from_pydict({
                 "one": pa.array(span_hashes(values, starts, starts + LENGTH).view(np.int64)), "two": pa.array(span_hashes(other, starts, starts + LENGTH).view(np.int64)),
-                "ord": part.column("ord").take(pa.array(text)), "row": part.column("row").take(pa.array(text)), "start": pa.array((starts - first[text]).astype(np.int32)),
+                "ord": part.column("ord").take(pa.array(text)), "row": part.column("row").take(pa.array(text)), "start": pa.array(starts - first[text]),
             })
 
     return run
@@ -126,22 +235,22 @@ def numbered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def repeated(rows: DataFrame, units: Units, gram: int) -> DataFrame:
     """Rows (row, doc_id, ord, text) that hold a run which also starts in a row of smaller ord, with
     ``whole`` (anchors whose whole context repeats) and ``starts`` (single runs that do)."""
-    anchors = rows.select("row", "text").mapInArrow(_anchors(units, gram), "gram long, row long, place int")
-    same = Window.partitionBy("gram")
-    shared = anchors.withColumn("low", F.min("row").over(same)).withColumn("high", F.max("row").over(same)).filter("low < high")
-    lists = cut(shared.groupBy("row").agg(F.collect_list("place").alias("places")))
-    texts = cut(rows.join(lists, "row"))
-    contexts = texts.select("row", "ord", "text", "places").mapInArrow(_contexts(units, gram), "gram long, one long, two long, ord long, row long, place int")
-    inside = Window.partitionBy("gram", "one", "two")
+    anchors = rows.select("row", "text").mapInArrow(_anchors(units, gram), "gram long, sides int, row long")
+    shared = anchors.repartition("gram").sortWithinPartitions("gram").mapInArrow(_shared, "gram long, sides int, row long, near int")
+    lists = cut(shared.groupBy("row").agg(F.collect_list(F.struct("gram", "sides", "near")).alias("anchors")))
+
+    same, inside = Window.partitionBy("gram"), Window.partitionBy("gram", "one", "two")
+    contexts = rows.select("row", "ord", "text").join(lists, "row").mapInArrow(_contexts(units, gram), "gram long, one long, two long, ord long, row long, place long, near int").repartition("gram")
     contexts = contexts.withColumn("several", F.min("one").over(same) != F.max("one").over(same)).withColumn("low", F.min("ord").over(inside))
-    found = cut(contexts.select("row", "place", (F.col("ord") > F.col("low")).alias("repeats"), "several").filter("repeats or several"))
+    found = cut(contexts.select("row", "place", "near", (F.col("ord") > F.col("low")).alias("repeats"), "several").filter("repeats or several"))
+
+    edges = found.filter("not repeats").groupBy("row").agg(F.collect_list(F.struct("place", "near")).alias("edges"))
+    runs = rows.select("row", "ord", "text").join(edges, "row").mapInArrow(_runs(units, gram), "one long, two long, ord long, row long, start long")
+    runs = cut(runs.withColumn("low", F.min("ord").over(Window.partitionBy("one", "two"))).filter("ord > low").select("row", "start"))
+
     whole = found.filter("repeats").groupBy("row").agg(F.collect_list("place").alias("whole"))
-    edges = found.filter("not repeats").groupBy("row").agg(F.collect_list("place").alias("places"))
-    runs = texts.select("row", "ord", "text").join(edges, "row").mapInArrow(_runs(units, gram), "one long, two long, ord long, row long, start int")
-    runs = runs.withColumn("low", F.min("ord").over(Window.partitionBy("one", "two"))).filter("ord > low")
     starts = runs.groupBy("row").agg(F.collect_list("start").alias("starts"))
-    both = cut(whole.join(starts, "row", "full"))
-    return texts.drop("places").join(both, "row")
+    return rows.join(whole.join(starts, "row", "full"), "row")
 
 
 def removed(part: pa.RecordBatch, first: np.ndarray, gram: int) -> np.ndarray:

@@ -66,23 +66,24 @@ def _shares(data: np.ndarray) -> np.ndarray:
     return total
 
 
-def fit_machine(x: np.ndarray, y: np.ndarray, rounds: int = 12, cost: float = 1.0) -> np.ndarray:
-    """A linear machine (weights, then bias) for labels of -1 and 1: hinge loss by coordinate ascent
-    on the dual, in a fixed order."""
-    x = np.concatenate([x, np.full((len(x), 1), 0.1, np.float32)], 1)
+def fit_machine(x: np.ndarray, rows: np.ndarray, y: np.ndarray, rounds: int = 12, cost: float = 1.0) -> np.ndarray:
+    """A linear machine (weights, then bias) for some rows of x and their labels of -1 and 1: hinge loss
+    by coordinate ascent on the dual, in a fixed order."""
     # both sides weigh the same, however many rows they have
     limit = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum()))) * cost
-    square = (x * x).sum(1) + 1e-9
-    alpha, w = np.zeros(len(y)), np.zeros(x.shape[1], np.float32)
+    square = np.array([float(x[r] @ x[r]) for r in rows]) + 0.01
+    alpha, w, bias = np.zeros(len(y)), np.zeros(x.shape[1], np.float32), 0.0
     order = np.random.Generator(np.random.PCG64(7))
     for _ in range(rounds):
         for i in order.permutation(len(y)):
-            now = min(max(alpha[i] - (y[i] * float(w @ x[i]) - 1) / square[i], 0), limit[i])
+            row = x[rows[i]]
+            now = min(max(alpha[i] - (y[i] * (float(w @ row) + bias) - 1) / square[i], 0), limit[i])
             if now != alpha[i]:
-                w += np.float32((now - alpha[i]) * y[i]) * x[i]
+                step = (now - alpha[i]) * y[i]
+                w += np.float32(step) * row
+                bias += step * 0.01
                 alpha[i] = now
-    w[-1] *= 0.1
-    return w
+    return np.append(w, np.float32(bias))
 
 
 class Model:
@@ -91,23 +92,23 @@ class Model:
     def __init__(self, langs: list[str], x: np.ndarray, labels: np.ndarray):
         self.langs = sorted(langs)
         self.families = sorted({family_of(v) for v in self.langs})
-        names = np.array([family_of(v) for v in labels]) if len(labels) else np.array([])
+        names = np.array([family_of(v) for v in labels])
         # rare and common runs alike: features are scaled by their spread over the sample
-        self.scale = (1 / np.sqrt(x.mean(0) + 1e-4)).astype(np.float32) if len(x) else np.ones(FEATURES, np.float32)
-        scaled = x * self.scale * 4
+        scale = (4 / np.sqrt(x.mean(0) + 1e-4)).astype(np.float32)
+        x *= scale  # in place: the sample is the largest thing that the driver holds
         self.machines, made = [], []
         if len(self.families) > 1:
             for family in self.families:
-                made.append(fit_machine(scaled, np.where(names == family, 1, -1)))
+                made.append(fit_machine(x, np.arange(len(x)), np.where(names == family, 1, -1)))
                 self.machines.append(("family", family, None))
         for family in self.families:
             for a, b in combinations([v for v in self.langs if family_of(v) == family], 2):
-                rows = (labels == a) | (labels == b)
-                made.append(fit_machine(scaled[rows], np.where(labels[rows] == a, 1, -1)))
+                rows = np.flatnonzero((labels == a) | (labels == b))
+                made.append(fit_machine(x, rows, np.where(labels[rows] == a, 1, -1)))
                 self.machines.append(("pair", a, b))
         weights = np.array(made, np.float32).reshape(len(made), FEATURES + 1)
         self.bias = weights[:, -1].copy()
-        self.weights = np.ascontiguousarray((weights[:, :-1] * self.scale * 4))
+        self.weights = np.ascontiguousarray(weights[:, :-1] * scale)
 
     def margins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Every machine's margin for every text, from all of its runs."""
@@ -169,13 +170,13 @@ def fit(df: DataFrame, train: Column | None = None, id_col: str = "doc_id", text
             some = [np.flatnonzero(f).astype(np.int32) for f in found]
             yield pa.RecordBatch.from_pydict({"lang": batch.column("lang"), "draw": batch.column("draw"), "at": pa.array([s.tobytes() for s in some], pa.binary()), "value": pa.array([f[s].tobytes() for f, s in zip(found, some)], pa.binary())})
 
-    table = drawn.mapInArrow(shares, "lang string, draw double, at binary, value binary").orderBy("draw", "lang", "at", "value").limit(2 * sample * len(counts)).toPandas()
-    table = table.sort_values(["lang", "at", "value"]).reset_index(drop=True)
-    x = np.zeros((len(table), FEATURES), np.float32)
-    for i, (at, value) in enumerate(zip(table["at"], table["value"])):
+    drawn = drawn.mapInArrow(shares, "lang string, draw double, at binary, value binary").orderBy("draw", "lang", "at", "value").limit(2 * sample * len(counts))
+    rows = sorted((r.lang, bytes(r.at), bytes(r.value)) for r in drawn.toLocalIterator())
+    x = np.zeros((len(rows), FEATURES), np.float32)
+    for i, (_, at, value) in enumerate(rows):
         x[i, np.frombuffer(at, np.int32)] = np.frombuffer(value, np.float32)
-    labels = table["lang"].to_numpy(dtype=object)
-    return Model(sorted(set(labels)), x, labels) if len(table) else None
+    labels = np.array([lang for lang, _, _ in rows], dtype=object)
+    return Model(sorted(set(labels)), x, labels) if rows else None
 
 
 def _has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -5,9 +5,9 @@ is theirs alone drop out, and the rest are ranked again by a longer prefix until
 bytes is passed. All positions of all documents would be hundreds of rows per text, so the first
 round takes the sampled ones only, those where every string of 50 bytes has at least one.
 
-Round 1 ranks anchors by their first 20 bytes. Round 2 ranks what is left by the pair of that rank and
-the surroundings, up to 80 bytes, past the threshold: positions that share it with an earlier document
-are settled. Round 3 goes to all positions near anchors that are left and still not unique, at the
+Round 1 ranks anchors by 16 bytes, then by the pairs of that rank and the 17 bytes on either side.
+Round 2 ranks what is left by the pair of that rank and all surroundings, up to 84 bytes, past the
+threshold: positions that share it with an earlier document are settled. Round 3 goes to all positions near anchors that are left and still not unique, at the
 edges of repeated passages, and ranks them by exactly 50 bytes. See ``anchors`` for the steps.
 """
 
@@ -24,7 +24,7 @@ from turnloom.llm.anchors import numbered, removed, repeated
 from turnloom.llm.common import Texts, cut, slices
 
 #: Bytes of an anchor's gram.
-GRAM = 20
+GRAM = 16
 
 SCHEMA = "row long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
