@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+from array import array
 from collections.abc import Iterator
 from itertools import accumulate, chain, pairwise
 
@@ -29,7 +30,9 @@ from turnloom.llm.common import column, slices
 #: Pieces of up to so many bytes are merged many at a time.
 SHORT = 64
 #: So many pieces are kept per task; then the memory of them starts anew.
-KEPT_PIECES = 600_000
+KEPT_PIECES = 400_000
+#: Texts are worked on in slices of about this many bytes: a piece and its ids are some 20 times its text.
+SLICE_BYTES = 1 << 19
 _NONE = np.int32(2**31 - 1)
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -250,13 +253,14 @@ class Codec:
         ids = list(map(self.known.get, pieces))
         if missing := [i for i, x in enumerate(ids) if x is None]:
             new = list({pieces[i] for i in missing})
-            merged = dict(zip(new, self.encoder.merge([p.encode() for p in new])))
+            # as bytes: a tuple of integers takes several times as much
+            merged = {p: array("i", x).tobytes() for p, x in zip(new, self.encoder.merge([p.encode() for p in new]))}
             for i in missing:
                 ids[i] = merged[pieces[i]]
             if len(self.known) + len(merged) > KEPT_PIECES:
                 self.known = {}
             self.known.update(merged)
-        return [list(chain.from_iterable(ids[a:b])) for a, b in pairwise(first)]
+        return [np.frombuffer(b"".join(ids[a:b]), np.int32).tolist() for a, b in pairwise(first)]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.encoder.token.__getitem__, ids))
@@ -281,7 +285,7 @@ def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(ranks_path, pattern)
         name = codec.name.__getitem__
-        for part, texts in slices(batches):
+        for part, texts in slices(batches, size=SLICE_BYTES):
             strings = [texts.text(i).decode() for i in range(len(texts))]
             ids = codec.encode(strings)
             made = {

@@ -139,18 +139,20 @@ class Texts:
         return _BYTES[self.data]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, Texts]]:
-    """Arrow batches in slices of about SLICE_BYTES of text (one row at least), each with its texts."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, Texts]]:
+    """Arrow batches in slices of about ``size`` bytes of text (one row at least), each with its texts."""
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(lengths)
         at = 0
         while at < batch.num_rows:
             done = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, done + SLICE_BYTES, "right")))
+            to = max(at + 1, int(np.searchsorted(ends, done + size, "right")))
             part = batch.slice(at, to - at)
             yield part, Texts(part.column(text))
             at = to
+        # a worker goes on to the next task and the next operator: what it had must not stay with it
+        pa.default_memory_pool().release_unused()
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
