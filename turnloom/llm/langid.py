@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from turnloom.llm.common import column, slices
 
-#: Hashed features, and the longest run.
+#: Hashed features (places of 16 bits), and the longest run.
 FEATURES, RUNS = 1 << 13, 4
 #: Labelled texts per language that the machines are fitted on, about; twice that over all at most.
 SAMPLE = 400
@@ -167,16 +167,16 @@ def fit(df: DataFrame, train: Column | None = None, id_col: str = "doc_id", text
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [_shares(np.frombuffer(b, np.uint8)) for b in batch.column("body").to_pylist()]
-            some = [np.flatnonzero(f).astype(np.int32) for f in found]
+            some = [np.flatnonzero(f).astype(np.uint16) for f in found]
             yield pa.RecordBatch.from_pydict({"lang": batch.column("lang"), "draw": batch.column("draw"), "at": pa.array([s.tobytes() for s in some], pa.binary()), "value": pa.array([f[s].tobytes() for f, s in zip(found, some)], pa.binary())})
 
     drawn = drawn.mapInArrow(shares, "lang string, draw double, at binary, value binary").orderBy("draw", "lang", "at", "value").limit(2 * sample * len(counts))
-    rows = sorted((r.lang, bytes(r.at), bytes(r.value)) for r in drawn.toLocalIterator())
-    x = np.zeros((len(rows), FEATURES), np.float32)
-    for i, (_, at, value) in enumerate(rows):
-        x[i, np.frombuffer(at, np.int32)] = np.frombuffer(value, np.float32)
-    labels = np.array([lang for lang, _, _ in rows], dtype=object)
-    return Model(sorted(set(labels)), x, labels) if rows else None
+    # rows come in order and go into the table one at a time: the driver has no second copy of them
+    x, labels = np.zeros((2 * sample * len(counts), FEATURES), np.float32), []
+    for r in drawn.toLocalIterator():
+        x[len(labels), np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["value"], np.float32)
+        labels.append(r["lang"])
+    return Model(sorted(set(labels)), x[: len(labels)], np.array(labels, dtype=object)) if labels else None
 
 
 def _has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
