@@ -72,3 +72,39 @@ def test_frame(spark):
     got = sorted(((r.page_id, r.n_chars, r.n_lines) for r in html.extract(df).collect()), key=str)
     assert got == sorted([(1, 4, 3), (1, 4, 3), (None, 0, 0), (2, 999_999, 1)], key=str)
     assert html.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<table><tr><form><td>Name<td>Price</form></tr></table>", "Name  Price"),
+        ("<table><form><tr><td>a<td>b<tr><td>c<td>d</form></table>e", "a  b\nc  d\n\ne"),
+        ("<table><tr>text<td>x</td></tr><tr>more<td>y</td></tr></table>", "text more\nx\ny"),
+        ("<table><tr><div>out</div><td>x</td></tr></table>", "out\nx"),
+        ("<table><tr><div><td>x<td>y</table>", "x  y"),
+        ("<table><tbody>text<tr><td>x</tr></tbody></table>", "text\nx"),
+        ("<table><tbody><td>x</td><td>y</td></tbody></table>", "x  y"),
+        ("<table><td>x<tr><td>y</table>", "x\ny"),
+        ("<table><colgroup><col><col><tr><td>x<td>y</table>", "x  y"),
+        ("<table><caption>C<tr><td>x</table>", "C\nx"),
+        ("<table><tr><td>a<template><tr><td>no</td></tr></template>b</table>", "ab"),
+        ("<p>a</p><svg><title>no</title><defs/><desc>no</desc><g/><text>b</text><text>c <tspan>d</tspan></text><text display=none>no</text></svg><desc>e</desc>", "a\n\nb\nc d\ne"),
+    ],
+)
+def test_text_outside_of_cells(page, want):
+    assert html.extract_text(page) == want
+
+
+def test_tables_lose_no_text():
+    """Every word of a page is in the text, whatever parts of tables stand around it."""
+    rng = random.Random(5)
+    tags = ["table", "table", "tr", "tr", "td", "td", "th", "tbody", "thead", "form", "div", "b", "caption", "colgroup", "p", "svg", "text"]
+    for _ in range(1500):
+        parts, n = ["<table>"], 0
+        for _ in range(rng.randrange(25)):
+            r = rng.random()
+            parts.append(f"<{rng.choice(tags)}>" if r < 0.45 else f"</{rng.choice(tags)}>" if r < 0.6 else f" w{n}x ")
+            n += r >= 0.6
+        page = "".join(parts)
+        got = html.extract_text(page).split()
+        assert sorted(w for w in got if w.startswith("w")) == sorted(f"w{i}x" for i in range(n)), page

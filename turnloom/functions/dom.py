@@ -28,6 +28,10 @@ CLOSES = {
     "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
     "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
 }
+#: Where parts of a table belong: a start tag closes what is open within the nearest of these elements.
+ROOMS = {"td": {"tr", "tbody", "thead", "tfoot", "table"}, "th": {"tr", "tbody", "thead", "tfoot", "table"}, "tr": {"tbody", "thead", "tfoot", "table"}} | {
+    tag: {"table"} for tag in ("tbody", "thead", "tfoot", "caption", "colgroup")
+}
 SPACE = re.compile("[" + rules.SPACE_CLASS.encode().decode("unicode_escape") + "]+")
 
 
@@ -168,9 +172,29 @@ class _Builder(HTMLParser):
             if self.open[i].tag in names:
                 del self.open[i:]
                 return self._close(names, walls)
-            if self.open[i].tag in walls:
+            if self.open[i].tag in walls or self.open[i].tag == "template":
                 return
 
+    def _make_room(self, tag) -> None:
+        """Within a table, goes back to where the part belongs; cells outside of a row get one."""
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.open[i].tag == "template":
+                return
+            if self.open[i].tag == "table":
+                break
+        else:
+            return
+        while self.open[-1].tag not in ROOMS[tag]:
+            self.open.pop()
+        if tag in ("td", "th") and self.open[-1].tag != "tr":
+            row = Node("tr", parent=self.open[-1])
+            self.open[-1].children.append(row)
+            self.open.append(row)
+
+    def _foreign(self) -> bool:
+        """Within svg or math, where tags can close themselves."""
+        return next((n.tag for n in reversed(self.open) if n.tag in ("svg", "math", "foreignobject")), "") in ("svg", "math")
+
     def handle_starttag(self, tag, attrs):
         named = {}
         for k, v in attrs:
@@ -188,14 +212,17 @@ class _Builder(HTMLParser):
             self._close({"p"}, {"td", "th", "button", "table", "caption"})
         if tag in CLOSES:
             self._close(*CLOSES[tag])
+        if tag in ROOMS:
+            self._make_room(tag)
         node = Node(tag, named, self.open[-1])
         self.open[-1].children.append(node)
-        if tag not in VOID:
+        # a form between the parts of a table is empty: what follows belongs to the table
+        if tag not in VOID and not (tag == "form" and self.open[-1].tag in ROOMS["td"]):
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag in ("path", "svg", "circle", "rect", "line", "mspace", "mprescripts", "none") and self.open[-1].tag == tag:
+        if self.open[-1].tag == tag and (tag in ("path", "svg", "circle", "rect", "line", "mspace", "mprescripts", "none") or self._foreign()):
             self.open.pop()
 
     def handle_endtag(self, tag):
@@ -210,7 +237,7 @@ class _Builder(HTMLParser):
             if self.open[i].tag == tag:
                 del self.open[i:]
                 return
-            if self.open[i].tag in ("td", "th", "table", "button") and tag not in ("table", "tr", "tbody", "thead", "tfoot"):
+            if self.open[i].tag == "template" or self.open[i].tag in ("td", "th", "table", "button") and tag not in ("table", "tr", "tbody", "thead", "tfoot"):
                 break
         if tag == "p":
             self.handle_starttag("p", [])

@@ -22,20 +22,31 @@ from pyspark.sql import functions as F
 from turnloom.functions.dom import Node, body, parse
 from turnloom.llm.common import column
 
-HIDDEN = frozenset("head script style template noscript title meta link base iframe object embed audio video canvas svg datalist param source track".split())
+HIDDEN = frozenset("head script style template noscript title meta link base iframe object embed audio video canvas datalist param source track".split())
+#: Parts of a drawing that are not drawn where they stand.
+UNDRAWN = frozenset("desc metadata defs symbol clippath mask pattern marker lineargradient radialgradient filter".split())
 #: Blocks with a blank line around them, and those on lines of their own.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure fieldset hr menu".split())
 LINED = frozenset("div article section header footer main nav aside address li dt dd form figcaption caption details summary center tr body html legend option dialog hgroup search".split())
 _STYLE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
+#: What a table and its parts hold; all else in them is shown before the table.
+PARTS = {"table": ("caption", "colgroup", "col", "thead", "tbody", "tfoot", "tr"), "colgroup": ("col",), "thead": ("tr",), "tbody": ("tr",), "tfoot": ("tr",), "tr": ("td", "th")}
 #: A cell wider than this does not widen its column for the others.
 WIDEST = 60
 
 
+def _in_svg(node: Node) -> bool:
+    return any(n.tag == "svg" for n in node.up())
+
+
 def hidden(node: Node) -> bool:
-    """Not shown: by its tag, the hidden attribute, an inline style, or as a hidden input."""
+    """Not shown: by its tag, the hidden attribute, an inline style, or as a hidden input; in drawings
+    also by what svg does not draw."""
     if node.tag in HIDDEN or "hidden" in node.attrs:
         return True
+    if (node.tag in UNDRAWN or node.get("display") == "none" or node.get("visibility") in ("hidden", "collapse")) and _in_svg(node):
+        return True
     if node.tag == "input":
         return node.get("type").lower() == "hidden"
     return "style" in node.attrs and bool(_STYLE.search(node.attrs["style"]))
@@ -137,6 +148,18 @@ def _rows(table: Node) -> Iterator[Node]:
                 yield from (c for c in child.children if isinstance(c, Node) and c.tag == "tr" and not hidden(c))
 
 
+def _loose(part: Node) -> Iterator[Node | str]:
+    """What stands in a table, its sections and rows outside of cells, each piece set apart."""
+    for child in part.children:
+        if isinstance(child, str):
+            if child.strip():
+                yield from (child, " ")
+        elif child.tag not in PARTS[part.tag]:
+            yield from (child, " ")
+        elif child.tag in PARTS and not hidden(child):
+            yield from _loose(child)
+
+
 def _span(cell: Node, name: str) -> int:
     return min(int(cell.get(name)), 1000) if re.fullmatch(r"[1-9]\d{0,5}", cell.get(name)) else 1
 
@@ -186,10 +209,12 @@ def _render(children: list, depth: int = 0) -> str:
             out.verbatim(item) if pre else out.text(item)
             continue
         tag = item.tag
+        # each text of a drawing stands by itself, as do parts of it with a place of their own
+        drawn = (tag == "text" or tag == "tspan" and not {"x", "y", "dy"}.isdisjoint(item.attrs)) and _in_svg(item)
         if what == "out":
             if tag == "pre":
                 pre -= 1
-            if tag in SPACED or tag in LINED:
+            if tag in SPACED or tag in LINED or drawn:
                 out.line(tag in SPACED and not (tag in ("ul", "ol") and len(out.indent) > 1))
             elif tag in ("td", "th"):
                 out.text("  ")
@@ -206,7 +231,7 @@ def _render(children: list, depth: int = 0) -> str:
             if shown:
                 out.text(shown)
             continue
-        if tag in SPACED or tag in LINED:
+        if tag in SPACED or tag in LINED or drawn:
             out.line(tag in SPACED and not (tag in ("ul", "ol") and len(out.indent) > 1))
         if tag == "q":
             out.text("“")
@@ -218,8 +243,7 @@ def _render(children: list, depth: int = 0) -> str:
                 if isinstance(one, Node) and one.tag == "caption" and not hidden(one):
                     out.text(" ".join(_render(one.children, depth + 1).split()))
                     out.line()
-            # what stands in a table outside of its cells is shown before it
-            loose = [c for c in item.children if isinstance(c, str) and c.strip() or isinstance(c, Node) and c.tag not in ("caption", "tr", "thead", "tbody", "tfoot", "colgroup", "col")]
+            loose = list(_loose(item))
             stack.append(("call", lambda t=item: _table(t, out, depth)))
             stack.extend(("in", c) for c in reversed(loose))
         elif tag in ("ul", "ol", "menu"):
