@@ -91,3 +91,29 @@ def test_structured_values():
     assert providers.structured_text({"text": "", "parts": ["a", {"value": " b "}]}) == "a\nb"
     assert [c for _, c in providers.walk_json({"2": {"role": "user", "text": "b"}, "1": {"role": "user", "text": "a"}, "x": {"author": {"role": "bot"}, "content": None, "text": "c"}})] == ["a", "b", "c"]
     assert providers._loads("NaN") is None and providers._decoded('a\\nb"') == 'a\nb"'
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("a<![ x>b", "ab"),
+        ("a<![>b", "ab"),
+        ("a<![]>b", "ab"),
+        ("a<![foo[x]]>b", "ab"),
+        ("a<![foo", "a"),
+        ("a<![", "a"),
+        ("a<![CDATA[ c > d ]]>b", "a d ]]>b"),
+        ("a<![if !IE]>b<![endif]>c", "abc"),
+        ("a<svg><text><![CDATA[ c > d ]]></text></svg>b", "a c > d b"),
+        ("a<svg><text><![CDATA[c", "ac"),
+        ("<!doctype html><!-- c -->a<!x>b", "ab"),
+    ],
+)
+def test_marked_sections(html, want):
+    assert body(parse(html)).text() == want
+    assert parse_fragment(html).text() == want
+
+
+def test_a_page_with_a_marked_section_does_not_fail_the_others():
+    assert providers.parse_page("claude", '<![foo[ x><div class="font-user-message">Hi<![]></div>')["messages"][0]["text"] == "Hi"
+    assert sanitize("<p>a<![ x]>b</p>") == "<p>ab</p>"

@@ -243,6 +243,17 @@ class _Builder(HTMLParser):
             self.handle_starttag("p", [])
             self.open.pop()
 
+    def parse_html_declaration(self, i):
+        """``<![`` is a comment up to the next ``>``, or to the end; in svg and math CDATA is text."""
+        if not self.rawdata.startswith("<![", i):
+            return super().parse_html_declaration(i)
+        cdata = self.rawdata.startswith("<![CDATA[", i) and self._foreign()
+        end = self.rawdata.find("]]>" if cdata else ">", i + 3)
+        stop = len(self.rawdata) if end < 0 else end
+        if cdata and stop > i + 9:
+            self.handle_data(self.rawdata[i + 9 : stop])
+        return stop if end < 0 else end + (3 if cdata else 1)
+
     def handle_data(self, data):
         if not self.fragment and self.open[1] is self.head and len(self.open) == 2:
             if not data.strip():
