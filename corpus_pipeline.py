@@ -15,9 +15,14 @@ from turnloom.llm import bpe, exact, langid, minhash, mixing
 from turnloom.llm.common import cut
 
 
-def _with(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """docs joined with a table of their row ids."""
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(chosen.withColumnRenamed("row", "_row"), "_row")
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with row numbers, written: read again they are the same, however the scan is split."""
+    return cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def _with(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Numbered rows joined with a table of their numbers."""
+    return rows.join(chosen.withColumnRenamed("row", "_row"), "_row")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,18 +33,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts keeps the document with the largest id."""
-    return _with(docs, exact.exact_dedup(docs).filter("kept").select("row")).select(*docs.columns)
+    rows = _numbered(docs)
+    return _with(rows, exact.exact_dedup(rows, row_col="_row").filter("kept").select("row")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies keeps the document with the smallest id."""
-    return _with(docs, minhash.near_dedup(docs).filter("kept").select("row")).select(*docs.columns)
+    rows = _numbered(docs)
+    return _with(rows, minhash.near_dedup(rows, row_col="_row").filter("kept").select("row")).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents so that sources come near their targets; copies are rows."""
-    copies = mixing.mix_sources(docs).filter("copies > 0").select("row", "copies")
-    return _with(docs, copies).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    rows = _numbered(docs)
+    copies = mixing.mix_sources(rows, row_col="_row").filter("copies > 0").select("row", "copies")
+    return _with(rows, copies).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

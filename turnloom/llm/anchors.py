@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import Texts, column, cut, mix, slices, span_hashes
+from turnloom.llm.common import Texts, column, cut, mix, row_of, slices, span_hashes
 
 LENGTH = 50
 #: Anchors that a task holds to compare, about.
@@ -226,10 +226,9 @@ def _runs(units: Units, gram: int):
 
 
 def numbered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``row, doc_id, ord, text`` of df, which must give the same rows in the same order whenever it is
-    read, as tables do."""
+    """``row, doc_id, ord, text`` of df, written once, so that all scans have the same numbers."""
     doc_id = column(df, id_col, "bigint")
-    return df.select(F.monotonically_increasing_id().alias("row"), doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(LAST)).alias("ord"), F.coalesce(column(df, text_col, "string"), F.lit("")).alias("text"))
+    return cut(df.select(row_of(df).alias("row"), doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(LAST)).alias("ord"), F.coalesce(column(df, text_col, "string"), F.lit("")).alias("text")))
 
 
 def repeated(rows: DataFrame, units: Units, gram: int) -> DataFrame:

@@ -60,6 +60,12 @@ def column(df: DataFrame, name: str, kind: str):
     return F.col(f"`{name}`").cast(kind)
 
 
+def row_of(df: DataFrame, row_col: str | None = None):
+    """The number of a row: df's own, or a new one. A new one depends on how the scan is split, which
+    changes with the cores at hand, so it holds for one scan only and is to be written."""
+    return F.monotonically_increasing_id() if row_col is None else column(df, row_col, "bigint")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Scramble 64-bit integers (the finalizer of splitmix64)."""
     x = x ^ (x >> np.uint64(30))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import column, cut
+from turnloom.llm.common import column, cut, row_of
 
 BINS = 4096
 #: Up to so many sources (a row each) are broadcast to the documents' tasks; more are joined by shuffle.
@@ -55,9 +55,9 @@ def _edges(open_rows: DataFrame, gaps: DataFrame) -> DataFrame:
     return bins.groupBy("place").agg(F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("before"))).alias("edge"))
 
 
-def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: str = "mix") -> DataFrame:
+def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: str = "mix", row_col: str | None = None) -> DataFrame:
     """One row per row of df: ``doc_id, source, size, source_size, target, copies, taken``, and ``row``,
-    the row's monotonically increasing id.
+    the row's number: row_col where df has one, else a monotonically increasing id.
 
     size: words of the text, null and empty texts have 0. copies: how often the mix takes the row (0
     to most), taken: copies * size. The words taken of a source never exceed its target, and miss it
@@ -66,7 +66,7 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     with equal ids each count by themselves. Null is a source of its own. Other columns are ignored.
     An empty table gives an empty result.
     """
-    rows = df.select(column(df, id_col, "bigint").alias("doc_id"), column(df, source_col, "string").alias("source"), F.coalesce(F.regexp_count(column(df, text_col, "string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.monotonically_increasing_id().alias("row"))
+    rows = df.select(column(df, id_col, "bigint").alias("doc_id"), column(df, source_col, "string").alias("source"), F.coalesce(F.regexp_count(column(df, text_col, "string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), row_of(df, row_col).alias("row"))
     rows = cut(rows)
     sources = cut(source_targets(rows, weights, share, most))
     few = sources.count() <= BROADCAST_SOURCES

@@ -61,8 +61,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A word is removed if it is covered by 50 consecutive words that also start in a document with a
     smaller id; runs are judged on the input. Null and empty texts have no words. Null ids count as
     larger than any, rows with equal ids do not remove each other's words. Other columns are ignored,
-    whatever their names. An empty table gives an empty result. df is read several times and must
-    give the same rows in the same order each time, as tables do.
+    whatever their names. An empty table gives an empty result. df is numbered and written once.
     """
     rows = numbered(df, id_col, text_col)
     touched = cut(repeated(rows, units, GRAM).select("row", "doc_id", "text", "whole", "starts").mapInArrow(_kept, SCHEMA))

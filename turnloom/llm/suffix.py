@@ -64,8 +64,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     smaller id; strings are judged on the input and never cross documents. n_spans counts maximal
     removed runs. Null counts as the empty text. Null ids count as larger than any, rows with equal
     ids do not remove each other's bytes. Other columns are ignored, whatever their names. An empty
-    table gives an empty result. df is read several times and must give the same rows in the same
-    order each time, as tables do.
+    table gives an empty result. df is numbered and written once.
     """
     rows = numbered(df, id_col, text_col)
     touched = cut(repeated(rows, units, GRAM).select("row", "doc_id", "text", "whole", "starts").mapInArrow(_kept, SCHEMA))
