@@ -1,13 +1,8 @@
-"""Substring dedup in words, by relative Lempel-Ziv parsing.
+"""Substring dedup in words, by a join of minimizer fingerprints.
 
-Every document offers its passages as reference blocks: the surroundings of its sampled anchors, each
-owned by the first document that has it. A document is parsed against all blocks at once: an anchor
-whose block has an earlier owner copies that block, and blocks in a row join to one long factor.
-Where a factor ends, the words around fit several blocks in part; at these boundaries each run of 50
-words is looked up by itself. Words under a copied block or run are removed.
-
-The parse needs the blocks' hashes only, so blocks and documents meet in a shuffle by hash rather
-than around a dictionary that would have to be sent everywhere. See ``anchors`` for the steps.
+This is not a Lempel-Ziv parse: there are no factors. Sampled anchors meet by the hash of their
+gram, then by the hash of all their surroundings (84 words at most); where these differ, at the edges
+of repeated passages, single runs of 50 words meet by hash. See ``anchors``, which ``suffix`` shares.
 """
 
 from __future__ import annotations

@@ -1,14 +1,8 @@
-"""Substring dedup in bytes, by prefix doubling on sorted positions.
+"""Substring dedup in bytes, by a join of minimizer fingerprints.
 
-Suffix positions are ranked by growing prefixes: Spark sorts them by rank pairs, positions whose rank
-is theirs alone drop out, and the rest are ranked again by a longer prefix until the threshold of 50
-bytes is passed. All positions of all documents would be hundreds of rows per text, so the first
-round takes the sampled ones only, those where every string of 50 bytes has at least one.
-
-Round 1 ranks anchors by 16 bytes, then by the pairs of that rank and the 17 bytes on either side.
-Round 2 ranks what is left by the pair of that rank and all surroundings, up to 84 bytes, past the
-threshold: positions that share it with an earlier document are settled. Round 3 goes to all positions near anchors that are left and still not unique, at the
-edges of repeated passages, and ranks them by exactly 50 bytes. See ``anchors`` for the steps.
+This is not prefix doubling: nothing is ranked. Sampled anchors meet by the hash of their gram, then
+by the hash of all their surroundings (84 bytes at most); where these differ, at the edges of repeated
+passages, single runs of 50 bytes meet by hash. See ``anchors``, which ``rlz`` shares.
 """
 
 from __future__ import annotations
