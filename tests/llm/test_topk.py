@@ -47,3 +47,10 @@ def test_sparse_and_large_weights(spark):
     rows = [(i, [float(i == j) * 1e6 for j in range(30)], "", 0) for i in range(30)] + [(40, [1e6] * 30, "", 0)]
     got = topk.exact_top_k(spark.createDataFrame(rows, SCHEMA), k=4, is_query=F.col("vec_id") >= 28)
     assert rows_of(got) == brute(rows, 4, lambda i: i >= 28)
+
+
+def test_scores_of_many_digits_in_a_full_block(spark):
+    """The best of 4,096 candidates is the last one; its score times the block's size passes 64 bits."""
+    rows = [(i, [1.28e6 if i in (0, 4095) else 1e3 * i / 4096], "", 0) for i in range(4097)]
+    got = topk.exact_top_k(spark.createDataFrame(rows, SCHEMA), k=3, is_query=F.col("vec_id") == 0)
+    assert rows_of(got) == brute(rows, 3, lambda i: i == 0)

@@ -114,13 +114,15 @@ def _searcher(k: int):
                     few = asked[at : at + TOGETHER]
                     scores = _scores(query[at : at + TOGETHER], postings, members, kind).astype(np.int64)
                     own = few[:, None] == ids
-                    # one number orders by score, then by place, which is in order of ids
-                    order = scores * n + (n - 1 - np.arange(n))
-                    order[own] = np.iinfo(np.int64).min
-                    best = np.argpartition(order, n - k, axis=1)[:, n - k :] if n > k else np.broadcast_to(np.arange(n), (len(few), n))
-                    fair = ~np.take_along_axis(own, best, 1)
-                    rows = np.broadcast_to(few[:, None], best.shape)
-                    yield pa.RecordBatch.from_pydict({"query_id": rows[fair], "vec_id": ids[best[fair]], "score": np.take_along_axis(scores, best, 1)[fair]})
+                    take = ~own
+                    if n > k:
+                        shown = np.where(own, np.iinfo(np.int64).min, scores)
+                        last = np.partition(shown, n - k, axis=1)[:, n - k, None]
+                        # of those that tie at the k-th score the first are taken: a block is in order of ids
+                        above, tied = shown > last, (shown == last) & ~own
+                        take = above | (tied & (np.cumsum(tied, 1) <= k - above.sum(1, keepdims=True)))
+                    at_query, at_other = np.nonzero(take)
+                    yield pa.RecordBatch.from_pydict({"query_id": few[at_query], "vec_id": ids[at_other], "score": scores[at_query, at_other]})
 
     return run
 
@@ -137,7 +139,9 @@ def exact_top_k(df: DataFrame, k: int = 20, is_query: Column | None = None, id_c
     """
     rows = integer_rows(df, id_col, vector_col, scale)
     asked = rows.filter(F.col("vec_id") % 20 == 0 if is_query is None else is_query)
-    queries, others = _numbered(asked.coalesce(4), QUERY_BLOCK, "query"), _numbered(rows, BLOCK, "other")
+    # only the queries are dealt anew, into as many parts as they fill blocks
+    asked = asked.repartition(max(1, -(-asked.count() // QUERY_BLOCK)))
+    queries, others = _numbered(asked, QUERY_BLOCK, "query"), _numbered(rows, BLOCK, "other")
     n_queries, n_others = queries.count(), others.count()
     if not n_queries or not n_others:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
