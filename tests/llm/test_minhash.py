@@ -3,7 +3,7 @@ import random
 from test_pipeline import shingles
 
 from turnloom.llm import minhash
-from turnloom.llm.components import components
+from turnloom.llm.components import components, merged
 
 SCHEMA = "doc_id long, text string, node long, bucket string, row int"
 
@@ -87,3 +87,18 @@ def test_chain_of_components(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7), (200, 203), (201, 203), (202, 203)]
     got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100, 200: 200, 201: 200, 202: 200, 203: 200}
+
+
+def test_words_that_cancel_out_in_polynomials(spark):
+    """Two words of 1,024 letters that follow the Thue-Morse sequence and its complement share nothing."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    rows = [(1, "".join("ab"[b] for b in bits)), (2, "".join("ba"[b] for b in bits))]
+    got, kept = run(spark, rows)
+    assert got == [(1, 1, 1), (2, 1, 2)] and kept == {1: 1, 2: 1}
+
+
+def test_further_links_join_components(spark):
+    parts = components(spark.createDataFrame([(1, 2), (3, 4), (5, 6)], "a long, b long"))
+    more = spark.createDataFrame([(2, 4), (9, 8), (6, 7)], "a long, b long")
+    got = sorted(tuple(r) for r in merged(parts, more).collect())
+    assert got == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 5), (7, 5), (8, 8), (9, 8)]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not where:
+        warnings.warn("spark.checkpoint.dir is not set: tables go to a folder of this machine, which on a cluster executors do not see", stacklevel=2)
         context.setCheckpointDir(tempfile.mkdtemp(prefix="turnloom-"))
         where = context.getCheckpointDir()
     return where.rstrip("/")
@@ -55,9 +57,22 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def named(name: str):
+    """The column of that exact name."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def column(df: DataFrame, name: str, kind: str):
     """df's column of that exact name, cast to kind."""
-    return F.col(f"`{name}`").cast(kind)
+    return named(name).cast(kind)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, or a longer one: one that df has no column of, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def row_of(df: DataFrame, row_col: str | None = None):
@@ -102,6 +117,30 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
 
 
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+#: Odd multipliers of the independent hashes of words and of sequences of words.
+_SEEDS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of data[start:end], for spans in order that do not overlap. Every byte is scrambled
+    with its place in the word before it is added, so no arrangement of bytes cancels out. Hashes of
+    another seed are independent."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    lengths = ends - starts
+    places = ragged(np.zeros(len(starts), np.int64), lengths).astype(np.uint64)
+    values = data if len(places) == len(data) else data[ragged(starts, lengths)]
+    each = mix(((places << np.uint64(8)) + values + np.uint64(1)) * _SEEDS[seed])
+    return mix(np.add.reduceat(each, np.cumsum(lengths) - lengths) + lengths.astype(np.uint64))
+
+
+def sequence_hashes(words: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of all runs of n words, from their hashes, scrambled word by word."""
+    count = max(0, len(words) - n + 1)
+    found = np.full(count, n, np.uint64)
+    for k in range(n):
+        found = mix(found * _SEEDS[seed] + words[k : k + count])
+    return found
 
 
 class Texts:
@@ -123,9 +162,9 @@ class Texts:
     def text(self, i: int) -> bytes:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
-    def words(self, fold: bool = False) -> None:
+    def words(self, fold: bool = False, seeds: tuple[int, ...] = (0,)) -> None:
         """Find the words: ``starts`` and ``ends`` in bytes, ``first`` (each text's first word, and
-        the end), ``hashes``. fold: A-Z count as a-z."""
+        the end), ``hashes`` and, for further seeds, ``more``. fold: A-Z count as a-z."""
         n = len(self.data)
         solid = ~SPACE[self.data]
         before, after = np.zeros(n, bool), np.zeros(n, bool)
@@ -139,7 +178,7 @@ class Texts:
         data = self.data
         if fold:
             data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-        self.hashes = span_hashes(_BYTES[data], self.starts, self.ends)
+        self.hashes, *self.more = (word_hashes(data, self.starts, self.ends, seed) for seed in seeds)
 
     def byte_values(self) -> np.ndarray:
         return _BYTES[self.data]

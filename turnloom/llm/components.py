@@ -34,3 +34,13 @@ def components(links: DataFrame) -> DataFrame:
         before = state
     roots = links.select("a").distinct()
     return links.select(F.col("b").alias("node"), F.col("a").alias("component")).union(roots.select("a", F.col("a").alias("component")))
+
+
+def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, component`` after further links (a, b), which may name nodes that parts has not. Only the
+    components that links join are worked on."""
+    to = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"{end}_part"))
+    joined = links.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b"))
+    above = cut(components(joined))
+    known = parts.join(above.select(F.col("node").alias("component"), F.col("component").alias("above")), "component", "left").select("node", F.coalesce("above", "component").alias("component"))
+    return known.union(above.join(parts.select("node"), "node", "left_anti").select("node", "component"))
