@@ -72,3 +72,37 @@ def test_nothing_to_learn_from(spark):
     assert {r.lang_pred for r in none.collect()} == {"und"}
     one = langid.identify(df.filter("lang = 'en'"))
     assert {r.lang_pred for r in one.collect()} == {"en", "und"}
+
+
+def test_votes_and_margins_against_a_plain_version(spark):
+    df, rows = table(spark)
+    model = langid.fit(df, ~langid.held_out())
+    weights, bias = model.weights.astype(float), model.bias.astype(float)
+
+    def feature(run):
+        key = 0
+        for b in run:
+            key = (key * 16777619 & 0xFFFFFFFF) ^ (b + 1)
+        return ((key ^ (key >> 15)) * 2246822519 & 0xFFFFFFFF) >> 19
+
+    def plain(text):
+        data = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+        margin = bias.copy()
+        for n in range(1, 5):
+            runs = [data[i : i + n] for i in range(len(data) - n + 1)]
+            for run in runs:
+                margin += weights[:, feature(run)] / len(runs)
+        m = dict(zip(model.machines, margin))
+        family = max(sorted({langid.family_of(v) for v in model.langs}), key=lambda f: m["family", f, None])
+        inside = [v for v in model.langs if langid.family_of(v) == family]
+        won = {v: [0, 0.0] for v in inside}
+        for (kind, a, b), value in m.items():
+            if kind == "pair" and a in inside:
+                won[a if value > 0 else b][0] += 1
+                won[a][1] += value
+                won[b][1] -= value
+        return max(inside, key=lambda v: won[v])
+
+    few = [r for r in rows if r[0] is not None and r[0] < 120 and r[0] != 7]
+    got = {r.doc_id: r.lang_pred for r in langid.predict(df, model, ["doc_id"]).collect() if r.doc_id in {f[0] for f in few}}
+    assert got == {i: plain(t) for i, t, _ in few}

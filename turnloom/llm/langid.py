@@ -5,8 +5,8 @@ against the rest; then machines that each separate two languages of that family
 one. Features are the byte runs of length one to four within a text, hashed to a fixed number of
 weights and taken as shares of all runs, so any length of text counts as a whole. Only text is a feature.
 
-The machines are small and fitted on a bounded sample of labelled texts, drawn by hash of the text
-from all of the table; of those only hashed counts reach the driver. Prediction is one pass over the
+The machines are small and fitted on a bounded sample of labelled texts, drawn by hash of id and text
+from all of the table; of those only hashed shares reach the driver, as sparse rows. Prediction is one pass over the
 scan: runs are hashed once, weights are looked up and summed per text.
 """
 
@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from turnloom.llm.common import column, slices
+from turnloom.llm.common import column, named, slices, unused
 
 #: Hashed features (places of 16 bits), and the longest run.
 FEATURES, RUNS = 1 << 13, 4
@@ -66,21 +67,25 @@ def _shares(data: np.ndarray) -> np.ndarray:
     return total
 
 
-def fit_machine(x: np.ndarray, rows: np.ndarray, y: np.ndarray, rounds: int = 12, cost: float = 1.0) -> np.ndarray:
-    """A linear machine (weights, then bias) for some rows of x and their labels of -1 and 1: hinge loss
-    by coordinate ascent on the dual, in a fixed order."""
+Rows = list[tuple[np.ndarray, np.ndarray]]
+
+
+def fit_machine(x: Rows, scale: np.ndarray, rows: np.ndarray, y: np.ndarray, rounds: int = 12, cost: float = 1.0) -> np.ndarray:
+    """A linear machine (weights, then bias) for some of the sparse rows (places, values) and their
+    labels of -1 and 1: hinge loss by coordinate ascent on the dual, in a fixed order."""
     # both sides weigh the same, however many rows they have
     limit = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum()))) * cost
-    square = np.array([float(x[r] @ x[r]) for r in rows]) + 0.01
-    alpha, w, bias = np.zeros(len(y)), np.zeros(x.shape[1], np.float32), 0.0
+    alpha, w, bias = np.zeros(len(y)), np.zeros(len(scale), np.float32), 0.0
+    square = np.array([float(np.square(x[r][1] * scale[x[r][0]]).sum()) for r in rows]) + 0.01
     order = np.random.Generator(np.random.PCG64(7))
     for _ in range(rounds):
         for i in order.permutation(len(y)):
-            row = x[rows[i]]
-            now = min(max(alpha[i] - (y[i] * (float(w @ row) + bias) - 1) / square[i], 0), limit[i])
+            at, value = x[rows[i]]
+            value = value * scale[at]
+            now = min(max(alpha[i] - (y[i] * (float(w[at] @ value) + bias) - 1) / square[i], 0), limit[i])
             if now != alpha[i]:
                 step = (now - alpha[i]) * y[i]
-                w += np.float32(step) * row
+                w[at] += np.float32(step) * value
                 bias += step * 0.01
                 alpha[i] = now
     return np.append(w, np.float32(bias))
@@ -89,22 +94,24 @@ def fit_machine(x: np.ndarray, rows: np.ndarray, y: np.ndarray, rounds: int = 12
 class Model:
     """The fitted machines: one per family, one per pair of languages within a family."""
 
-    def __init__(self, langs: list[str], x: np.ndarray, labels: np.ndarray):
-        self.langs = sorted(langs)
+    def __init__(self, x: Rows, labels: np.ndarray):
+        self.langs = sorted(set(labels))
         self.families = sorted({family_of(v) for v in self.langs})
         names = np.array([family_of(v) for v in labels])
+        total = np.zeros(FEATURES, np.float64)
+        for at, value in x:
+            total[at] += value
         # rare and common runs alike: features are scaled by their spread over the sample
-        scale = (4 / np.sqrt(x.mean(0) + 1e-4)).astype(np.float32)
-        x *= scale  # in place: the sample is the largest thing that the driver holds
+        scale = (4 / np.sqrt(total / len(x) + 1e-4)).astype(np.float32)
         self.machines, made = [], []
         if len(self.families) > 1:
             for family in self.families:
-                made.append(fit_machine(x, np.arange(len(x)), np.where(names == family, 1, -1)))
+                made.append(fit_machine(x, scale, np.arange(len(x)), np.where(names == family, 1, -1)))
                 self.machines.append(("family", family, None))
         for family in self.families:
             for a, b in combinations([v for v in self.langs if family_of(v) == family], 2):
                 rows = np.flatnonzero((labels == a) | (labels == b))
-                made.append(fit_machine(x, rows, np.where(labels[rows] == a, 1, -1)))
+                made.append(fit_machine(x, scale, rows, np.where(labels[rows] == a, 1, -1)))
                 self.machines.append(("pair", a, b))
         weights = np.array(made, np.float32).reshape(len(made), FEATURES + 1)
         self.bias = weights[:, -1].copy()
@@ -171,12 +178,12 @@ def fit(df: DataFrame, train: Column | None = None, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_pydict({"lang": batch.column("lang"), "draw": batch.column("draw"), "at": pa.array([s.tobytes() for s in some], pa.binary()), "value": pa.array([f[s].tobytes() for f, s in zip(found, some)], pa.binary())})
 
     drawn = drawn.mapInArrow(shares, "lang string, draw double, at binary, value binary").orderBy("draw", "lang", "at", "value").limit(2 * sample * len(counts))
-    # rows come in order and go into the table one at a time: the driver has no second copy of them
-    x, labels = np.zeros((2 * sample * len(counts), FEATURES), np.float32), []
-    for r in drawn.toLocalIterator():
-        x[len(labels), np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["value"], np.float32)
+    x: Rows = []
+    labels: list[str] = []
+    for r in drawn.toLocalIterator():  # sparse: a few kB for each text of a bounded number
+        x.append((np.frombuffer(r["at"], np.uint16), np.frombuffer(r["value"], np.float32)))
         labels.append(r["lang"])
-    return Model(sorted(set(labels)), x[: len(labels)], np.array(labels, dtype=object)) if labels else None
+    return Model(x, np.array(labels, dtype=object)) if labels else None
 
 
 def _has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -189,14 +196,15 @@ def _has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return found
 
 
-def predict(df: DataFrame, model: Model | None, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Columns ``keep`` of df with ``lang_pred`` and ``score``.
+def predict(df: DataFrame, model: Model | None, keep: list[str], text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Columns ``keep`` of df with a predicted language and its score, named by ``names``, which are to
+    differ from those in keep.
 
     Texts that are null, empty or without any letter get ``und`` and score 0, as do all without a model
-    (nothing to learn from). keep must not name a column ``lang_pred`` or ``score``.
+    (nothing to learn from). Where machines tie, the language that is last by name is taken.
     """
-    rows = df.select(*(F.col(f"`{c}`") for c in keep), *([] if text_col in keep else [column(df, text_col, "string").alias(text_col)]))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keep)
+    taken = [df.schema[c] for c in keep]
+    rows = df.select(*(named(c) for c in keep), *([] if text_col in keep else [column(df, text_col, "string").alias(text_col)]))
     known = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,13 +213,19 @@ def predict(df: DataFrame, model: Model | None, keep: list[str], text_col: str =
             langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
             some = np.flatnonzero(_has_letter(texts.data, texts.offsets)) if model else []
             if len(some):
-                named, score = model.predict(model.margins(texts.data, texts.offsets)[some])
-                for i, lang in zip(some, named):
+                found, score = model.predict(model.margins(texts.data, texts.offsets)[some])
+                for i, lang in zip(some, found):
                     langs[i] = lang
                 scores[some] = score
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(langs), pa.array(scores)], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(langs), pa.array(scores)], names=[*keep, *names])
+
+    return rows.mapInArrow(run, StructType([*taken, StructField(names[0], StringType()), StructField(names[1], DoubleType())]))
 
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
+
+def keep_known(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of df that get a language, with all their columns, whatever their names."""
+    names = (unused(df, "lang_pred"), unused(df, "score"))
+    return predict(df, model, df.columns, text_col, names).filter(named(names[0]) != UNKNOWN).select(*(named(c) for c in df.columns))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -221,7 +235,13 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per row of df: ``doc_id, held_out, lang_pred, score``. Learns from the rows that are not
-    held out and have a lang; lang and ids are no input of a prediction. Other columns are ignored."""
+    held out and have a lang; lang and ids are no input of a prediction.
+
+    Null, empty and letterless texts are ``und``, with score 0; so are all where nothing can be learned.
+    Texts of any length count as a whole. Null ids are held out; repeated rows each get the same
+    language. Ties go to the language that is last by name. An empty table gives an empty result.
+    Other columns are ignored, whatever their names.
+    """
     model = fit(df, ~held_out(id_col), id_col, text_col, lang_col)
     rows = df.select(column(df, id_col, "bigint").alias("doc_id"), held_out(id_col).alias("held_out"), column(df, text_col, "string").alias("text"))
     return predict(rows, model, ["doc_id", "held_out"])
