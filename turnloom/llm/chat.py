@@ -109,13 +109,29 @@ def format_chats(events: DataFrame) -> DataFrame:
     return rows.repartition("conv_id").sortWithinPartitions(*order).mapInArrow(_fold_sorted, FORMATTED)
 
 
-def events_of_turns(turns: DataFrame) -> DataFrame:
-    """The log of finished conversations (conv_id, turn, role, text): each row is a turn of its own
-    and gives one event that starts a message with the whole text. Rows with equal turns are told apart
-    by role and text, and rows that are equal in all count as often as they are there."""
+def events_of_turns(turns: DataFrame, piece: int = 200) -> DataFrame:
+    """A log that ends in the given turns (conv_id, turn, role, text), as a chat front end would write it.
+
+    Turns are streamed in pieces of ``piece`` code points, and by their place in the conversation some
+    are begun with another text: every fourth starts with a draft that an edit replaces, every fourth
+    streams a first answer and is then regenerated, and the others stream at once. Rows with equal turns
+    are told apart by role and text, and rows that are equal in all count as often as they are there.
+    """
     rows = turns.select(column(turns, "conv_id", "bigint").alias("conv_id"), column(turns, "turn", "bigint").alias("turn"), column(turns, "role", "string").alias("role"), column(turns, "text", "string").alias("text"))
-    order = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
-    return rows.select("conv_id", order.alias("seq"), order.alias("message_id"), F.lit("start").alias("event"), "role", "text")
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
+    event = lambda kind, text: F.struct(F.lit(kind).alias("event"), text.alias("text"))
+    none = F.lit(None).cast("string")
+    whole = F.coalesce("text", F.lit(""))
+    count = F.greatest(F.ceil(F.length(whole) / F.lit(piece)), F.lit(1)).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), count - 1), lambda i: event("delta", F.substring(whole, i * piece + 1, F.lit(piece))))
+    kind = F.col("place") % 4
+    story = (
+        F.when(kind == 1, F.array(event("start", F.concat(F.lit("draft: "), F.substring(whole, 1, piece))), event("edit", F.col("text"))))
+        .when(kind == 3, F.concat(F.array(event("start", none), event("delta", F.lit("another answer")), event("regenerate", none)), pieces))
+        .otherwise(F.concat(F.array(event("start", none)), pieces))
+    )
+    made = rows.withColumn("place", place).select("conv_id", "place", "role", F.posexplode(story).alias("at", "told"))
+    return made.select("conv_id", (F.shiftleft("place", 32) + F.col("at")).alias("seq"), F.col("place").alias("message_id"), "told.event", F.when(F.col("at") == 0, F.col("role")).alias("role"), "told.text")
 
 
 def _unescape(text):
