@@ -2,7 +2,9 @@
 
 Five stages, each a whole pass over what the one before kept: documents without a language go, exact
 copies go, near copies go, sources are mixed to their target weights (documents repeat or go), and
-the rest is encoded. All stages but the last return the columns of their input.
+the rest is encoded. All stages but the last return the columns of their input, also those that have
+names which a stage uses itself. Null and empty texts go in the first stage; a null id is no reason to
+go. An empty table passes all stages.
 """
 
 from __future__ import annotations
@@ -12,42 +14,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.llm import bpe, exact, langid, minhash, mixing
-from turnloom.llm.common import cut
+from turnloom.llm.common import cut, named, unused
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with row numbers, written: read again they are the same, however the scan is split."""
-    return cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-
-
-def _with(rows: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Numbered rows joined with a table of their numbers."""
-    return rows.join(chosen.withColumnRenamed("row", "_row"), "_row")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with row numbers, written, and the name of their column: read again they are the same,
+    however the scan is split."""
+    row = unused(docs, "_row")
+    return cut(docs.withColumn(row, F.monotonically_increasing_id())), row
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that have no language: null, empty, or without a letter."""
-    model = langid.fit(docs, ~langid.held_out())
-    return langid.predict(docs, model, docs.columns).filter(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    return langid.keep_known(docs, langid.fit(docs, ~langid.held_out()))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts keeps the document with the largest id."""
-    rows = _numbered(docs)
-    return _with(rows, exact.exact_dedup(rows, row_col="_row").filter("kept").select("row")).select(*docs.columns)
+    """Of equal texts keeps the document with the largest id; of repeated rows, one."""
+    rows, row = _numbered(docs)
+    kept = exact.exact_dedup(rows, row_col=row).filter("kept").select(F.col("row").alias(row))
+    return rows.join(kept, row).select(*map(named, docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies keeps the document with the smallest id."""
-    rows = _numbered(docs)
-    return _with(rows, minhash.near_dedup(rows, row_col="_row").filter("kept").select("row")).select(*docs.columns)
+    rows, row = _numbered(docs)
+    kept = minhash.near_dedup(rows, row_col=row).filter("kept").select(F.col("row").alias(row))
+    return rows.join(kept, row).select(*map(named, docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents so that sources come near their targets; copies are rows."""
-    rows = _numbered(docs)
-    copies = mixing.mix_sources(rows, row_col="_row").filter("copies > 0").select("row", "copies")
-    return _with(rows, copies).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    rows, row = _numbered(docs)
+    copies = mixing.mix_sources(rows, row_col=row).filter("copies > 0").select(F.col("row").alias(row), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias(unused(rows, "_copy")))
+    return rows.join(copies, row).select(*map(named, docs.columns))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
