@@ -125,3 +125,18 @@ def test_empty_table(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_with_names_that_stages_use(spark, tmp_path):
+    names = ["lang_pred", "score", "_row", "_copy", "row", "copies", "Kept"]
+    docs = [(*d, *(f"{n} {d[0]}" for n in names)) for d in documents()]
+    docs += [(None, "Words of a text without an id", "en", "a", 0, *names), (None, "Words of a text without an id", "en", "a", 0, *names), (300, "long " * 60_000, "en", "b", 0, *names)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    spark.createDataFrame(docs, schema).coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    given, frame = {tuple(d) for d in docs}, spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        frame = corpus_pipeline.cut(stage(spark, frame, str(tmp_path)))
+        rows = [tuple(r) for r in frame.collect()]
+        assert frame.columns == [c.split(" ")[0] for c in schema.split(", ")]
+        assert rows and set(rows) <= given
+    assert sum(r[0] is None for r in rows) in (0, 1, 2)
