@@ -35,7 +35,7 @@ def visible(node):
     for child in node.children:
         if isinstance(child, str):
             yield child
-        elif not html.hidden(child):
+        elif "hidden" not in child.attrs and child.get("style") != "display:none":
             yield from visible(child)
 
 
@@ -108,3 +108,70 @@ def test_tables_lose_no_text():
         page = "".join(parts)
         got = html.extract_text(page).split()
         assert sorted(w for w in got if w.startswith("w")) == sorted(f"w{i}x" for i in range(n)), page
+
+
+WIDE = "word " * 13 + "end"  # 68 columns
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<div style='visibility:hidden'>no<p style='Visibility : visible'>yes<b style='visibility:collapse'>no</b></div>", "yes"),
+        ("<p style='background:url(display-none);display:none'>no</p><p style='display:none;display:block'>a<p style='display:none!important;display:block'>no", "a"),
+        ("<p style='content: visibility hidden'>a</p><p class='display:none'>b", "a\n\nb"),
+        ("<table style=visibility:hidden><tr><td>no<td style=visibility:visible>yes</table>", "yes"),
+        ("<div style=visibility:hidden><table><tr><td>no<table style=visibility:visible><tr><td>in</table></table></div>", "in"),
+        ("<ul><li style=visibility:hidden>no<li>b</ul>", "- b"),
+        (f"<table><tr><td>{WIDE}<td>x<tr><td>y<td>z</table>", "word " * 11 + "word  x\nword end\ny" + " " * 60 + "z"),
+        (f"<table><tr><td>{'l' * 70}<td>x<tr><td>y<td>z</table>", "l" * 70 + "\n   x\ny  z"),
+        ("<table><tr><td><table><tr><td><table><tr><td>a<td>b<tr><td>cc<td>d</table></table><td>e</table>", "a   b  e\ncc  d"),
+        ("<table><tr><td><pre>a\n  b</pre><td>c</table>", "a    c\n  b"),
+        ("<table><tr><td rowspan=0>a<td>b<tr><td>c</table>", "a  b\n   c"),
+        ("<table><tr><td colspan=99999999>a<td>b<tr><td rowspan=' 2x'>c<td>d<tr><td>e</table>", "a     b\nc  d\n   e"),
+    ],
+)
+def test_visibility_and_cells(page, want):
+    assert html.extract_text(page) == want
+
+
+def test_layout_of_made_pages():
+    """Pages written from blocks, lists and tables whose layout is known without a tree."""
+    rng = random.Random(3)
+    words = lambda most: " ".join(rng.choice(["ab", "c", "def", "日本", "x&y"]) for _ in range(rng.randrange(1, most)))
+    safe = lambda t: t.replace("&", "&amp;")
+    columns = lambda t: sum(2 if c in "日本" else 1 for c in t)
+
+    def items(depth):
+        ordered, at, lines, markup = rng.random() < 0.5, rng.randrange(1, 12), [], ""
+        tag = f"ol start={at}" if ordered else "ul"
+        for _ in range(rng.randrange(1, 4)):
+            mark, text = f"{at}. " if ordered else "- ", words(6)
+            lines.append(mark + text)
+            markup += f"<li>{safe(text)}"
+            if depth < 3 and rng.random() < 0.3:
+                inner, inside = items(depth + 1)
+                lines += [" " * len(mark) + line for line in inner]
+                markup += inside
+            at += 1
+        return lines, f"<{tag}>{markup}</{tag[:2]}>"
+
+    def table():
+        rows = [[words(4) if rng.random() < 0.9 else "" for _ in range(rng.randrange(1, 5))] for _ in range(rng.randrange(1, 5))]
+        used = sorted({k for row in rows for k, text in enumerate(row) if text})
+        wide = {k: max(columns(row[k]) for row in rows if len(row) > k) for k in used}
+        lines = ["  ".join((row[k] if k < len(row) else "") + " " * (wide[k] - columns(row[k] if k < len(row) else "")) for k in used).rstrip() for row in rows]
+        return [line for line in lines if line], "<table>" + "".join("<tr>" + "".join(f"<td>{safe(c)}</td>" for c in row) + "</tr>" for row in rows) + "</table>"
+
+    for _ in range(300):
+        want, page = [], ""
+        for _ in range(rng.randrange(1, 6)):
+            kind = rng.random()
+            if kind < 0.4:
+                text = words(8)
+                lines, markup = [text], f"<p>{safe(text)}</p>"
+            else:
+                lines, markup = items(0) if kind < 0.7 else table()
+            if lines:
+                want.append("\n".join(lines))
+            page += markup + rng.choice(["", "\n", "<script>no</script>"])
+        assert html.extract_text(page) == "\n\n".join(want), page
