@@ -83,15 +83,33 @@ NOISE_NODES = (
     ".response-container-footer, .inline-media-container, .file-preview-container, .query-file-carousel, "
     ".order-first, .sticky"
 )
+#: The same for turns that are captured one by one, and for the messages of a captured share page.
 TURN_NOISE_NODES = (
     "script, style, noscript, template, button, input, textarea, select, nav, footer, aside, form, iframe, "
     "canvas, audio, video, [aria-hidden=true], .sr-only, .hidden, .sticky, .order-first, [class*=actions], "
     "[class*=copy], [class*=popover], [class*=tooltip]"
 )
+SNAPSHOT_NOISE_NODES = (
+    "script, style, noscript, template, button, input, textarea, select, iframe, canvas, audio, video, svg, [role=button], "
+    ".message-hoc-container, .user-message-footer, .response-message-footer"
+)
+TURN_NODES = "section[data-turn], [data-testid^=conversation-turn-]"
 MATH_NODES = (
     ".katex-display, .katex, mjx-container, .MathJax_Display, .MathJax, math, [data-latex], [data-tex], "
     "[data-math], .math-display, .math-inline, .display-math, .inline-math"
 )
+#: Classes of formulas that stand on lines of their own.
+BLOCK_MATH_CLASSES = frozenset({"katex-display", "mathjax_display", "math-display", "display-math"})
+#: What in a label shows that it is TeX.
+TEX_MARK = r"\\(?:frac|sqrt|begin|sum|int|log|sin|cos|tan|left|right|mathbf|mathrm)|[_^{}]"
+#: Where a formula's TeX is looked for: nodes inside it, then attributes.
+TEX_NODES = ("annotation[encoding='application/x-tex'], annotation[encoding='application/tex']", "script[type^='math/tex']")
+TEX_ATTRIBUTES = ("data-latex", "data-tex", "data-math", "data-formula")
+MATH_SOURCE_TAGS = frozenset({"annotation", "annotation-xml"})
+PICTURE_TAGS = frozenset({"svg", "path", "img", "picture", "source"})
+SAFE_LINK = r"https?://|#"
+#: Blocks that are left out when nothing stands in them, one kind after the other.
+EMPTY_BLOCKS = (r"<div>\s*</div>", r"<p>\s*</p>")
 ALLOWED_TAGS = frozenset(
     "p div span strong b em i u s code pre blockquote ul ol li h1 h2 h3 h4 h5 h6 table thead tbody tr th td hr a br".split()
 )
@@ -110,5 +128,8 @@ MATHML_ATTRIBUTES = frozenset(
 )
 #: Keys that a structured message may hold its text in, in order.
 TEXT_KEYS = ("text", "content", "message", "answer", "response", "output", "query", "prompt", "value")
+#: Messages in scripts that are no JSON: role before content, and content before role.
+MINED_ROLE_FIRST = r"""["']role["']\s*:\s*["'](user|human|assistant|bot|model)["'][^{}]{0,1800}?["'](?:content|text|message|answer|response)["']\s*:\s*["']((?:\\.|[^"'\\])*)["']"""
+MINED_CONTENT_FIRST = r"""["'](?:content|text|message|answer|response)["']\s*:\s*["']((?:\\.|[^"'\\])*)["'][^{}]{0,1800}?["']role["']\s*:\s*["'](user|human|assistant|bot|model)["']"""
 #: Caps on embedded JSON: characters of a script, of a text; depth of a value; matches of a pattern.
 MAX_SCRIPT, MAX_TEXT, MAX_DEPTH, MAX_MATCHES = 8_000_000, 250_000, 18, 500
