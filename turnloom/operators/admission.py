@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from turnloom.functions import rules
 
-BAD_URL = "Invalid URL. Use a public link of a supported platform."
-SHORT_LINK = "Use the full Gemini share link: https://gemini.google.com/share/..."
-UNSUPPORTED = "Use a supported public share link. Qwen links must use https://chat.qwen.ai/s/..."
-BLOCKED = "The link is protected or could not be extracted."
+BAD_URL = "Not an absolute URL."
+SHORT_LINK = "Short links are not resolved here: give the address that this one leads to."
+UNSUPPORTED = "No public share link of a known platform."
+BLOCKED = "A bot check stands in place of the page."
 
 
 def host(url: Column | str) -> Column:

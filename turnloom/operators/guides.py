@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def guide(guides: DataFrame, slug: str) -> DataFrame:
-    """The guide of that slug; no row if there is none."""
-    return guides.filter(F.col("slug") == slug).limit(1)
+def guide(guides: DataFrame, slug: str, order: str = "position") -> DataFrame:
+    """The guide of that slug, the first in order where several have it; no row if there is none."""
+    return guides.filter(F.col("slug") == slug).orderBy(order).limit(1)
 
 
 def short_title(title: Column | str) -> Column:
@@ -16,10 +16,11 @@ def short_title(title: Column | str) -> Column:
     return F.trim(F.substring_index(title, "|", 1))
 
 
-def related(guides: DataFrame) -> DataFrame:
-    """``slug, pos, related_slug, related_title``: each guide's related ones in its order, those that exist."""
+def related(guides: DataFrame, order: str = "position") -> DataFrame:
+    """``slug, pos, related_slug, related_title``: each guide's related ones in its order, those that
+    exist. Of guides with the same slug the first in order gives the title."""
     wanted = guides.select("slug", F.posexplode("related_slugs").alias("pos", "related_slug"))
-    known = guides.groupBy(F.col("slug").alias("related_slug")).agg(F.min("title").alias("related_title"))
+    known = guides.groupBy(F.col("slug").alias("related_slug")).agg(F.min_by("title", order).alias("related_title"))
     return wanted.join(known, "related_slug").select("slug", F.col("pos").cast("long").alias("pos"), "related_slug", short_title("related_title").alias("related_title"))
 
 
