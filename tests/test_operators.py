@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from turnloom.functions import text
-from turnloom.operators import admission, providers, render
+from turnloom.operators import admission, capture, guides, providers, render
 from turnloom.plans import catalog
 from turnloom.sources import tables
 
@@ -70,3 +70,36 @@ def test_site_map_and_guides(spark, tmp_path):
     assert tables.read_sitemap(spark, str(tmp_path / "s.xml")).first().priority == 1.0
     (tmp_path / "g.json").write_text('[{"slug":"a","title":"A | x","relatedSlugs":["b","c"]},{"slug":"b","title":"B"}]')
     assert [r.slug for r in tables.read_guides(spark, str(tmp_path / "g.json")).orderBy("position").collect()] == ["a", "b"]
+
+
+def test_large_ids_beside_null_ids_stay(spark):
+    html = '<main><div class="font-user-message">Hi</div></main>'
+    pages = spark.createDataFrame([(1152921504606846977, "", html), (None, None, html)], "page_id long, url string, html string").coalesce(1)
+    got = providers.assemble(providers.parse_pages(pages), "2024-02-29").collect()
+    assert {r.page_id for r in got} == {1152921504606846977, None}
+    assert [m.text for r in got for m in r.messages] == ["Hi", "Hi"]
+
+
+def test_guides_of_one_slug_are_taken_in_order(spark):
+    rows = [(2, "a", "T2 | x", ["a"]), (1, "a", "T9 | x", ["b", "a"]), (3, "b", "B", None)]
+    df = spark.createDataFrame(rows, "position long, slug string, title string, related_slugs array<string>")
+    assert guides.guide(df, "a").first().title == "T9 | x" and guides.guide(df, "c").count() == 0
+    assert sorted(tuple(r) for r in guides.related(df).collect()) == [("a", 0, "a", "T9"), ("a", 0, "b", "B"), ("a", 1, "a", "T9")]
+
+
+def test_guide_files_keep_their_order(spark, tmp_path):
+    for name, slugs in (("1.json", "ab"), ("2.json", "cde"), ("3.json", "")):
+        (tmp_path / name).write_text("[" + ",".join(f'{{"slug":"{s}"}}' for s in slugs) + "]")
+    assert [(r.position, r.slug) for r in tables.read_guides(spark, str(tmp_path)).orderBy("position").collect()] == [(1, "a"), (2, "b"), (3, "c"), (4, "d"), (5, "e")]
+
+
+def test_captures(spark):
+    assert capture.snapshot_of("<p>nothing shared</p>") == "" and capture.snapshot_of(None) == ""
+    page = '<title> T </title><div class="share-layout-messages"><p>a</p><button>b</button></div>'
+    assert capture.snapshot_of(page, 'u"').endswith('<body><div class="share-layout-title">T</div><div class="share-layout-date"></div><div class="share-layout-messages"><p>a</p></div></body></html>')
+    turns = "<section data-turn='user'>Q</section><section data-turn='user'>Q</section><section data-turn='user'> </section><div data-testid='conversation-turn-2'>A<nav>x</nav></div>"
+    pages = spark.createDataFrame([(1, "u", turns), (2, None, "<p>none"), (None, None, None)], "page_id long, url string, html string")
+    got = capture.captured(capture.page_turns(pages)).orderBy("pos").collect()
+    assert [(r.page_id, r.html) for r in got] == [(1, '<section data-turn="user">Q</section>'), (1, '<div data-testid="conversation-turn-2">A</div>')]
+    made = {r.page_id: r.html for r in capture.synthetic_pages(capture.page_turns(pages), capture.page_heads(pages)).collect()}
+    assert made[2].endswith('<main data-provider="chatgpt"></main></body></html>') and set(made) == {1, 2, None}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions import rules, text
 from turnloom.functions.sanitize import sanitize_html
-from turnloom.operators import admission, guides, messages, providers, render
+from turnloom.operators import admission, capture, guides, messages, providers, render
 from turnloom.plans import pages as share
 from turnloom.plans import streams
 from turnloom.sources.tables import read_table as table
@@ -84,9 +84,15 @@ def text_collapse(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", md5(text.collapse("text")).alias("body"), F.length(text.collapse("text")).cast("long").alias("n"))
 
 
-@query(f"SELECT doc_id, md5({key_('text')}) AS key FROM documents")
+#: Beginnings that composition changes, and what it makes of them.
+WIDE = ["ﬁve ＡＢ①", "e\u0301t\u00e9 Ⅳ", "ｶﾞ½", "", None]
+COMPOSED = ["five AB1", "\u00e9t\u00e9 IV", "ガ1⁄2", "", ""]
+
+
+@query(f"SELECT doc_id, md5({key_('text')}) AS key, md5({key_(pick_('doc_id % 5', COMPOSED) + " || ' ' || coalesce(text, '')")}) AS composed FROM documents")
 def dedupe_key(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", md5(text.dedupe_key("text")).alias("key"))
+    wide = F.concat(F.coalesce(pick(F.col("doc_id") % 5, WIDE), F.lit("")), F.lit(" "), F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", md5(text.dedupe_key("text")).alias("key"), md5(text.dedupe_key(wide)).alias("composed"))
 
 
 @query(f"SELECT min(doc_id) AS doc_id, md5({key_('text')}) AS key FROM documents GROUP BY md5({key_('text')})")
@@ -155,9 +161,15 @@ def noise_contains(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", *(text.noise_part(value, p).alias(p) for p in rules.NOISE_PARTS))
 
 
-@query(f"SELECT conv_id, turn, length(coalesce(s, '')) <= 16 AND NOT regexp_matches(s, '[\\n\\r]') AS small FROM (SELECT conv_id, turn, left(text, (1 + turn * 6)::INT) AS s FROM conversations)")
+SHORT = ["ok", "sixteen letters.", "seventeen letters", "two\nlines", "", "\r", "é" * 16]
+
+
+@query(f"""WITH w AS (SELECT conv_id, turn, text FROM conversations UNION ALL SELECT conv_id, turn + 1000, {pick_('(conv_id + turn) % 7', SHORT)} FROM conversations)
+SELECT conv_id, turn, length(coalesce(text, '')) <= 16 AND NOT regexp_matches(coalesce(text, ''), '[\\n\\r]') AS small FROM w""")
 def small_bubble(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.small_bubble(F.substring(F.col("text"), F.lit(1), (1 + F.col("turn") * 6).cast("int"))).alias("small"))
+    whole = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    short = whole.select("conv_id", (F.col("turn") + 1000).alias("turn"), pick((F.col("conv_id") + F.col("turn")) % 7, SHORT).alias("text"))
+    return whole.unionByName(short).select("conv_id", "turn", text.small_bubble("text").alias("small"))
 
 
 # -- routing -----------------------------------------------------------------------------------------
@@ -167,24 +179,24 @@ LINKS = [
     "https://chat.qwen.ai/share/x", "https://chatgpt.com/share/e/x", "https://www.chatgpt.com/share/x", "http://claude.ai/share/abc",
     "https://g.co/gemini/share/x", "nope", "https://chatgpt.com/share/A-b_9?q=1#f", "https://claude.ai/SHARE/x",
 ]
-_LINK = pick_("conv_id % 12", LINKS)
-_PARTS = f"""WITH c AS (SELECT conv_id, {_LINK} AS url FROM conversations WHERE turn = 0),
-p AS (SELECT conv_id, url, lower(nullif(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1), '')) AS scheme,
+_LINK = pick_("(conv_id + turn) % 12", LINKS)
+_PARTS = f"""WITH c AS (SELECT conv_id, turn, {_LINK} AS url FROM conversations),
+p AS (SELECT conv_id, turn, url, lower(nullif(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1), '')) AS scheme,
     lower(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1), '')) AS host,
     regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM c),
 h AS (SELECT *, CASE {' '.join(f"WHEN host = '{h}' THEN '{p}'" for h, p in rules.HOSTS.items())} ELSE 'unknown' END AS provider FROM p)"""
 
 
 def _links(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").filter("turn = 0").select("conv_id", pick(F.col("conv_id") % 12, LINKS).alias("url"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", pick((F.col("conv_id") + F.col("turn")) % 12, LINKS).alias("url"))
 
 
-@query(f"""{_PARTS}, e AS (SELECT conv_id, url, provider, CASE WHEN scheme IS NULL OR host IS NULL THEN '{admission.BAD_URL}'
+@query(f"""{_PARTS}, e AS (SELECT conv_id, turn, url, provider, CASE WHEN scheme IS NULL OR host IS NULL THEN '{admission.BAD_URL}'
     WHEN host = 'g.co' AND contains(lower(path), '/gemini/share/') THEN '{admission.SHORT_LINK}'
     WHEN scheme <> 'https' OR provider = 'unknown' OR NOT CASE WHEN provider = 'qwen' THEN regexp_matches(path, '(?i)^/s/[A-Za-z0-9_-]+/?$') ELSE regexp_matches(path, '(?i)^/share/[A-Za-z0-9_-]+/?$') END THEN '{admission.UNSUPPORTED}' END AS error FROM h)
-SELECT conv_id, url, provider, CASE WHEN error IS NULL THEN 200 ELSE 400 END AS status, error FROM e""")
+SELECT conv_id, turn, url, provider, CASE WHEN error IS NULL THEN 200 ELSE 400 END AS status, error FROM e""")
 def url_admission(spark, sf_dir):
-    return admission.admit(_links(spark, sf_dir)).select("conv_id", "url", "provider", "status", "error")
+    return admission.admit(_links(spark, sf_dir)).select("conv_id", "turn", "url", "provider", "status", "error")
 
 
 @query(f"{_PARTS} SELECT provider, count(*) AS n FROM h GROUP BY provider")
@@ -265,12 +277,17 @@ def conversation_assemble(spark, sf_dir):
     return made.select("conv_id", "n_messages", "title", md5(body).alias("body"))
 
 
-@query(f"""{_MESSAGES}, f AS (SELECT conv_id, left({_FIRST}, (60 + conv_id % 40)::INT) AS f FROM rows GROUP BY conv_id),
+#: Every third conversation is opened by a short question before its first turn.
+_OPENED = f"""{_MESSAGES}, opened AS (SELECT * FROM rows UNION ALL SELECT DISTINCT conv_id, -1, 'user', 'Question ' || conv_id FROM rows WHERE conv_id % 3 = 0)"""
+
+
+@query(f"""{_OPENED}, f AS (SELECT conv_id, {_FIRST} AS f FROM opened GROUP BY conv_id),
 t AS (SELECT conv_id, f, {strip_title_(pick_('conv_id % 8', TITLES))} AS t FROM f)
 SELECT conv_id, CASE WHEN t <> '' THEN t WHEN length(f) > 78 THEN left(f, 75) || '...' ELSE f END AS title FROM t""")
 def conversation_title(spark, sf_dir):
-    rows = _rows(spark, sf_dir).withColumn("text", F.substring(F.col("text"), F.lit(1), (60 + F.col("conv_id") % 40).cast("int")))
-    return messages.assemble_conversations(rows, title=pick(F.col("conv_id") % 8, TITLES)).select("conv_id", "title")
+    rows = _rows(spark, sf_dir)
+    opening = rows.filter("conv_id % 3 = 0").select("conv_id").distinct().select("conv_id", F.lit(-1).alias("pos"), F.lit("user").alias("role"), F.concat(F.lit("Question "), F.col("conv_id").cast("string")).alias("text"))
+    return messages.assemble_conversations(rows.unionByName(opening), title=pick(F.col("conv_id") % 8, TITLES)).select("conv_id", "title")
 
 
 _PRIMARY = "(role = 'user' OR conv_id % 2 = 0) AND pos < 1000"
@@ -387,14 +404,22 @@ def _guides(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(i.alias("position"), name(i).alias("slug"), F.concat(F.lit(" Guide "), i.cast("string"), F.lit(" | Site | x")).alias("title"), F.array(name(i + 7), name(i + 1), F.lit("none"), name(i + 7)).alias("related_slugs"), F.array(F.struct(F.concat(F.lit('Is "'), i.cast("string"), F.lit('" ok?')).alias("q"), F.lit("Yes").alias("a"))).alias("faqs"))
 
 
-@query("WITH w AS (SELECT doc_id, unnest([doc_id + 7, doc_id + 1, -1, doc_id + 7]) AS r, unnest([0, 1, 2, 3]) AS pos FROM documents) SELECT 'g' || w.doc_id AS slug, pos::BIGINT AS pos, 'g' || d.doc_id AS related_slug, 'Guide ' || d.doc_id AS related_title FROM w JOIN documents d ON d.doc_id = w.r")
+def _repeated(spark, sf_dir):
+    """The guides, and others under the same slugs at later positions, whose titles sort before theirs."""
+    known = _guides(spark, sf_dir)
+    again = known.withColumns({"position": F.col("position") + 10_000_000, "title": F.concat(F.lit(" Again"), F.col("title"))})
+    return again.unionByName(known)
+
+
+@query("""WITH w AS (SELECT doc_id, unnest([doc_id + 7, doc_id + 1, -1, doc_id + 7]) AS r, unnest([0, 1, 2, 3]) AS pos FROM documents), n AS (SELECT unnest([1, 2]))
+SELECT 'g' || w.doc_id AS slug, pos::BIGINT AS pos, 'g' || d.doc_id AS related_slug, 'Guide ' || d.doc_id AS related_title FROM w JOIN documents d ON d.doc_id = w.r CROSS JOIN n""")
 def related_join(spark, sf_dir):
-    return guides.related(_guides(spark, sf_dir))
+    return guides.related(_repeated(spark, sf_dir))
 
 
 @query("SELECT doc_id AS position, 'Guide ' || doc_id AS title FROM documents WHERE doc_id = 17")
 def guide_lookup(spark, sf_dir):
-    return guides.guide(_guides(spark, sf_dir), "g17").select("position", guides.short_title("title").alias("title"))
+    return guides.guide(_repeated(spark, sf_dir), "g17").select("position", guides.short_title("title").alias("title"))
 
 
 @query("""SELECT doc_id AS position, '{"@type":"ListItem","position":' || doc_id || ',"url":"https://x.test/tools/g' || doc_id || '","name":"Guide ' || doc_id || '"}' AS item,
@@ -429,33 +454,154 @@ def parse_stored_pages(spark, sf_dir):
     return made.select("page_id", "provider", F.size("messages").cast("long").alias("n_messages"), "error")
 
 
-def _parse(provider: str):
+def _parse(name: str):
     def run(spark, sf_dir):
-        made = providers.assemble(providers.parse_pages(share.provider_pages(table(spark, sf_dir, "conversations"), provider)), "2024-02-29")
-        body = F.array_join(F.transform("messages", lambda m: F.concat_ws("|", m["role"], m["text"], m["thought"])), "\n")
+        pages = share.provider_pages(table(spark, sf_dir, "conversations"), name)
+        form = share.FORMS[name]
+        made = providers.assemble(providers.parse_pages(pages, form.provider if form.canonical else None), "2024-02-29")
+        body = F.array_join(F.transform("messages", lambda m: F.concat_ws("|", m["role"], m["text"], m["html"], m["thought"])), "\n")
         return made.select("page_id", "provider", "title", "date", "url", F.size("messages").cast("long").alias("n_messages"), md5(body).alias("body"))
 
     return run
 
 
-for _provider in rules.PROVIDERS:
-    QUERIES[f"parse_{_provider}"] = _parse(_provider)
-    ORACLE_SQL[f"parse_{_provider}"] = share.provider_sql(_provider, c_, key_)
+for _name in share.FORMS:
+    QUERIES[f"parse_{_name}"] = _parse(_name)
+    ORACLE_SQL[f"parse_{_name}"] = share.provider_sql(_name, c_, key_)
+
 
+_DOCUMENTS = f"""
+, parts AS (SELECT page_id, pos, CASE WHEN role = 'user' THEN '<div class="message user"><div class="bubble' || CASE WHEN length(text) <= 16 AND NOT regexp_matches(text, '[\\n\\r]') THEN ' small' ELSE '' END || '">' || {escape_('text')} || '</div></div>'
+    ELSE '<div class="message assistant"><div class="copy"><div class="thought"><span>' || thought || '</span></div>' || html || '</div></div>' END AS part FROM kept),
+docs AS (SELECT page_id, n_messages, error, '<!doctype html><html lang="en"><head><meta charset="utf-8"><title>' || {escape_('title')} || '</title>{render.render_styles()}</head><body><div class="paper"><header><div class="title">' || {escape_('title')}
+    || '</div><div class="subtitle">' || date || ' · CHATGPT</div></header><div class="chat">' || (SELECT string_agg(part, chr(10) ORDER BY pos) FROM parts p WHERE p.page_id = made.page_id) || '</div></div></body></html>' AS doc FROM made)"""
 
-@query(share.provider_sql("chatgpt", c_, key_, columns="page_id, n_messages, error"))
+
+@query(share.provider_sql("chatgpt", c_, key_, "page_id, n_messages, error, (SELECT md5(doc) FROM docs d WHERE d.page_id = made.page_id) AS document", _DOCUMENTS))
 def pages_to_documents(spark, sf_dir):
     """Links to rendered documents, end to end; pages without messages stay without a document."""
     pages = share.provider_pages(table(spark, sf_dir, "conversations"), "chatgpt")
     good = admission.accepted(admission.admit(admission.guard_blocked(pages).filter("error is null").drop("error"))).drop("provider")
     made = render.render(providers.assemble(providers.parse_pages(good), "2024-02-29"), standalone=True)
-    return made.filter("document is not null or error is not null").select("page_id", F.size("messages").cast("long").alias("n_messages"), "error")
+    return made.filter("document is not null or error is not null").select("page_id", F.size("messages").cast("long").alias("n_messages"), "error", md5("document").alias("document"))
+
+
+#: Markup with {} for a text, and what is safe of it.
+SAFE = [
+    ('<p onclick="x">{}</p><script>bad()</script><style>p{color:red}</style>', "<p>{}</p>"),
+    ('<a class="c" href="https://x.test/?a=1" rel="nofollow">{}</a><img src="x">', '<a href="https://x.test/?a=1" target="_blank">{}</a>'),
+    ('<a href="javascript:x()">{}</a><nav>Home</nav><div aria-hidden="true">no</div>', "<a>{}</a>"),
+    (
+        '<span class="katex"><span class="katex-mathml"><math><semantics><mi foo="1" mathvariant="bold">x</mi><annotation encoding="application/x-tex">x</annotation></semantics></math></span><span aria-hidden="true">x</span></span> {}',
+        '<span class="tl-math tl-math-inline" role="math"><math xmlns="http://www.w3.org/1998/Math/MathML" display="inline"><semantics><mi mathvariant="bold">x</mi></semantics></math></span> {}',
+    ),
+    ('<div data-latex="a^2"><b>f</b></div><p>{}</p>', '<div class="tl-math tl-math-display" role="math" data-tex="a^2">a^2</div><p>{}</p>'),
+    ('<section><h2 id="x">{}</h2><div> </div><button>no</button><p></p></section>', "<h2>{}</h2>"),
+    ('<ul class="l"><li>{}<li><code>b</code></ul><div class="hidden">no</div>', "<ul><li>{}</li><li><code>b</code></li></ul>"),
+    (
+        '<svg><path d="M0"></path></svg><math display="block"><mrow><mn>1</mn></mrow></math>{}<script type="math/tex">y</script>',
+        '<div class="tl-math tl-math-display" role="math"><math display="block" xmlns="http://www.w3.org/1998/Math/MathML"><mrow><mn>1</mn></mrow></math></div>{}',
+    ),
+    ('<span class="math-display" aria-label="\\frac{1}{2}"><i>half</i></span><span>{}</span><button>{}</button>', '<div class="tl-math tl-math-display" role="math" data-tex="\\frac{1}{2}">\\frac{1}{2}</div>{}'),
+    ("<form>{}</form><textarea>no</textarea>", "<p>none</p>"),
+]
+
+
+def _made_parts(column: Column, values: list[str], number: Column) -> Column:
+    found = F.lit(None).cast("string")
+    for i, value in enumerate(values):
+        found = F.when(number == i, F.replace(F.lit(value), F.lit("{}"), column)).otherwise(found)
+    return found
+
+
+_PIECE = f"replace(replace(replace(replace({c_('text')}, '&', '&amp;'), chr(160), '&nbsp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query(f"""SELECT conv_id, turn, md5(trim(replace({pick_(f'(conv_id + turn) % {len(SAFE)}', [safe for _, safe in SAFE])}, '{{}}', {_PIECE}))) AS body FROM conversations""")
+def sanitize_parts(spark, sf_dir):
+    """Markup of turns with scripts, links, math and noise around their texts."""
+    parts = table(spark, sf_dir, "conversations").select("conv_id", "turn", _made_parts(text.escape_html(text.collapse("text")), [raw for raw, _ in SAFE], (F.col("conv_id") + F.col("turn")) % len(SAFE)).alias("html"))
+    return parts.select("conv_id", "turn", md5(sanitize_html(F.col("html"), F.lit("none"))).alias("body"))
+
+
+_TREE_SQL = "'THome x' || coalesce(text, '') || 'onetwoabs'"
+_TREE = """<!doctype html><html><head><title>T</title></head><body><nav>Home <b>x</b></nav><p>{}<ul><li>one<li>two</ul><table><tr><td>a<td>b</table><div class="sticky">s</div></body></html>"""
+
+
+@query(f"SELECT conv_id, turn, 14::BIGINT AS n_elements, 2::BIGINT AS n_noise, md5({c_(_TREE_SQL)}) AS text FROM conversations")
+def dom_parts(spark, sf_dir):
+    """Trees of pages made around the texts of turns, with tags that are implied."""
+    rows = table(spark, sf_dir, "conversations").withColumn("page_id", F.shiftleft("conv_id", 16) + F.col("turn"))
+    made = share.dom_summary(rows.select("page_id", F.replace(F.lit(_TREE), F.lit("{}"), text.escape_html("text")).alias("html")))
+    return made.select(F.shiftright("page_id", 16).alias("conv_id"), (F.col("page_id") % 65536).alias("turn"), "n_elements", "n_noise", md5("text").alias("text"))
+
+
+# -- captures ------------------------------------------------------------------------------------------
+
+_TURN = '<section data-turn="user" class="t"><button>Copy</button><div class="msg-actions x">no</div><p>{}</p><span class="sr-only">no</span><i>end</i></section>'
+_CLEAN = '<section data-turn="user" class="t"><p>{}</p><i>end</i></section>'
+
+
+@query(f"SELECT conv_id, turn, md5(replace('{_CLEAN}', '{{}}', {_PIECE})) AS body FROM conversations")
+def clean_turns(spark, sf_dir):
+    """Captured turns without their interface parts."""
+    made = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.replace(F.lit(_TURN), F.lit("{}"), text.escape_html(text.collapse("text"))).alias("html"))
+    return made.select("conv_id", "turn", md5(capture.clean_turns("html")).alias("body"))
+
+
+_SHARED = '<div class="share-layout-date"> May 5 </div><div class="share-layout-messages" id="m"><p>{}</p><div class="user-message-footer">no</div><span role="button">no</span><svg></svg></div>'
+
+
+@query(f"""SELECT conv_id, turn, md5(CASE WHEN turn % 3 = 2 THEN '' ELSE '<!doctype html><html lang="' || CASE WHEN turn % 3 = 0 THEN 'de' ELSE 'en' END || '"><head><title>A &amp; &lt;B&quot; ' || conv_id || '</title><link rel="canonical" href="https://x.test/?a=1&amp;b=' || turn
+|| '"></head><body><div class="share-layout-title">A &amp; &lt;B&quot; ' || conv_id || '</div><div class="share-layout-date">May 5</div><div class="share-layout-messages" id="m"><p>' || {_PIECE} || '</p></div></body></html>' END) AS body FROM conversations""")
+def share_snapshot(spark, sf_dir):
+    """Snapshots of share pages: titles from the page or its head, links from the page or its address."""
+    name = F.concat(F.lit("A &amp; &lt;B\" "), F.col("conv_id").cast("string"))
+    link = F.concat(F.lit("https://x.test/?a=1&b="), F.col("turn").cast("string"))
+    kind = F.col("turn") % 3
+    shared = F.replace(F.lit(_SHARED), F.lit("{}"), text.escape_html(text.collapse("text")))
+    html = (
+        F.when(kind == 0, F.concat(F.lit('<html lang="de"><title>'), name, F.lit("</title><body>"), shared))
+        .when(kind == 1, F.concat(F.lit("<title>other</title><link rel=canonical href='"), link, F.lit("'><p class=share-layout-title> "), name, F.lit(" </p>"), shared))
+        .otherwise(F.concat(F.lit("<title>no messages</title><p>"), name))
+    )
+    made = table(spark, sf_dir, "conversations").select("conv_id", "turn", html.alias("html"), F.when(kind == 0, link).alias("url"))
+    return made.select("conv_id", "turn", md5(capture.snapshot("html", "url")).alias("body"))
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, role, {_PIECE} AS text FROM conversations WHERE role IN ('user', 'assistant') AND {c_('text')} <> '')
+SELECT conv_id AS page_id, md5('<!doctype html><html lang="en"><head><title>Chat ' || conv_id || '</title><link rel="canonical" href="https://chatgpt.com/share/' || conv_id || '"><meta property="og:title" content="say &quot;hi&quot;"><meta property="og:description" content=""></head><body><main data-provider="chatgpt">'
+|| string_agg('<section data-turn="' || role || '" data-turn-id="t' || turn || '"><p>' || text || '</p></section>', chr(10) ORDER BY turn) || '</main></body></html>') AS body FROM t GROUP BY conv_id""")
+def capture_pages(spark, sf_dir):
+    """Pages read as a scrolling capture reads them: turns cleaned, the first of each kept, put together."""
+    turns = table(spark, sf_dir, "conversations").filter("role in ('user', 'assistant')").withColumn("text", text.collapse("text")).filter("text <> ''")
+    twice = turns.withColumn("turn_", F.explode(F.array("turn", F.col("turn") + 1000)))
+    part = F.concat(F.lit('<section data-turn="'), F.col("role"), F.lit('" data-turn-id="t'), F.col("turn").cast("string"), F.lit('"><p>'), text.escape_html("text"), F.lit("</p><button>Copy</button></section>"))
+    made = twice.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("turn_").alias("at"), part.alias("part")))), lambda t: t["part"]), "").alias("turns"))
+    ident = F.col("conv_id").cast("string")
+    pages = made.select(F.col("conv_id").alias("page_id"), F.concat(F.lit("https://chatgpt.com/share/"), ident).alias("url"), F.concat(F.lit("<title>Chat "), ident, F.lit("</title><meta property='og:title' content='say \"hi\"'>"), F.col("turns")).alias("html"))
+    return capture.synthetic_pages(capture.captured(capture.page_turns(pages)), capture.page_heads(pages)).select("page_id", md5("html").alias("body"))
+
+
+# -- readers -------------------------------------------------------------------------------------------
+
+
+@query("""SELECT doc_id + 1 AS position, 'g' || doc_id AS slug, 'Guide "' || doc_id || '" | S' AS title, doc_id % 2 = 0 AS noindex, 'g' || (doc_id + 1) AS related, md5(text) AS intro FROM documents""")
+def guide_files(spark, sf_dir):
+    """Guides written as one file of a JSON array, and read again in their order."""
+    return streams.guide_files(spark, table(spark, sf_dir, "documents"))
+
+
+@query("SELECT 'https://x.test/?p=' || page_id || '&q=' || page_id % 7 AS loc, DATE '2024-01-01' + (page_id % 400)::INT AS lastmod, CASE WHEN page_id % 3 = 0 THEN NULL ELSE 'weekly' END AS changefreq, (page_id % 10) / 10.0::DOUBLE AS priority FROM pages")
+def sitemap_files(spark, sf_dir):
+    """Site maps written as XML, and read again."""
+    return streams.sitemap_files(spark, table(spark, sf_dir, "pages"))
 
 
 # -- streams -------------------------------------------------------------------------------------------
 
 
-@query("SELECT user_id, event_type, count(DISTINCT user_id)::BIGINT AS n FROM events GROUP BY user_id, event_type")
+@query("SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id, event_type")
 def stream_first_capture(spark, sf_dir):
     return streams.first_captures(spark, sf_dir)
 

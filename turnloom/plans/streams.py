@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnloom.sources import tables
 from turnloom.streaming import turns
 
 
@@ -27,12 +28,41 @@ def drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
 
 
 def first_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first event of each user and type (all are within one watermark)."""
-    found = drained(spark, turns.first_captures(_events(spark, sf_dir), ["user_id", "event_type"], "ts", "365 days"))
-    return found.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    """The first event of each user and type."""
+    events = _events(spark, sf_dir).select("event_id", "user_id", "event_type", "ts")
+    return drained(spark, turns.first_captures(events, ["user_id", "event_type"], "ts", ["ts", "event_id"], keep_minutes=365 * 1440)).select("user_id", "event_type", "event_id")
 
 
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One event per user and 15 minutes."""
     found = drained(spark, turns.rate_limit(_events(spark, sf_dir), "user_id", "ts", "event_id", limit=1))
     return found.select(F.col("id").alias("event_id"), "admitted")
+
+
+def _folder(spark: SparkSession, kind: str) -> str:
+    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="turnloom-")
+    return f"{where.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def guide_files(spark: SparkSession, documents: DataFrame) -> DataFrame:
+    """A guide of every document, written as JSON arrays of a thousand, and read again in their order."""
+    i = F.col("doc_id")
+    name = lambda c: F.concat(F.lit("g"), c.cast("string"))
+    guide = F.struct(name(i).alias("slug"), F.concat(F.lit('Guide "'), i.cast("string"), F.lit('" | S')).alias("title"), F.col("text").alias("intro"), (i % 2 == 0).alias("noindex"), F.array(name(i + 1)).alias("relatedSlugs"))
+    files = documents.groupBy(F.floor(i / 1000).alias("part")).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(i.alias("at"), guide.alias("guide")))), lambda g: g["guide"])).alias("value"))
+    path = _folder(spark, "guides")
+    # a folder per file, named so that folders sort as the guides in them
+    files.select(F.lpad(F.col("part").cast("string"), 12, "0").alias("part"), "value").repartition("part").write.partitionBy("part").text(path)
+    return tables.read_guides(spark, path).select("position", "slug", "title", "noindex", F.col("related_slugs")[0].alias("related"), F.md5("intro").alias("intro"))
+
+
+def sitemap_files(spark: SparkSession, pages: DataFrame) -> DataFrame:
+    """A site map entry of every page, written as XML, and read again."""
+    i = F.col("page_id")
+    entries = pages.select(
+        F.concat(F.lit("https://x.test/?p="), i.cast("string"), F.lit("&q="), (i % 7).cast("string")).alias("loc"), F.date_add(F.lit("2024-01-01").cast("date"), (i % 400).cast("int")).alias("lastmod"),
+        F.when(i % 3 != 0, "weekly").alias("changefreq"), ((i % 10) / 10).alias("priority"),
+    )
+    path = _folder(spark, "sitemap")
+    entries.write.format("xml").option("rootTag", "urlset").option("rowTag", "url").save(path)
+    return tables.read_sitemap(spark, path)

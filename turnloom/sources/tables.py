@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SITEMAP = "loc string, lastmod date, changefreq string, priority double"
@@ -26,9 +26,15 @@ def read_sitemap(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_guides(spark: SparkSession, path: str) -> DataFrame:
-    """Guide records of a JSON array, in their order (``position`` from 1) where it is one file."""
-    guides = spark.read.schema(GUIDES).json(path, multiLine=True)
-    return guides.withColumnRenamed("relatedSlugs", "related_slugs").withColumn("position", F.monotonically_increasing_id() + 1)
+    """Guide records of JSON arrays in their order, with ``position`` from 1: the order within a file, and
+    of files by path. Only one small row per file is put in order on its own."""
+    at = spark.read.schema(GUIDES).json(path, multiLine=True, recursiveFileLookup=True).withColumnRenamed("relatedSlugs", "related_slugs")
+    # a file of one array is one split, so ids rise within it
+    at = at.withColumns({"_file": F.col("_metadata.file_path"), "_at": F.monotonically_increasing_id()})
+    files = at.groupBy("_file").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))
+    files = files.select("_file", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    return at.join(files, "_file").withColumn("position", F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_file", "_at", "_first", "_before")
 
 
 def write_conversations(conversations: DataFrame, path: str) -> None:

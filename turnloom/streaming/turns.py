@@ -12,9 +12,26 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 ADMITTED = "client string, id long, admitted boolean"
 
 
-def first_captures(turns: DataFrame, keys: list[str], ts: str, delay: str = "10 minutes") -> DataFrame:
-    """The first of turns with equal keys, on a stream; keys are forgotten once the watermark passes."""
-    return turns.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
+def _first(order: list[str], keep_ms: int):
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        if not state.exists:
+            # of what comes in together the first in order; later batches find the key taken
+            rows = pd.concat(list(batches), ignore_index=True)
+            yield rows.sort_values(order).head(1)
+            state.update((True,))
+        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + keep_ms)
+
+    return run
+
+
+def first_captures(turns: DataFrame, keys: list[str], ts: str, order: list[str], delay: str = "10 minutes", keep_minutes: int = 60) -> DataFrame:
+    """The first of turns with equal keys, on a stream. Within a micro-batch turns count in the given
+    order, across batches as they arrive; a key is forgotten once the watermark has gone so far past it."""
+    timed = turns.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+    return timed.groupBy(*keys).applyInPandasWithState(_first(order, keep_minutes * 60_000), timed.schema, "taken boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def counts(requests: DataFrame, client: str, ts: str, window: str = "15 minutes", delay: str = "1 hour") -> DataFrame:
