@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from turnloom.llm import anchors, exact, minhash, mixing, rlz, suffix
+from turnloom.llm import exact, minhash, mixing, rlz, sampling, suffix
 
 SPLIT = "spark.sql.files.maxPartitionBytes"
 
@@ -26,7 +26,7 @@ def shifting(spark, monkeypatch):
     """From now on every written table changes how later scans are split."""
 
     def start():
-        for module in (anchors, exact, minhash, mixing, rlz, suffix, corpus_pipeline):
+        for module in (sampling, exact, minhash, mixing, rlz, suffix, corpus_pipeline):
 
             def moved(df, write=module.cut):
                 made = write(df)

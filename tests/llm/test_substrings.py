@@ -39,6 +39,10 @@ def brute_bytes(rows):
     return sorted(((i, len(u), len(g), sum(n - 1 not in g for n in g), sha(bytes(b for n, b in enumerate(u) if n not in g))) for i, u, g in gone_units(rows, split)), key=str)
 
 
+def words(df):
+    return rlz.substring_dedup(df).drop("n_factors")
+
+
 def run(spark, op, rows):
     df = spark.createDataFrame([(i, t, "x", 1, "y") for i, t in rows], SCHEMA).coalesce(1)
     return sorted((tuple(r) for r in op(df).collect()), key=str)
@@ -68,7 +72,7 @@ def test_words_against_brute_force(spark, seed):
     word = lambda rng: "".join(rng.choice("abAé") for _ in range(2))
     rows = [(i * 7 % 120, " ".join(p).replace("aa ", "aa\n\t")) for i, p in passages(seed, word, 120)]
     rows += [(200, None), (201, ""), (202, " \n"), (203, "x " * 400), (204, "x " * 60), (None, "x " * 55), (None, "y " * 55), (None, "y " * 55), (205, "same " * 60), (205, "same " * 60)]
-    assert run(spark, rlz.substring_dedup, rows) == brute_words(rows)
+    assert run(spark, words, rows) == brute_words(rows)
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -77,11 +81,13 @@ def test_bytes_against_brute_force(spark, seed):
     rows = [(i * 7 % 120, "".join(p)) for i, p in passages(seed, char, 120)]
     rows += [(200, None), (201, ""), (202, "x"), (203, "x" * 400), (204, "x" * 60), (None, "x" * 55), (None, "y" * 55), (205, "zw" * 60), (205, "zw" * 60), (206, "é" * 70), (207, "é" * 30)]
     assert run(spark, suffix.suffix_dedup, rows) == brute_bytes(rows)
+    if seed == 1:
+        assert run(spark, suffix.doubled, rows) == brute_bytes(rows)
 
 
 def test_empty_tables(spark):
-    assert run(spark, rlz.substring_dedup, []) == [] == run(spark, suffix.suffix_dedup, [])
-    assert run(spark, rlz.substring_dedup, [(1, None)]) == [(1, 0, 0, sha(b""))]
+    assert run(spark, words, []) == [] == run(spark, suffix.suffix_dedup, []) == run(spark, suffix.doubled, [])
+    assert run(spark, words, [(1, None)]) == [(1, 0, 0, sha(b""))]
 
 
 def test_large_texts(spark, monkeypatch):
@@ -98,17 +104,17 @@ def test_anchors_of_one_gram_in_many_batches(monkeypatch, held):
     import numpy as np
     import pyarrow as pa
 
-    from turnloom.llm import anchors
+    from turnloom.llm import sampling
 
-    monkeypatch.setattr(anchors, "HELD", held)
+    monkeypatch.setattr(sampling, "HELD", held)
     rng = random.Random(held)
     rows = sorted((rng.choice([1, 2, 2, 2, 3, 4, 5, 6, 7]), rng.randrange(3) << 16 | rng.randrange(3), rng.randrange(6)) for _ in range(60))
-    batches = [pa.RecordBatch.from_arrays([pa.array(np.array(c, t)) for c, t in zip(zip(*rows[i : i + 4]), ("i8", "i4", "i8"))], names=["gram", "sides", "row"]) for i in range(0, 60, 4)]
-    near = {tuple(r.values())[:3]: r["near"] for b in anchors._shared(iter(batches)) for r in b.to_pylist()}
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.array(c, t)) for c, t in zip((*zip(*rows[i : i + 4]), [0] * len(rows[i : i + 4])), ("i8", "i4", "i8", "i4"))], names=["gram", "sides", "row", "near"]) for i in range(0, 60, 4)]
+    near = {tuple(r.values())[:3]: r["near"] for b in sampling._shared(iter(batches)) for r in b.to_pylist()}
     got = list(near)
     others = lambda r, bit: any(r[0] == o[0] and r[2] != o[2] and (r[1] >> 16 == o[1] >> 16 if bit == 1 else r[1] & 0xFFFF == o[1] & 0xFFFF) for o in rows)
     assert all(near[r] & bit for r in got for bit in (1, 2) if others(r, bit))
     need = {r for r in rows for o in rows if r[0] == o[0] and r[2] != o[2] and (r[1] >> 16 == o[1] >> 16 or r[1] & 0xFFFF == o[1] & 0xFFFF)}
     assert need <= set(got) <= set(rows) and (held < 60 or set(got) == need)
-    whole = list(anchors._shared(iter([pa.concat_batches(batches)]))) if held == 40 else []
+    whole = list(sampling._shared(iter([pa.concat_batches(batches)]))) if held == 40 else []
     assert held != 40 or whole

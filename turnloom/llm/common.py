@@ -14,13 +14,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: Texts are worked on in slices of about this many bytes, so that numpy's temporaries stay small.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 #: Space, tab, line feed, vertical tab, form feed and carriage return end a word.
 SPACE = np.zeros(256, bool)
@@ -75,6 +76,31 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Files up to which their numbers are broadcast to the rows.
+MOST_FILES = 100_000
+
+
+def with_rows(df: DataFrame, name: str, columns: list | None = None) -> DataFrame:
+    """The columns of df (all by default) and ``name``, numbers of rows that are the same however often
+    and on whatever cores the table is read.
+
+    Rows of a Parquet table are known by their file and their place in it, so nothing is written. Any
+    other table, and one of more files than MOST_FILES, is numbered once and written.
+    """
+    columns = [named(c) for c in df.columns] if columns is None else columns
+    numbers = None
+    if not {"_metadata", "_file", "_at"} & {c.lower() for c in df.columns}:
+        try:
+            files = df.select("_metadata.file_path", "_metadata.row_index").select(F.col("file_path").alias("_file")).distinct()
+            numbers = cut(files.withColumn("_number", F.row_number().over(Window.orderBy("_file")).cast("long")))
+        except AnalysisException:  # not a table of files
+            numbers = None
+    if numbers is None or numbers.count() > MOST_FILES:
+        return cut(df.select(*columns, F.monotonically_increasing_id().alias(name)))
+    placed = df.select(*columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    return placed.join(F.broadcast(numbers), "_file").withColumn(name, F.shiftleft("_number", 40) + F.col("_at")).drop("_file", "_at", "_number")
+
+
 def row_of(df: DataFrame, row_col: str | None = None):
     """The number of a row: df's own, or a new one. A new one depends on how the scan is split, which
     changes with the cores at hand, so it holds for one scan only and is to be written."""

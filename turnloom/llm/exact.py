@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import column, cut, row_of
+from turnloom.llm.common import column, cut, with_rows
 
 #: A value with more than one in so many rows is named apart.
 HOT_SHARE = 1000
@@ -50,7 +50,7 @@ def name_values(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4096, row_col: str | None = None) -> DataFrame:
     """One row per row of df: ``doc_id, keep_id, group_size, kept, text_sha256``, and ``row``, the
-    row's number: row_col where df has one, else a monotonically increasing id.
+    row's number: row_col where df has one.
 
     Texts are equal when identical without any change; null counts as the empty text. Of equal texts
     the row with the largest id stays (null ids count as smallest); where that id itself repeats, one
@@ -58,7 +58,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     ignored, whatever their names. An empty table gives an empty result.
     """
     body = F.coalesce(column(df, text_col, "string"), F.lit("")).cast("binary")
-    rows = df.select(column(df, id_col, "bigint").alias("doc_id"), body.alias("body"), row_of(df, row_col).alias("row"))
+    taken = [column(df, id_col, "bigint").alias("doc_id"), body.alias("body")]
+    rows = with_rows(df, "row", taken) if row_col is None else df.select(*taken, column(df, row_col, "bigint").alias("row"))
     width = F.greatest(F.ceil(F.octet_length("body") / F.lit(block_bytes)), F.lit(1)).cast("int")
     total, widest = rows.agg(F.sum(width), F.max(width)).first()
     hot_rows = max(1000, (total or 0) // HOT_SHARE)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import Texts, column, cut, long_lists, mix, ragged, row_of, sequence_hashes, slices
+from turnloom.llm.common import Texts, column, cut, long_lists, mix, ragged, sequence_hashes, slices, with_rows
 from turnloom.llm.components import components, merged
 
 WORDS = 5
@@ -137,20 +137,19 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """One row per row of df: ``doc_id, n_shingles, component_id, kept``, and ``row``, the row's
-    number: row_col where df has one, else a monotonically increasing id.
+    number: row_col where df has one.
 
     Words are runs of bytes other than space, tab, line feed, vertical tab, form feed and carriage
     return, with A-Z lower-cased. A text of fewer than five words has its whole sequence as its one
     shingle; null, empty and wordless texts have none and are linked with nothing. component_id is the
     smallest id that can be reached by links (null ids count as largest); kept is true for one row of
     a component, the first with that id. Rows with equal ids are separate rows. Other columns are
-    ignored, whatever their names. An empty table gives an empty result. df is numbered and written
-    once; with row_col it is read several times, and must be a table. A pair of similarity 0.75 shares
+    ignored, whatever their names. An empty table gives an empty result. df is read several times, and
+    without row_col is written once first if it is no Parquet table. A pair of similarity 0.75 shares
     no band once in 200,000 times, and is estimated too low once in 100,000 times.
     """
-    rows = df.select(row_of(df, row_col).alias("row"), column(df, id_col, "bigint").alias("doc_id"), column(df, text_col, "string").alias("text"))
-    if row_col is None:
-        rows = cut(rows)
+    taken = [column(df, id_col, "bigint").alias("doc_id"), column(df, text_col, "string").alias("text")]
+    rows = with_rows(df, "row", taken) if row_col is None else df.select(*taken, column(df, row_col, "bigint").alias("row"))
     features = cut(rows.mapInArrow(_features, FEATURES))
     some = features.filter("n_shingles > 0")
     # rows with the same set are one node, named by the smallest row

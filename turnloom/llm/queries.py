@@ -47,7 +47,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_rlz_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of 50 words that repeat across documents."""
-    return rlz.substring_dedup(_table(spark, sf_dir, "documents"))
+    return rlz.substring_dedup(_table(spark, sf_dir, "documents")).drop("n_factors")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
