@@ -14,14 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.llm import bpe, exact, langid, minhash, mixing
-from turnloom.llm.common import cut, named, unused
+from turnloom.llm.common import cut, named, unused, with_rows
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with row numbers, written, and the name of their column: read again they are the same,
-    however the scan is split."""
+    """docs with row numbers that all scans agree on, and the name of their column."""
     row = unused(docs, "_row")
-    return cut(docs.withColumn(row, F.monotonically_increasing_id())), row
+    return with_rows(docs, row), row
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
