@@ -39,7 +39,9 @@ def dedupe_key(value: Column | str, normalize: bool = True) -> Column:
     normalize: False leaves out the composition, and with it the only step outside the JVM; right where
     texts are known to be composed.
     """
-    text = nfkc(_text(value)) if normalize else _text(value)
+    text = _text(value)
+    if normalize:  # only texts beyond ASCII leave the JVM: the others are composed as they are
+        text = F.coalesce(nfkc(F.when(F.octet_length(text) != F.length(text), text)), text)
     return F.lower(collapse(F.regexp_replace(text, "[\\u200B-\\u200D\\uFEFF]", "")))
 
 
