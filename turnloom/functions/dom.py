@@ -35,7 +35,13 @@ ROOMS = {"td": {"tr", "tbody", "thead", "tfoot", "table"}, "th": {"tr", "tbody",
 SPACE = re.compile("[" + rules.SPACE_CLASS.encode().decode("unicode_escape") + "]+")
 
 
+#: Characters that Python splits at and browsers do not count as white space.
+_ODD = re.compile("[\x1c-\x1f]")
+
+
 def collapse(text: str | None) -> str:
+    if text and text.isascii() and not _ODD.search(text):
+        return " ".join(text.split())
     return SPACE.sub(" ", text or "").strip(" ")
 
 
@@ -89,15 +95,18 @@ class Node:
         return next((n for n in self.up() if n.matches(selector)), None)
 
     def matches(self, selector: str) -> bool:
+        # without attributes only a tag can match
+        if not self.attrs and self.tag not in tags_of(selector):
+            return False
         return any(_matches(self, chain) for chain in parse_selector(selector))
 
     def all(self, selector: str) -> list[Node]:
-        chains = parse_selector(selector)
-        return [n for n in self.walk() if any(_matches(n, c) for c in chains)]
+        chains, tags = parse_selector(selector), tags_of(selector)
+        return [n for n in self.walk() if (n.attrs or n.tag in tags) and any(_matches(n, c) for c in chains)]
 
     def first(self, selector: str) -> Node | None:
-        chains = parse_selector(selector)
-        return next((n for n in self.walk() if any(_matches(n, c) for c in chains)), None)
+        chains, tags = parse_selector(selector), tags_of(selector)
+        return next((n for n in self.walk() if (n.attrs or n.tag in tags) and any(_matches(n, c) for c in chains)), None)
 
     def copy(self) -> Node:
         made = Node(self.tag, dict(self.attrs))
@@ -306,6 +315,23 @@ def parse_selector(selector: str) -> tuple:
     return tuple(chains)
 
 
+class _AnyTag:
+    def __contains__(self, tag: str) -> bool:
+        return True
+
+
+@lru_cache(maxsize=512)
+def tags_of(selector: str):
+    """The tags that a selector names for the node itself; any tag, if one of its chains takes any."""
+    found = set()
+    for chain in parse_selector(selector):
+        tests = chain[0][1]
+        if not tests or all(t[0] == t[1] == t[2] == t[3] == "" for t in tests):
+            return _AnyTag()
+        found |= {t[0] for t in tests if t[0]}
+    return frozenset(found)
+
+
 def _fits(node: Node, tests: tuple) -> bool:
     for tag, cls, ident, name, op, value in tests:
         if tag:
