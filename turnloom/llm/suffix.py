@@ -14,7 +14,7 @@ document decide, and positions whose rank no other document has drop out before
    passages.
 
 Full doubling (``doubled``) ranks every byte and sorts them all again at each offset. It gives the same
-rows, and is what the sampled form is tested against; at scale it shuffles some hundred times its input.
+rows, and is what the sampled form is tested against; it shuffles some two hundred times its input.
 """
 
 from __future__ import annotations
