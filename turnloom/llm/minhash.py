@@ -158,7 +158,8 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
     first = some.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "bands", "bits")
     spread = first.select("node", "bits", F.posexplode("bands").alias("band", "bucket"))
     drawn = F.struct(F.xxhash64("node", "band").alias("draw"), F.col("node"))
-    buckets = spread.select("node", "band", "bucket").groupBy("bucket").agg(F.count("*").alias("n"), F.min(drawn)["node"].alias("pivot")).filter("n > 1")
+    # what is joined with members of hot groups is a table: Spark then splits the join where it is skewed
+    buckets = cut(spread.select("node", "band", "bucket").groupBy("bucket").agg(F.count("*").alias("n"), F.min(drawn)["node"].alias("pivot")).filter("n > 1"))
     members = cut(spread.select("node", "band", "bucket", "bits").join(buckets, "bucket"))
     inside = cut(members.select("node").distinct())
     sets = cut(rows.withColumnRenamed("row", "node").join(inside, "node", "left_semi").select("node", "text").mapInArrow(_sets, "node long, set array<long>"))
@@ -173,7 +174,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
     placed = placed.withColumn("component", F.coalesce("component", "node")).select("row", "doc_id", "n_shingles", "component")
     alone = features.filter("n_shingles = 0").select("row", "doc_id", "n_shingles", F.col("row").alias("component"))
     placed = cut(placed.unionByName(alone))
-    best = placed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"))
+    best = cut(placed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")))
     return placed.join(best, "component").select("doc_id", "n_shingles", F.col("best.doc_id").alias("component_id"), (F.col("row") == F.col("best.row")).alias("kept"), "row")
 
 
@@ -221,7 +222,7 @@ def _rest(members: DataFrame, parts: DataFrame, sets: DataFrame, bands: DataFram
     now = members.filter("n > 2").join(parts, "node", "left").select("bucket", "band", "node", "n", "pivot", "bits", F.coalesce("component", "node").alias("part"))
     sizes = now.groupBy("bucket", "part").agg(F.count("*").alias("n"))
     main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
-    main = main.select("bucket", F.col("main.part").alias("main"), (F.col("n") - F.col("main.n")).alias("n_minor"))
+    main = cut(main.select("bucket", F.col("main.part").alias("main"), (F.col("n") - F.col("main.n")).alias("n_minor")))
     now = cut(now.join(main, "bucket").withColumn("minor", F.col("part") != F.col("main")))
 
     fields = ("part", "bits", "minor")
