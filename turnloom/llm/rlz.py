@@ -109,8 +109,10 @@ def looked_up(blocks: DataFrame) -> DataFrame:
     total = index.agg(F.sum("n")).first()[0] or 0
     limit = max(10_000, total // 1000)
     grams = index.filter("not hot").groupBy("gram").agg((F.min("key1") != F.max("key1")).alias("varied"))
-    known = index.filter("n > 1 or hot").join(grams, "gram", "left").unionByName(index.filter("n = 1 and not hot").join(grams.filter("varied"), "gram"))
-    known = cut(known.select("key1", "key2", "owner", "n", F.coalesce("varied", F.lit(True)).alias("varied")))
+    # a block without a copy matters only where its gram has other blocks; hot grams have, and are not joined
+    known = index.filter("n > 1 and not hot").join(grams, "gram").unionByName(index.filter("n = 1 and not hot").join(grams.filter("varied"), "gram"))
+    known = known.unionByName(index.filter("hot").withColumn("varied", F.lit(True)))
+    known = cut(known.select("key1", "key2", "owner", "n", "varied"))
     common = F.broadcast(known.filter(F.col("n") > limit).drop("n"))  # 1,000 at most
     many = blocks.join(common, ["key1", "key2"])
     rest = blocks.join(common.select("key1", "key2"), ["key1", "key2"], "left_anti").join(known.filter(F.col("n") <= limit).drop("n"), ["key1", "key2"])
