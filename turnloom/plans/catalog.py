@@ -349,12 +349,15 @@ def best_shortest_55pct(spark, sf_dir):
     return messages.best_shortest(lines, "doc_id", "line", "pos", F.col("size")).select("doc_id", F.col("pos").cast("long").alias("pos"))
 
 
-@query(f"""WITH k AS (SELECT doc_id, lang, source, {key_('text')} AS key FROM documents), r AS (SELECT * FROM k UNION ALL SELECT doc_id + 1000000, lang, source, left(key, 60) FROM k)
-SELECT x.lang, x.source, x.doc_id AS a, y.doc_id AS b FROM r x JOIN r y ON x.lang = y.lang AND x.source = y.source AND x.doc_id <> y.doc_id AND length(x.key) > 40 AND length(y.key) > 40 AND contains(y.key, x.key)""")
+@query(f"""{_MESSAGES}, k AS (SELECT conv_id, role, conv_id * 65536 + pos AS id, {key_('text')} AS key FROM rows WHERE pos < 1000),
+r AS (SELECT * FROM k UNION ALL SELECT conv_id, role, id + 1000, left(key, 60) FROM k)
+SELECT x.conv_id, x.role, x.id AS a, y.id AS b FROM r x JOIN r y ON x.conv_id = y.conv_id AND x.role = y.role AND x.id <> y.id AND length(x.key) > 40 AND length(y.key) > 40 AND contains(y.key, x.key)""")
 def near_dup_pairs(spark, sf_dir):
-    keyed = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", text.dedupe_key("text").alias("key"))
-    both = keyed.unionByName(keyed.select((F.col("doc_id") + 1000000).alias("doc_id"), "lang", "source", F.substring("key", 1, 60).alias("key")))
-    return messages.near_duplicate_pairs(both, ["lang", "source"], "doc_id", "key")
+    """Messages of one speaker in a conversation of which one holds the other; each is there in full and cut."""
+    ident = F.shiftleft("conv_id", 16) + F.col("pos")
+    keyed = _rows(spark, sf_dir).filter("pos < 1000").select("conv_id", "role", ident.alias("id"), text.dedupe_key("text").alias("key"))
+    both = keyed.unionByName(keyed.select("conv_id", "role", (F.col("id") + 1000).alias("id"), F.substring("key", 1, 60).alias("key")))
+    return messages.near_duplicate_pairs(both, ["conv_id", "role"], "id", "key")
 
 
 @query(f"{_MESSAGES} SELECT conv_id, md5('<!doctype html><html><head><title>' || 'T <'.replace('<', '&lt;') || '</title><link rel=\"canonical\" href=\"' || 'u&quot;' || conv_id || '\"></head><body><main>' || string_agg('<p>' || text || '</p>', chr(10) ORDER BY pos) || '</main></body></html>') AS body FROM rows WHERE pos < 1000 GROUP BY conv_id".replace("'T <'.replace('<', '&lt;')", "'T &lt;'"))
