@@ -33,8 +33,13 @@ from turnloom.llm.sampling import GRAM, LENGTH, SIDE, Units, apart, candidates,
 REACH = LENGTH - GRAM
 SCHEMA = "row long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 #: State of a pair: another row shares the left side, or the right; the gram is a hot one; an earlier
-#: document of the same task has the pair.
-LEFT, RIGHT, HOT, KNOWN = 1, 2, 4, 8
+#: document of the same task has the pair. Above these bits is how far the pair reaches from its place.
+LEFT, RIGHT, HOT, KNOWN, REACH_BIT = 1, 2, 4, 8, 4
+
+
+def _short(names: np.ndarray) -> pa.Array:
+    """Names in 32 bits: what is compared has 64 bits of one kind and these of the other."""
+    return pa.array(names.astype(np.uint32).view(np.int32))
 
 
 def _long_pairs(hot: np.ndarray):
@@ -53,8 +58,8 @@ def _long_pairs(hot: np.ndarray):
             # rows that are decided go anywhere; those of hot grams by their pair, not by the gram
             deal = np.where(known, apart(row, places), np.where(common, one, grams))
             yield pa.RecordBatch.from_pydict({
-                "deal": pa.array(deal.view(np.int64)), "one": pa.array(one.view(np.int64)), "two": pa.array(two.view(np.int64)), "ord": pa.array(order), "row": pa.array(row),
-                "place": pa.array(places - u.first[text]), "begin": pa.array(begin - u.first[text]), "end": pa.array(end - u.first[text]), "state": pa.array((state | HOT * common | KNOWN * known).astype(np.int32)),
+                "deal": pa.array(deal.view(np.int64)), "one": pa.array(one.view(np.int64)), "two": _short(two), "ord": pa.array(order), "row": pa.array(row),
+                "place": pa.array(places - u.first[text]), "state": pa.array((state | HOT * common | KNOWN * known | (end - places) << REACH_BIT).astype(np.int32)),
             })
 
     return run
@@ -81,25 +86,29 @@ def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, order = (part.column(c).to_numpy()[text] for c in ("row", "ord"))
         known = later([one, two], order)
         one, two = np.where(known, apart(row, starts), one), np.where(known, 0, two)
-        yield pa.RecordBatch.from_pydict({"one": pa.array(one.view(np.int64)), "two": pa.array(two.view(np.int64)), "ord": pa.array(order), "row": pa.array(row), "start": pa.array(starts - u.first[text]), "known": pa.array(known)})
+        starts = starts - u.first[text]
+        # one that is decided has its start below zero
+        yield pa.RecordBatch.from_pydict({"one": pa.array(one.view(np.int64)), "two": _short(two), "ord": pa.array(order), "row": pa.array(row), "start": pa.array(np.where(known, -1 - starts, starts))})
 
 
 def repeated(rows: DataFrame) -> DataFrame:
     """``row, spans``: of rows (row, doc_id, ord, text) the stretches that an earlier document has too."""
     lists = candidates(rows, Units.of_bytes)
     hot = hot_grams(lists)
-    pairs = rows.select("row", "ord", "text").join(lists, "row").mapInArrow(_long_pairs(hot), "deal long, one long, two long, ord long, row long, place long, begin long, end long, state int")
+    pairs = rows.select("row", "ord", "text").join(lists, "row").mapInArrow(_long_pairs(hot), "deal long, one long, two int, ord long, row long, place long, state int")
     pairs = pairs.repartition("deal")
     group, same = Window.partitionBy("deal"), Window.partitionBy("deal", "one", "two")
     pairs = pairs.withColumn("several", (F.min("one").over(group) != F.max("one").over(group)) | (F.col("state").bitwiseAND(HOT) > 0))
     pairs = pairs.withColumn("again", (F.col("ord") > F.min("ord").over(same)) | (F.col("state").bitwiseAND(KNOWN) > 0))
-    ranked = cut(pairs.filter("again or several").select("row", "place", "begin", "end", "state", "again"))
+    ranked = cut(pairs.filter("again or several").select("row", "place", "state", "again"))
 
     edges = ranked.filter("not again").groupBy("row").agg(F.collect_list(F.struct("place", "state")).alias("edges"))
-    single = rows.select("row", "ord", "text").join(edges, "row").mapInArrow(_single, "one long, two long, ord long, row long, start long, known boolean")
-    single = single.withColumn("low", F.min("ord").over(Window.partitionBy("one", "two"))).filter("known or ord > low")
-    single = cut(single.select("row", F.col("start").alias("begin"), (F.col("start") + LENGTH).alias("end")))
-    spans = ranked.filter("again").select("row", "begin", "end").unionByName(single)
+    single = rows.select("row", "ord", "text").join(edges, "row").mapInArrow(_single, "one long, two int, ord long, row long, start long")
+    single = single.withColumn("low", F.min("ord").over(Window.partitionBy("one", "two"))).filter("start < 0 or ord > low")
+    start = F.when(F.col("start") < 0, -1 - F.col("start")).otherwise(F.col("start"))
+    single = cut(single.select("row", start.alias("begin"), (start + LENGTH).alias("end")))
+    whole = ranked.filter("again").select("row", F.greatest(F.col("place") - REACH, F.lit(0)).alias("begin"), (F.col("place") + F.shiftright("state", REACH_BIT)).alias("end"))
+    spans = whole.unionByName(single)
     return spans.groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
 
 
