@@ -39,3 +39,19 @@ def test_hot_values_are_named_apart(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def test_rows_of_files_and_of_other_tables(spark, tmp_path):
+    """Rows are told apart in files, and where a table makes several rows of one."""
+    from pyspark.sql import functions as F
+
+    from turnloom.llm.common import with_rows
+
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(i, "same", [1, 2, 3]) for i in range(20)], "doc_id long, text string, k array<int>").repartition(3).write.parquet(path)
+    scan = spark.read.parquet(path)
+    for df, n in ((scan, 20), (scan.filter("doc_id < 7").select("doc_id", "text"), 7), (scan.select("doc_id", "text", F.explode("k")), 60), (scan.join(scan.select("text"), "text"), 400)):
+        numbers = [r.r for r in with_rows(df, "r").collect()]
+        assert len(numbers) == len(set(numbers)) == n
+    got = exact.exact_dedup(scan.select("doc_id", "text", F.explode("k")))
+    assert got.count() == 60 and got.filter("kept").count() == 1

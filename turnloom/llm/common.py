@@ -80,6 +80,15 @@ def unused(df: DataFrame, name: str) -> str:
 MOST_FILES = 100_000
 
 
+def _is_scan(df: DataFrame) -> bool:
+    """Whether df is a table of files as it is, but for columns and filters: each row of it is one row of
+    a file, unlike after a join or an explode."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation" and not {"_metadata", "_file", "_at"} & {c.lower() for c in df.columns}
+
+
 def with_rows(df: DataFrame, name: str, columns: list | None = None) -> DataFrame:
     """The columns of df (all by default) and ``name``, numbers of rows that are the same however often
     and on whatever cores the table is read.
@@ -89,11 +98,11 @@ def with_rows(df: DataFrame, name: str, columns: list | None = None) -> DataFram
     """
     columns = [named(c) for c in df.columns] if columns is None else columns
     numbers = None
-    if not {"_metadata", "_file", "_at"} & {c.lower() for c in df.columns}:
+    if _is_scan(df):
         try:
             files = df.select("_metadata.file_path", "_metadata.row_index").select(F.col("file_path").alias("_file")).distinct()
             numbers = cut(files.withColumn("_number", F.row_number().over(Window.orderBy("_file")).cast("long")))
-        except AnalysisException:  # not a table of files
+        except AnalysisException:  # files that do not number their rows
             numbers = None
     if numbers is None or numbers.count() > MOST_FILES:
         return cut(df.select(*columns, F.monotonically_increasing_id().alias(name)))
