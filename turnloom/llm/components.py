@@ -20,10 +20,11 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         # large star: all larger neighbours of a node, and the node, go to the smallest neighbour
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m"))
+        # both sides are dealt out by the key already: a broadcast would only pass them through the driver
+        low = both.groupBy("a").agg(F.min("b").alias("m")).hint("merge")
         large = both.filter("b > a").join(low, "a").select(F.least("m", "a").alias("a"), "b").distinct()
         # small star: all smaller neighbours of a node, and the node, go to the smallest of them
-        low = large.groupBy("b").agg(F.min("a").alias("m"))
+        low = large.groupBy("b").agg(F.min("a").alias("m")).hint("merge")
         small = large.join(low, "b").select(F.explode(F.array(F.col("a"), F.col("b"))).alias("b"), F.col("m").alias("a"))
         links = cut(small.filter("a <> b").select("a", "b").distinct())
         # done when every node has one link, to a node that has no smaller neighbour itself
