@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -43,9 +43,9 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: later jobs do not recompute it,
-    and a lost executor costs a reread only."""
+def cut_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """df written as a table in the shared folder and read again, and where it is: later jobs do not
+    recompute it, and a lost executor costs a reread only."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, None)
@@ -55,7 +55,18 @@ def cut(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written as a table in the shared folder and read again."""
+    return cut_at(df)[0]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Takes a table out of the shared folder, by whatever store the folder is in."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def named(name: str):
@@ -76,8 +87,8 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-#: Files up to which their names are held in the plan, in order of which rows are numbered.
-MOST_FILES = 2_000
+#: Files up to which their numbers are broadcast to the rows.
+MOST_FILES = 100_000
 
 
 def _is_scan(df: DataFrame) -> bool:
@@ -86,7 +97,7 @@ def _is_scan(df: DataFrame) -> bool:
     plan = df._jdf.queryExecution().analyzed()
     while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
         plan = plan.children().head()
-    return plan.nodeName() == "LogicalRelation" and not {"_metadata"} & {c.lower() for c in df.columns}
+    return plan.nodeName() == "LogicalRelation" and not {"_metadata", "_file", "_at"} & {c.lower() for c in df.columns}
 
 
 def with_rows(df: DataFrame, name: str, columns: list | None = None) -> DataFrame:
@@ -97,17 +108,17 @@ def with_rows(df: DataFrame, name: str, columns: list | None = None) -> DataFram
     other table, and one of more files than MOST_FILES, is numbered once and written.
     """
     columns = [named(c) for c in df.columns] if columns is None else columns
-    files = None
+    numbers = None
     if _is_scan(df):
         try:
-            found = df.select("_metadata.file_path", "_metadata.row_index").select("file_path").distinct()
-            files = sorted(r.file_path for r in found.limit(MOST_FILES + 1).collect())
+            files = df.select("_metadata.file_path", "_metadata.row_index").select(F.col("file_path").alias("_file")).distinct()
+            numbers = cut(files.withColumn("_number", F.row_number().over(Window.orderBy("_file")).cast("long")))
         except AnalysisException:  # files that do not number their rows
-            files = None
-    if files is None or len(files) > MOST_FILES:
+            numbers = None
+    if numbers is None or numbers.count() > MOST_FILES:
         return cut(df.select(*columns, F.monotonically_increasing_id().alias(name)))
-    number = F.array_position(F.array(*map(F.lit, files)).cast("array<string>"), F.col("_metadata.file_path"))
-    return df.select(*columns, (F.shiftleft(number, 40) + F.col("_metadata.row_index")).alias(name))
+    placed = df.select(*columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    return placed.join(F.broadcast(numbers), "_file").withColumn(name, F.shiftleft("_number", 40) + F.col("_at")).drop("_file", "_at", "_number")
 
 
 def row_of(df: DataFrame, row_col: str | None = None):
