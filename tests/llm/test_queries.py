@@ -12,7 +12,7 @@ DATA = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for name in ("documents", "embeddings", "pages", "conversations"):
+    for name in ("documents", "embeddings", "pages", "benchmark", "conversations"):
         con.execute(f"create view {name} as select * from '{DATA}/{name}.parquet'")
     return con
 
@@ -34,5 +34,5 @@ def test_query(spark, duck, name):
 
 def test_all_are_registered():
     names = __spark_entry__.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {k[: k.index("_") + 1] for k in names if k.startswith("op")}
+    assert {f"op{n}_" for n in range(1, 14)} == {k[: k.index("_") + 1] for k in names if k.startswith("op")}
     assert "pipeline" in names and set(__spark_entry__.oracle_sql()) <= set(names)

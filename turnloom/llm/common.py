@@ -208,11 +208,12 @@ class Texts:
     def text(self, i: int) -> bytes:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
-    def words(self, fold: bool = False, seeds: tuple[int, ...] = (0,)) -> None:
+    def words(self, fold: bool = False, seeds: tuple[int, ...] = (0,), space: np.ndarray = SPACE) -> None:
         """Find the words: ``starts`` and ``ends`` in bytes, ``first`` (each text's first word, and
-        the end), ``hashes`` and, for further seeds, ``more``. fold: A-Z count as a-z."""
+        the end), ``hashes`` and, for further seeds, ``more``. fold: A-Z count as a-z. space: which
+        bytes end a word."""
         n = len(self.data)
-        solid = ~SPACE[self.data]
+        solid = ~space[self.data]
         before, after = np.zeros(n, bool), np.zeros(n, bool)
         before[1:], after[:-1] = solid[:-1], solid[1:]
         inner = self.offsets[(self.offsets > 0) & (self.offsets < n)]
@@ -229,6 +230,28 @@ class Texts:
     def byte_values(self) -> np.ndarray:
         return _BYTES[self.data]
 
+    def pieces(self, space: np.ndarray = SPACE, size: int = 4 * SLICE_BYTES) -> Iterator[tuple[int, Texts]]:
+        """The same texts in parts of about ``size`` bytes, each with the number of its first text. A
+        longer text is cut before a byte that ends a word, so that no word is cut."""
+        cuts, at = [0], 0
+        while at < len(self.data):
+            to = int(self.offsets[np.searchsorted(self.offsets, at + size, "right") - 1])
+            while to <= at:
+                look = at + size
+                while look < len(self.data) and to <= at:
+                    found = np.flatnonzero(space[self.data[look : look + size]])
+                    to = look + int(found[0]) if len(found) else at
+                    look += size
+                end = int(self.offsets[np.searchsorted(self.offsets, at, "right")])
+                to = min(to, end) if to > at else end
+            at = to
+            cuts.append(at)
+        for a, b in zip(cuts, cuts[1:]):
+            first, last = int(np.searchsorted(self.offsets, a, "right")) - 1, int(np.searchsorted(self.offsets, b, "left"))
+            part = Texts.__new__(Texts)
+            part.data, part.offsets = self.data[a:b], np.clip(self.offsets[first : last + 1], a, b) - a
+            yield first, part
+
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, Texts]]:
     """Arrow batches in slices of about ``size`` bytes of text (one row at least), each with its texts."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from turnloom.llm import bpe, chat, exact, html, langid, minhash, mixing, rlz, suffix, topk
+from turnloom.llm import bpe, chat, exact, html, langid, lexical, merkle, minhash, mixing, rlz, suffix, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,16 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, each fifth one tampered with."""
+    return merkle.manifest(_table(spark, sf_dir, "documents"), tampered=merkle.every_fifth())
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_chat_format": op2_chat_format,
@@ -76,6 +86,8 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_exact_top_k": op10_exact_top_k,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_ranked_search": op13_ranked_search,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_format": chat.SQL,
@@ -85,4 +97,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_suffix_dedup": suffix.SQL,
     "op9_mix_sources": mixing.SQL,
     "op10_exact_top_k": topk.SQL,
+    "op11_merkle_manifest": merkle.SQL,
+    "op13_ranked_search": lexical.SQL,
 }
