@@ -205,6 +205,12 @@ class Texts:
     def __len__(self) -> int:
         return len(self.offsets) - 1
 
+    def part(self, first: int, last: int) -> Texts:
+        """Texts first to last - 1."""
+        made = Texts.__new__(Texts)
+        made.data, made.offsets = self.data[self.offsets[first] : self.offsets[last]], self.offsets[first : last + 1] - self.offsets[first]
+        return made
+
     def text(self, i: int) -> bytes:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 

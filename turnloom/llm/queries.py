@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from turnloom.llm import bpe, chat, exact, html, langid, lexical, merkle, minhash, mixing, rlz, suffix, topk
+from turnloom.llm import bpe, chat, ctw, exact, html, langid, lexical, merkle, minhash, mixing, rlz, suffix, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents"), tampered=merkle.every_fifth())
 
 
+def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of all documents, learned from nine tenths of them."""
+    return ctw.lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of every benchmark item."""
     return lexical.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -87,6 +92,7 @@ QUERIES = {
     "op9_mix_sources": op9_mix_sources,
     "op10_exact_top_k": op10_exact_top_k,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_lm_scores": op12_lm_scores,
     "op13_ranked_search": op13_ranked_search,
 }
 ORACLE_SQL: dict[str, str] = {
