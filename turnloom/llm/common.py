@@ -43,7 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def cut_at(df: DataFrame) -> tuple[DataFrame, str]:
+def cut_at(df: DataFrame, codec: str | None = None) -> tuple[DataFrame, str]:
     """df written as a table in the shared folder and read again, and where it is: later jobs do not
     recompute it, and a lost executor costs a reread only."""
     spark = df.sparkSession
@@ -52,7 +52,7 @@ def cut_at(df: DataFrame) -> tuple[DataFrame, str]:
     try:
         # once the table stands, the shuffles that made it are of no more use
         spark.conf.set(CLEANUP, "true")
-        df.write.parquet(path)
+        (df.write.option("compression", codec) if codec else df.write).parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
@@ -205,12 +205,6 @@ class Texts:
     def __len__(self) -> int:
         return len(self.offsets) - 1
 
-    def part(self, first: int, last: int) -> Texts:
-        """Texts first to last - 1."""
-        made = Texts.__new__(Texts)
-        made.data, made.offsets = self.data[self.offsets[first] : self.offsets[last]], self.offsets[first : last + 1] - self.offsets[first]
-        return made
-
     def text(self, i: int) -> bytes:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 

@@ -12,8 +12,8 @@ stretch of rows: tasks hold whole subtrees of two bytes and work from the leaves
 levels above are at most 256 trees of 255, and are put together on the driver. Then every run has the
 logarithm of its last byte's probability, which is what a text's sum needs.
 
-Documents are scored in slices of bounded size. A slice asks once for each run (and word) that it has;
-the answers are joined by key, and come to the slice's texts, which are read once more. Neither the
+Documents are scored in slices of bounded size, each packed into one row. A slice asks once for each run
+(and word) that it has; the answers are joined by key, and meet the slice, which is read once more. Neither the
 model nor an answer is ever broadcast, and no row is made for a position.
 
 A text ends with a mark that no text holds, and begins after such marks, so scores are of whole texts.
@@ -26,12 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import Texts, column, cut, ragged, slices
+from turnloom.llm.common import Texts, column, cut, cut_at, delete, slices
 
 #: Bytes of context, and of the contexts whose subtrees a task holds whole.
 DEPTH, ROOT = 5, 2
@@ -79,65 +78,86 @@ def words_of(texts: Texts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]
         yield np.repeat(np.arange(len(piece)) + first, np.diff(piece.first)), piece.hashes.view(np.int64), (piece.more[0] >> np.uint64(33)).astype(np.int32)
 
 
+def _packed(batches: list[pa.RecordBatch]) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        for batch in batches:
+            stream.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Numbers rows by slice: a new one begins with the text that would overfill the last."""
-    number, size = TaskContext.get().partitionId() << 32, 0
-    for batch in batches:
-        found = []
-        for n in pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist():
-            if size and size + n > SLICE:
-                number, size = number + 1, 0
-            size += n + 1
-            found.append(number)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), *batch.columns], names=["slice", *batch.schema.names])
+    """Rows packed into slices, one row each: a new one begins with the part that would overfill the last."""
+    number, size, held = TaskContext.get().partitionId() << 32, 0, []
+
+    def slice_() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"slice": pa.array([number], pa.int64()), "rows": pa.array([_packed(held)], pa.large_binary())})
+
+    for part, texts in slices(batches):
+        if held and size + len(texts.data) > SLICE:
+            yield slice_()
+            number, size, held = number + 1, 0, []
+        held.append(part)
+        size += len(texts.data) + len(texts)
+    if held:
+        yield slice_()
+
+
+def _rows_of(blobs: pa.Array) -> Iterator[tuple[pa.RecordBatch, Texts]]:
+    """The documents of slices, part by part."""
+    for blob in blobs:
+        with pa.ipc.open_stream(blob.as_buffer()) as stream:
+            yield from slices(stream, size=CHUNK)
 
 
-def _counted(keys: list[np.ndarray], weights: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct keys and the sums of their weights. Rows with an equal first key and another second one
-    are told apart."""
-    frame = pd.DataFrame({"key1": keys[0], "key2": keys[1], "n": weights}).groupby(["key1", "key2"], sort=True)["n"].sum()
-    return [frame.index.get_level_values(k).to_numpy() for k in (0, 1)], frame.to_numpy()
+def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Parts of (key1, key2, n), or of (key1, n), as one: distinct keys in order, and the sums of n."""
+    *keys, n = (np.concatenate([p[k] for p in parts]) for k in range(len(parts[0])))
+    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0])
+    keys = [k[order] for k in keys]
+    new = np.zeros(len(n), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    start = np.flatnonzero(new)
+    return (*(k[start] for k in keys), np.add.reduceat(n[order], start) if len(n) else n)
 
 
-def _distinct(key: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    code, found = pd.factorize(key)
-    return found, np.bincount(code, weight, len(found)).astype(np.int64)
+class _Sums:
+    """Sums by key, of parts that are put together as they fill up."""
+
+    def __init__(self, keys: int):
+        self.parts, self.fresh, self.rows = [(np.zeros(0, np.int64),) * (keys + 1)], [], 0
+
+    def add(self, *part: np.ndarray) -> None:
+        self.fresh.append(part)
+        self.rows += len(part[0])
+        if self.rows > 4 * TOGETHER:
+            self.parts.append(_summed(self.fresh))
+            self.fresh, self.rows = [], 0
+
+    def done(self) -> tuple[np.ndarray, ...]:
+        return _summed(self.parts + self.fresh)
 
 
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The runs and words of each slice, once, with how often its training documents have them."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    now, size = None, 0
-
-    def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        (key1, key2), n = _counted([np.concatenate([h[k] for h in held]) for k in (0, 1)], np.concatenate([h[2] for h in held]))
-        return key1, key2, n
-
-    def out() -> pa.RecordBatch:
-        key1, key2, n = merged()
-        return pa.RecordBatch.from_pydict({"slice": pa.array(np.full(len(key1), now)), "key1": pa.array(key1), "key2": pa.array(key2.astype(np.int32)), "n": pa.array(n)})
-
-    for part, texts in slices(batches, size=CHUNK):
-        slice_, trained = part.column("slice").to_numpy(), ~part.column("held_out").to_numpy(zero_copy_only=False)
-        for number in np.unique(slice_):
-            if held and number != now:
-                yield out()
-                held, size = [], 0
-            now = number
-            own = np.flatnonzero(slice_ == number)  # rows of a slice stand together
-            few, train = texts.part(own[0], own[-1] + 1), trained[own[0] : own[-1] + 1]
-            for text, run in runs_of(few):
-                key, n = _distinct(run, train[text])
-                held.append((key, np.full(len(key), RUN, np.int32), n))
-            for text, key1, key2 in words_of(few):
-                (key1, key2), n = _counted([key1, key2], train[text].astype(np.int64))
-                held.append((key1, key2, n))
-            size += sum(len(h[0]) for h in held[-2:])
-            if size > 8 * TOGETHER:
-                held = [merged()]
-                size = 0
-    if held:
-        yield out()
+    for batch in batches:
+        for number, blob in zip(batch.column("slice").to_pylist(), batch.column("rows")):
+            runs, words = _Sums(1), _Sums(2)
+            for part, texts in _rows_of([blob]):
+                train = ~part.column("held_out").to_numpy(zero_copy_only=False)
+                for text, run in runs_of(texts):
+                    code, key = pd.factorize(run)
+                    runs.add(key, np.bincount(code, train[text], len(key)).astype(np.int64))
+                for text, key1, key2 in words_of(texts):
+                    words.add(*_summed([(key1, key2, train[text].astype(np.int64))]))
+            run, n = runs.done()
+            if len(run):
+                yield pa.RecordBatch.from_pydict({"slice": pa.array(np.full(len(run), number)), "key1": pa.array(run), "key2": pa.array(np.full(len(run), RUN, np.int32)), "n": pa.array(n)})
+            key1, key2, n = words.done()
+            if len(key1):
+                yield pa.RecordBatch.from_pydict({"slice": pa.array(np.full(len(key1), number)), "key1": pa.array(key1), "key2": pa.array(key2.astype(np.int32)), "n": pa.array(n)})
 
 
 # -- the tree ------------------------------------------------------------------------------------------
@@ -326,7 +346,7 @@ def _scorer(train_tokens: int, train_docs: int, distinct: int):
         run_ = key2 == RUN
         runs, run_value, words, word_value = [key1[run_]], value[run_], [key1[~run_], key2[~run_]], value[~run_]
         out = []
-        for part, texts in slices(left.to_batches(), size=CHUNK):
+        for part, texts in _rows_of(left.column("rows")):
             score, base = np.zeros(len(texts)), np.zeros(len(texts))
             tokens, known = np.ones(len(texts), np.int64), np.full(len(texts), int(train_docs > 0), np.int64)
             for text, key in runs_of(texts):
@@ -362,14 +382,15 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hel
     ignored, whatever their names. An empty table gives an empty result.
     """
     rows = df.select(column(df, id_col, "bigint").alias("doc_id"), (every_tenth(id_col) if held_out is None else held_out).alias("held_out"), column(df, text_col, "string").alias("text"))
-    texts = cut(rows.mapInArrow(_sliced, "slice long, doc_id long, held_out boolean, text string"))
-    asked = cut(texts.mapInArrow(_asked, ASKED))
+    texts = cut(rows.mapInArrow(_sliced, "slice long, rows binary"))
+    asked, asked_at = cut_at(texts.mapInArrow(_asked, ASKED), "zstd")
     words = asked.filter(F.col("key2") != RUN).groupBy("key1", "key2").agg(F.sum("n").alias("value"))
     words = cut(words.withColumn("value", F.col("value").cast("double")))
     counts = words.agg(F.coalesce(F.sum("value"), F.lit(0.0)).cast("long").alias("n"), F.count_if(F.col("value") > 0).alias("v")).first()
-    docs = texts.agg(F.count_if(~F.col("held_out"))).first()[0]
+    docs = rows.agg(F.count_if(~F.col("held_out"))).first()[0]
     runs = run_values(asked.filter(F.col("key2") == RUN).groupBy("key1").agg(F.sum("n").alias("n")))
     values = cut(runs).unionByName(words)
-    answers = asked.select("slice", "key1", "key2").join(values, ["key1", "key2"])
+    answers = cut_at(asked.select("slice", "key1", "key2").join(values, ["key1", "key2"]), "zstd")[0]
+    delete(df.sparkSession, asked_at)
     scorer = _scorer(counts.n + docs, docs, counts.v + (docs > 0))
     return texts.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(scorer, SCHEMA)
