@@ -140,3 +140,19 @@ def test_columns_with_names_that_stages_use(spark, tmp_path):
         assert frame.columns == [c.split(" ")[0] for c in schema.split(", ")]
         assert rows and set(rows) <= given
     assert sum(r[0] is None for r in rows) in (0, 1, 2)
+
+
+def test_runs_at_once_and_results_read_late(spark, tmp_path):
+    """Two runs in one process, and a stage's result read after the next stage has run."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(documents(), schema).coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    with ThreadPoolExecutor(2) as pool:
+        one, two = pool.map(lambda _: sorted(tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()), range(2))
+    assert one == two and one
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    first = corpus_pipeline.exact_dedup(spark, docs, "")
+    second = corpus_pipeline.near_dedup(spark, first, "")
+    third = corpus_pipeline.mix(spark, second, "")
+    assert first.count() > second.count() > 0 and third.count() > 0

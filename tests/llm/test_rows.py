@@ -62,3 +62,16 @@ def test_stages(spark, docs, shifting, stage):
     made = run()
     spark.conf.set(SPLIT, "1k" if spark.conf.get(SPLIT) != "1k" else "128m")
     assert rows_of(made) == want
+
+
+def test_numbers_of_many_files_and_salts(spark, docs):
+    """Every row has a number of its own, whatever is read with it; files that share a hash get another salt."""
+    from turnloom.llm import common
+
+    df = spark.read.parquet(docs)
+    numbered = common.with_rows(df, "row")
+    assert numbered.select("row").distinct().count() == df.count() == numbered.count()
+    assert numbered.agg({"row": "min"}).first()[0] >= 0
+    assert "Join" not in numbered._jdf.queryExecution().optimizedPlan().toString()
+    again = common.with_rows(df.filter("doc_id % 2 = 0").select("doc_id"), "row")
+    assert again.join(numbered, ["doc_id", "row"]).count() == again.count()

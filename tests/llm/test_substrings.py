@@ -118,3 +118,40 @@ def test_anchors_of_one_gram_in_many_batches(monkeypatch, held):
     assert need <= set(got) <= set(rows) and (held < 60 or set(got) == need)
     whole = list(sampling._shared(iter([pa.concat_batches(batches)]))) if held == 40 else []
     assert held != 40 or whole
+
+
+def test_changes_that_a_weak_fingerprint_misses(spark):
+    """Bytes that differ by 0x40 and 0x80 in several places of 16."""
+    rows = [(1, "q v!fye!  kjdwqa tje ger xbyk  tzv r  xwgfjnrfbw v"), (2, "q vafyea  kjdwq! tje ger xbyk  tzv r  xwgfjnrfbw v")]
+    assert run(spark, suffix.suffix_dedup, rows) == brute_bytes(rows)
+    for seed, pairs in enumerate(["!a", "-m", "0p", "é)", "!a-m0p"]):
+        rng = random.Random(seed)
+        rows = []
+        for _ in range(12):
+            text = [rng.choice("abcdefgh ") for _ in range(70)]
+            places = rng.sample(range(70), 24)
+            for k in range(6):
+                for p in places:
+                    text[p] = rng.choice(pairs)
+                rows.append((len(rows), "".join(text)))
+        assert run(spark, suffix.suffix_dedup, rows) == brute_bytes(rows)
+
+
+def test_names_tell_all_small_changes_apart():
+    import numpy as np
+    import pyarrow as pa
+
+    from turnloom.llm.common import Texts
+    from turnloom.llm.sampling import LENGTH, Units
+
+    rng = random.Random(5)
+    text = [rng.choice("abcdefgh !") for _ in range(LENGTH)]
+    texts = {"".join(text)}
+    while len(texts) < 20_000:
+        made = list(text)
+        for p in rng.sample(range(LENGTH), rng.choice([1, 2, 3, 4])):
+            made[p] = chr(ord(made[p]) ^ rng.choice([0x40, 0x20, 0x10, 0x08]))
+        texts.add("".join(made))
+    u = Units.of_bytes(Texts(pa.array(sorted(texts))))
+    for kind in (0, 1):
+        assert len(np.unique(u.at(u.first, LENGTH, kind))) == len(texts)

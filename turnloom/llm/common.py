@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -87,8 +87,8 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-#: Files up to which their numbers are broadcast to the rows.
-MOST_FILES = 100_000
+#: Salts that are tried to tell a table's files apart by a part of their hash.
+SALTS = 4
 
 
 def _is_scan(df: DataFrame) -> bool:
@@ -104,21 +104,31 @@ def with_rows(df: DataFrame, name: str, columns: list | None = None) -> DataFram
     """The columns of df (all by default) and ``name``, numbers of rows that are the same however often
     and on whatever cores the table is read.
 
-    Rows of a Parquet table are known by their file and their place in it, so nothing is written. Any
-    other table, and one of more files than MOST_FILES, is numbered once and written.
+    Rows of a Parquet table are known by their file and their place in it, so nothing is written: the
+    number is a hash of the file's path and the place, in as many bits as the longest file needs. One pass
+    over paths and places makes sure that no two files share a hash; of several salts the first that
+    tells them apart is taken, which one does up to some millions of files. Tables beyond that, and any
+    that is no plain scan, are numbered once and written.
     """
     columns = [named(c) for c in df.columns] if columns is None else columns
-    numbers = None
     if _is_scan(df):
+        path = F.col("_metadata.file_path")
+        salted = lambda k: F.xxhash64(path, F.lit(k))
         try:
-            files = df.select("_metadata.file_path", "_metadata.row_index").select(F.col("file_path").alias("_file")).distinct()
-            numbers = cut(files.withColumn("_number", F.row_number().over(Window.orderBy("_file")).cast("long")))
+            files = df.select(path.alias("_file"), F.col("_metadata.row_index").alias("_at"), *(salted(k).alias(f"_{k}") for k in range(SALTS)))
+            files = files.groupBy("_file", *(f"_{k}" for k in range(SALTS))).agg(F.max("_at").alias("_at"))
+            bits = files.agg(F.max("_at")).first()[0]
         except AnalysisException:  # files that do not number their rows
-            numbers = None
-    if numbers is None or numbers.count() > MOST_FILES:
-        return cut(df.select(*columns, F.monotonically_increasing_id().alias(name)))
-    placed = df.select(*columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
-    return placed.join(F.broadcast(numbers), "_file").withColumn(name, F.shiftleft("_number", 40) + F.col("_at")).drop("_file", "_at", "_number")
+            bits = None
+        if bits is not None:
+            bits = max(1, int(bits).bit_length())
+            found = files.agg(F.count("*").alias("n"), *(F.countDistinct(F.shiftrightunsigned(f"_{k}", bits + 1)).alias(f"n{k}") for k in range(SALTS))).first()
+            salt = next((k for k in range(SALTS) if found[f"n{k}"] == found.n), None)
+            if salt is not None:
+                # one bit is left for the sign
+                number = F.shiftleft(F.shiftrightunsigned(salted(salt), bits + 1), bits) + F.col("_metadata.row_index")
+                return df.select(*columns, number.alias(name))
+    return cut(df.select(*columns, F.monotonically_increasing_id().alias(name)))
 
 
 def row_of(df: DataFrame, row_col: str | None = None):

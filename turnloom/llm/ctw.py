@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ from turnloom.llm.common import Texts, column, cut, cut_at, delete, slices
 #: Bytes of context, and of the contexts whose subtrees a task holds whole.
 DEPTH, ROOT = 5, 2
 #: Bytes of text in a slice, bytes worked on at a time, and runs that a task works on together, about.
-SLICE, CHUNK, TOGETHER = 1 << 25, 1 << 21, 1 << 18
+SLICE, CHUNK, TOGETHER = 1 << 25, 1 << 20, 1 << 18
 #: Stands before and after every text; no UTF-8 has it.
 MARK = 0xFF
 #: Second key of runs; words have one of 0 or more.
@@ -132,7 +133,7 @@ class _Sums:
     def add(self, *part: np.ndarray) -> None:
         self.fresh.append(part)
         self.rows += len(part[0])
-        if self.rows > 4 * TOGETHER:
+        if self.rows > 2 * TOGETHER:
             self.parts.append(_summed(self.fresh))
             self.fresh, self.rows = [], 0
 
@@ -340,11 +341,11 @@ def _scorer(train_tokens: int, train_docs: int, distinct: int):
         return value[np.minimum(at, len(value) - 1)]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        key1, key2, value = (right.column(c).combine_chunks().to_numpy() for c in ("key1", "key2", "value"))
-        order = np.lexsort((key2, key1))
-        key1, key2, value = key1[order], key2[order], value[order]
-        run_ = key2 == RUN
-        runs, run_value, words, word_value = [key1[run_]], value[run_], [key1[~run_], key2[~run_]], value[~run_]
+        known = right.filter(pc.equal(right.column("key2"), RUN)).sort_by("key1")
+        runs, run_value = [known.column("key1").to_numpy()], known.column("value").to_numpy()
+        known = right.filter(pc.not_equal(right.column("key2"), RUN)).sort_by([("key1", "ascending"), ("key2", "ascending")])
+        words, word_value = [known.column(c).to_numpy() for c in ("key1", "key2")], known.column("value").to_numpy()
+        del known, right
         out = []
         for part, texts in _rows_of(left.column("rows")):
             score, base = np.zeros(len(texts)), np.zeros(len(texts))

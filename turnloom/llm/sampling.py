@@ -1,7 +1,8 @@
 """Where runs of a fixed length could repeat: names of runs by doubling, and sampled positions.
 
 Units are words or bytes. A run of 2h units is named by the pair of the names of its halves, so names of
-any length come from a few steps; they are 64-bit fingerprints, of two independent kinds.
+any length come from a few steps; they are 64-bit fingerprints, of two kinds that are independent from
+the units up: units are scrambled with a seed of the kind before they are paired.
 
 A run of LENGTH units is sampled by its minimizer: of the grams in it the one with the smallest name.
 Equal runs have it at the same place, so two equal runs always meet at an equal sampled gram, an anchor,
@@ -35,15 +36,20 @@ HOT_SHARE = 1000
 #: Null ids count as larger than any id.
 LAST = 2**63 - 1
 
-_TIMES = np.array([[0x9FB21C651E98DF25, 0xD6E8FEB86659FD93], [0xBF58476D1CE4E5B9, 0x94D049BB133111EB]], np.uint64)
+_TIMES = np.array([[0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], [0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xE7037ED1A0B428DB]], np.uint64)
+_SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344], np.uint64)
 
 
 def pair(left: np.ndarray, right: np.ndarray, kind: int = 0) -> np.ndarray:
-    """The names of pairs of names."""
-    made = (left ^ (left >> np.uint64(32))) * _TIMES[kind, 0]
-    made += right
-    made ^= made >> np.uint64(29)
-    made *= _TIMES[kind, 1]
+    """The names of pairs of names. Each side is scrambled by itself and the left one turned before they
+    meet, so that no change of one side makes up for a like change of the other."""
+    made = left * _TIMES[kind, 0]
+    made ^= made >> np.uint64(32)
+    made = made << np.uint64(23) | made >> np.uint64(41)
+    other = right * _TIMES[kind, 1]
+    other ^= other >> np.uint64(29)
+    made += other
+    made *= _TIMES[kind, 2]
     made ^= made >> np.uint64(32)
     return made
 
@@ -51,10 +57,11 @@ def pair(left: np.ndarray, right: np.ndarray, kind: int = 0) -> np.ndarray:
 class Units:
     """The units of a slice's texts in one array, apart from each other by gaps of zeros."""
 
-    def __init__(self, base: np.ndarray, width: int, first: np.ndarray, counts: np.ndarray):
-        """base: names of the runs of ``width`` units that start at each place; first, counts: of texts."""
+    def __init__(self, base: list[np.ndarray], width: int, first: np.ndarray, counts: np.ndarray):
+        """base: of each kind, values of the runs of ``width`` units that start at each place, equal for
+        equal runs only or hashed independently; first, counts: of texts."""
         self.base, self.width, self.first, self.counts = base, width, first, counts
-        grams, h = base, width
+        grams, h = mix(base[0] ^ _SEEDS[0]), width
         while h < GRAM:
             grams, h = pair(grams[:-h], grams[h:]), 2 * h
         self.grams = grams
@@ -66,21 +73,21 @@ class Units:
         gap = bytes(GAP)
         data = gap + b"".join([p for i in range(len(texts)) for p in (texts.text(i), gap)]) + gap
         eights = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,)).astype(np.uint64)
-        return cls(eights, 8, first, counts)
+        return cls([eights, eights], 8, first, counts)
 
     @classmethod
     def of_words(cls, texts: Texts) -> Units:
-        texts.words()
+        texts.words(seeds=(0, 1))
         counts = np.diff(texts.first)
         first = GAP + np.cumsum(counts + GAP) - (counts + GAP)
-        values = np.zeros(int(counts.sum()) + GAP * (len(counts) + 2), np.uint64)
-        values[ragged(first, counts)] = texts.hashes
-        return cls(values, 1, first, counts)
+        values, at = np.zeros((2, int(counts.sum()) + GAP * (len(counts) + 2)), np.uint64), ragged(first, counts)
+        values[0, at], values[1, at] = texts.hashes, texts.more[0]
+        return cls(list(values), 1, first, counts)
 
     def at(self, places: np.ndarray, length: int, kind: int = 0) -> np.ndarray:
         """The names of the runs of that length, GAP at most, that start at the places."""
         if length == self.width:
-            return self.base[places]
+            return mix(self.base[kind][places] ^ _SEEDS[kind])
         if length == GRAM and kind == 0:
             return self.grams[places]
         half = 1 << (length - 1).bit_length() - 1
