@@ -14,22 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.llm import bpe, exact, langid, minhash, mixing
-from turnloom.llm.common import cut, cut_at, delete, named, unused
-
-
-#: Where the copy of the stage before is.
-_COPIES: list[str] = []
-
+from turnloom.llm.common import cut, named, unused, with_rows
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with row numbers, written, and the name of their column: read again they are the same,
-    however the scan is split. The copy of the stage before, whose result is in this one, is deleted."""
+    """docs with row numbers, and the name of their column."""
     row = unused(docs, "_row")
-    rows, path = cut_at(docs.withColumn(row, F.monotonically_increasing_id()))
-    while _COPIES:
-        delete(docs.sparkSession, _COPIES.pop())
-    _COPIES.append(path)
-    return rows, row
+    return with_rows(docs, row), row
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
