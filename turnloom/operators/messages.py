@@ -64,14 +64,17 @@ def best_shortest(rows: DataFrame, scope: str, value: str, order: str, whole: Co
 def near_duplicate_pairs(rows: DataFrame, scope: list[str], ident: str, key: str, least: int = 40, gram: int = 24) -> DataFrame:
     """Pairs (a, b) of unique ids within a scope whose keys are longer than ``least`` and of which b's holds a's.
 
-    A key that is held starts somewhere in the other, so both have its first characters as a run: rows
-    meet on that run, not all with all of the scope.
+    A key that is held is a run of the other, so both have the smallest hash among the first grams of the
+    held one: rows meet on that, not all with all of the scope. Of the other's grams only those matter that
+    are smallest within some such window, about one in nine.
     """
     long = rows.filter(F.length(key) > least)
-    octets = F.col(key).cast("binary")  # any place in bytes is found at once, unlike in characters
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.octet_length(key) - gram + 1), lambda i: F.xxhash64(F.substring(octets, i, F.lit(gram)))))
-    held = long.select(*scope, F.col(ident).alias("a"), F.xxhash64(F.substring(octets, F.lit(1), F.lit(gram))).alias("_run"))
-    holder = long.select(*scope, F.col(ident).alias("b"), F.explode(runs).alias("_run"))
+    octets, window = F.col(key).cast("binary"), least - gram + 1  # any place in bytes is found at once, unlike in characters
+    hashes = F.transform(F.sequence(F.lit(1), F.octet_length(key) - gram + 1), lambda i: F.xxhash64(F.substring(octets, i, F.lit(gram))))
+    hashed = long.select(*scope, ident, hashes.alias("_h"))
+    smallest = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_h") - window + 1), lambda i: F.array_min(F.slice("_h", i, window))))
+    held = hashed.select(*scope, F.col(ident).alias("a"), F.array_min(F.slice("_h", 1, window)).alias("_run"))
+    holder = hashed.select(*scope, F.col(ident).alias("b"), F.explode(smallest).alias("_run"))
     # ids meet first; keys, which are long, come in for the pairs that met
     met = held.join(holder, [*scope, "_run"]).filter(F.col("a") != F.col("b")).select(*scope, "a", "b").distinct()
     keys = long.select(F.col(ident), F.col(key))

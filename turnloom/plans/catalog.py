@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions import rules, text
 from turnloom.functions.sanitize import sanitize_html
-from turnloom.operators import admission, capture, guides, messages, providers, render
+from turnloom.operators import admission, candidates, capture, guides, messages, nodes, providers, render
 from turnloom.plans import pages as share
 from turnloom.plans import streams
 from turnloom.sources.tables import read_table as table
@@ -354,10 +354,28 @@ r AS (SELECT * FROM k UNION ALL SELECT conv_id, role, id + 1000, left(key, 60) F
 SELECT x.conv_id, x.role, x.id AS a, y.id AS b FROM r x JOIN r y ON x.conv_id = y.conv_id AND x.role = y.role AND x.id <> y.id AND length(x.key) > 40 AND length(y.key) > 40 AND contains(y.key, x.key)""")
 def near_dup_pairs(spark, sf_dir):
     """Messages of one speaker in a conversation of which one holds the other; each is there in full and cut."""
+    return messages.near_duplicate_pairs(_full_and_cut(spark, sf_dir), ["conv_id", "role"], "id", "key")
+
+
+def _full_and_cut(spark, sf_dir) -> DataFrame:
     ident = F.shiftleft("conv_id", 16) + F.col("pos")
     keyed = _rows(spark, sf_dir).filter("pos < 1000").select("conv_id", "role", ident.alias("id"), text.dedupe_key("text").alias("key"))
-    both = keyed.unionByName(keyed.select("conv_id", "role", (F.col("id") + 1000).alias("id"), F.substring("key", 1, 60).alias("key")))
-    return messages.near_duplicate_pairs(both, ["conv_id", "role"], "id", "key")
+    return keyed.unionByName(keyed.select("conv_id", "role", (F.col("id") + 1000).alias("id"), F.substring("key", 1, 60).alias("key")))
+
+
+@query(f"""{_MESSAGES.replace('WITH ', 'WITH RECURSIVE ', 1)}, k AS (SELECT conv_id, role, conv_id * 65536 + pos AS id, {key_('text')} AS key FROM rows WHERE pos < 1000),
+r AS (SELECT * FROM k UNION ALL SELECT conv_id, role, id + 1000, left(key, 60) FROM k),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY id) AS n, count(*) OVER (PARTITION BY conv_id, role) AS size FROM r),
+fold AS (SELECT conv_id, role, 1 AS n, [{{'id': id, 'key': key}}] AS kept FROM ranked WHERE n = 1
+    UNION ALL SELECT f.conv_id, f.role, f.n + 1, CASE WHEN len(list_filter(f.kept, lambda s: s.key = o.key OR (length(s.key) > 40 AND length(o.key) > 40 AND (contains(s.key, o.key) OR contains(o.key, s.key))))) > 0
+        THEN f.kept ELSE list_append(f.kept, {{'id': o.id, 'key': o.key}}) END FROM fold f JOIN ranked o ON o.conv_id = f.conv_id AND o.role = f.role AND o.n = f.n + 1),
+last AS (SELECT f.* FROM fold f JOIN ranked o USING (conv_id, role, n) WHERE o.n = o.size)
+SELECT conv_id, role, unnest(list_transform(kept, lambda s: s.id)) AS id FROM last""")
+def near_dup_survivors(spark, sf_dir):
+    """Of one speaker's messages in a conversation those that stay in an ordered fold of near copies."""
+    rows = _full_and_cut(spark, sf_dir)
+    pairs = messages.near_duplicate_pairs(rows, ["conv_id", "role"], "id", "key")
+    return candidates.near_duplicate_survivors(pairs, rows, ["conv_id", "role"], "id", "key")
 
 
 @query(f"{_MESSAGES} SELECT conv_id, md5('<!doctype html><html><head><title>' || 'T <'.replace('<', '&lt;') || '</title><link rel=\"canonical\" href=\"' || 'u&quot;' || conv_id || '\"></head><body><main>' || string_agg('<p>' || text || '</p>', chr(10) ORDER BY pos) || '</main></body></html>') AS body FROM rows WHERE pos < 1000 GROUP BY conv_id".replace("'T <'.replace('<', '&lt;')", "'T &lt;'"))
@@ -468,6 +486,53 @@ def _parse(name: str):
     return run
 
 
+def _relational(name: str):
+    def run(spark, sf_dir):
+        pages = share.provider_pages(table(spark, sf_dir, "conversations"), name)
+        made = providers.assemble(candidates.parse_pages(pages), "2024-02-29")
+        body = F.array_join(F.transform("messages", lambda m: F.concat_ws("|", m["role"], m["text"], m["html"], m["thought"])), "\n")
+        return made.select("page_id", "provider", "title", "date", "url", F.size("messages").cast("long").alias("n_messages"), md5(body).alias("body"))
+
+    return run
+
+
+for _name in (n for n, form in share.FORMS.items() if form.provider == "claude"):
+    QUERIES[f"parse_{_name}_relational"] = _relational(_name)
+    ORACLE_SQL[f"parse_{_name}_relational"] = share.provider_sql(_name, c_, key_)
+
+
+#: Elements of a page outside of its turns, of which the navigation is noise; and of each turn.
+_TURNS = "WITH t AS (SELECT conv_id AS page_id, 2 * count(*) FILTER (role = 'user') AS u, 2 * count(*) FILTER (role = 'assistant') AS a FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id)"
+
+
+@query(f"{_TURNS} SELECT page_id, 5 + page_id % 2 + 3 * u + 5 * a AS n_nodes, 1 + a AS n_noise, 4 + page_id % 2 + 3 * u + 4 * a AS n_clean, u + a AS n_content FROM t")
+def noise_by_interval(spark, sf_dir):
+    """Elements of share pages, those inside of noise, those outside, and turns with content below."""
+    pages = share.provider_pages(table(spark, sf_dir, "conversations"), "chatgpt")
+    rows = nodes.node_table(pages)
+    marked = nodes.inside(rows, "noise", nodes.matching(rules.NOISE_NODES))
+    marked = nodes.first_below(marked, "content", nodes.matching(".whitespace-pre-wrap, .markdown"))
+    return marked.groupBy("page_id").agg(
+        F.count("*").alias("n_nodes"), F.count_if("noise").alias("n_noise"), F.count_if(~F.col("noise")).alias("n_clean"),
+        F.count_if(nodes.matching("section[data-turn]") & F.col("content").isNotNull()).alias("n_content"),
+    )
+
+
+@query(f"{_TURNS}, r AS (SELECT page_id, unnest(['user', 'assistant', '']) AS role, unnest([2 * u, 3 * a, 6 + page_id % 2]) AS n FROM t) SELECT page_id, role, n::BIGINT AS n FROM r WHERE n > 0")
+def role_by_ancestor(spark, sf_dir):
+    """Elements of share pages by the role that they or what stands above them tell."""
+    pages = share.provider_pages(table(spark, sf_dir, "conversations"), "qwen_generic")
+    return nodes.role_by_ancestor(nodes.node_table(pages), providers._HINTS).groupBy("page_id", "role").agg(F.count("*").alias("n"))
+
+
+@query()
+def node_table(spark, sf_dir):
+    """The stored pages' trees by depth of noise: elements, those inside of noise, the deepest run of tags."""
+    rows = nodes.inside(nodes.node_table(table(spark, sf_dir, "pages")), "noise", nodes.matching(rules.NOISE_NODES))
+    shape = md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nid", "parent", "last", "tag"))), lambda n: F.concat_ws("|", n["nid"], n["parent"], n["last"], n["tag"])), ","))
+    return rows.groupBy("page_id").agg(F.count("*").alias("n_nodes"), F.count_if("noise").alias("n_noise"), shape.alias("shape"))
+
+
 for _name in share.FORMS:
     QUERIES[f"parse_{_name}"] = _parse(_name)
     ORACLE_SQL[f"parse_{_name}"] = share.provider_sql(_name, c_, key_)
