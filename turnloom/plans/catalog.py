@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions import rules, text
 from turnloom.functions.sanitize import sanitize_html
-from turnloom.operators import admission, candidates, capture, guides, messages, nodes, providers, render
+from turnloom.operators import admission, candidates, capture, guides, messages, nodes, providers, render, table_functions
 from turnloom.plans import pages as share
 from turnloom.plans import streams
 from turnloom.sources.tables import read_table as table
@@ -533,6 +533,24 @@ def node_table(spark, sf_dir):
     return rows.groupBy("page_id").agg(F.count("*").alias("n_nodes"), F.count_if("noise").alias("n_noise"), shape.alias("shape"))
 
 
+@query(share.provider_sql("chatgpt", c_, key_, "page_id, provider, n_messages, body"))
+def lateral_messages(spark, sf_dir):
+    """Share pages' messages by the table function, in SQL."""
+    table_functions.register(spark)
+    pages = share.provider_pages(table(spark, sf_dir, "conversations"), "chatgpt")
+    return spark.sql("""
+        SELECT page_id, provider, count(*) AS n_messages, md5(array_join(transform(array_sort(collect_list(struct(pos, concat_ws('|', role, text, m.html, thought) AS line))), x -> x.line), '\n')) AS body
+        FROM {pages} p, LATERAL parse_messages(p.html, p.url) m GROUP BY page_id, provider""", pages=pages)
+
+
+@query(f"{_TURNS} SELECT page_id, tag, n::BIGINT AS n FROM (SELECT page_id, unnest(['html', 'head', 'body', 'nav', 'main', 'title', 'section', 'button', 'div', 'p']) AS tag, unnest([1, 1, 1, 1, 1, page_id % 2, u + a, a, 2 * u + 2 * a, a]) AS n FROM t) WHERE n > 0")
+def lateral_nodes(spark, sf_dir):
+    """Share pages' elements by tag, by the table function, in SQL."""
+    table_functions.register(spark)
+    pages = share.provider_pages(table(spark, sf_dir, "conversations"), "chatgpt")
+    return spark.sql("SELECT page_id, tag, count(*) AS n FROM {pages} p, LATERAL page_nodes(p.html) GROUP BY page_id, tag", pages=pages)
+
+
 for _name in share.FORMS:
     QUERIES[f"parse_{_name}"] = _parse(_name)
     ORACLE_SQL[f"parse_{_name}"] = share.provider_sql(_name, c_, key_)
@@ -548,10 +566,20 @@ docs AS (SELECT page_id, n_messages, error, '<!doctype html><html lang="en"><hea
 @query(share.provider_sql("chatgpt", c_, key_, "page_id, n_messages, error, (SELECT md5(doc) FROM docs d WHERE d.page_id = made.page_id) AS document", _DOCUMENTS))
 def pages_to_documents(spark, sf_dir):
     """Links to rendered documents, end to end; pages without messages stay without a document."""
+    made = _documents(spark, sf_dir)
+    return made.filter("document is not null or error is not null").select("page_id", F.size("messages").cast("long").alias("n_messages"), "error", md5("document").alias("document"))
+
+
+def _documents(spark, sf_dir) -> DataFrame:
     pages = share.provider_pages(table(spark, sf_dir, "conversations"), "chatgpt")
     good = admission.accepted(admission.admit(admission.guard_blocked(pages).filter("error is null").drop("error"))).drop("provider")
-    made = render.render(providers.assemble(providers.parse_pages(good), "2024-02-29"), standalone=True)
-    return made.filter("document is not null or error is not null").select("page_id", F.size("messages").cast("long").alias("n_messages"), "error", md5("document").alias("document"))
+    return render.render(providers.assemble(providers.parse_pages(good), "2024-02-29"), standalone=True)
+
+
+@query(share.provider_sql("chatgpt", c_, key_, "page_id, (SELECT md5(doc) FROM docs d WHERE d.page_id = made.page_id) AS document", _DOCUMENTS))
+def document_files(spark, sf_dir):
+    """Documents of share pages, written as a file each and read again."""
+    return streams.document_files(spark, _documents(spark, sf_dir)).select("page_id", md5("html").alias("document"))
 
 
 #: Markup with {} for a text, and what is safe of it.

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.sources import tables
+from turnloom.sources import documents, tables
 from turnloom.streaming import turns
 
 
@@ -66,3 +66,12 @@ def sitemap_files(spark: SparkSession, pages: DataFrame) -> DataFrame:
     path = _folder(spark, "sitemap")
     entries.write.format("xml").option("rootTag", "urlset").option("rowTag", "url").save(path)
     return tables.read_sitemap(spark, path)
+
+
+def document_files(spark: SparkSession, rendered: DataFrame) -> DataFrame:
+    """Rendered documents (page_id, document) as a file each, read again: ``page_id, html``."""
+    documents.register(spark)
+    path = _folder(spark, "documents")
+    rendered.filter("document is not null").select(F.col("page_id").cast("string").alias("name"), "document").write.format(documents.NAME).mode("append").save(path)
+    found = spark.read.format(documents.NAME).load(path)
+    return found.select(F.regexp_extract("path", r"([^/]+)\.html$", 1).cast("long").alias("page_id"), "html")
