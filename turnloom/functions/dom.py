@@ -33,6 +33,8 @@ ROOMS = {"td": {"tr", "tbody", "thead", "tfoot", "table"}, "th": {"tr", "tbody",
     tag: {"table"} for tag in ("tbody", "thead", "tfoot", "caption", "colgroup")
 }
 SPACE = re.compile("[" + rules.SPACE_CLASS.encode().decode("unicode_escape") + "]+")
+#: The same one by one, for what strips characters.
+SPACES = "".join(c for c in map(chr, range(0x10000)) if SPACE.match(c))
 
 
 #: Characters that Python splits at and browsers do not count as white space.

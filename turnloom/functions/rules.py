@@ -128,6 +128,10 @@ MATHML_ATTRIBUTES = frozenset(
 )
 #: Keys that a structured message may hold its text in, in order.
 TEXT_KEYS = ("text", "content", "message", "answer", "response", "output", "query", "prompt", "value")
+#: Keys of an object's role, of its author's, and of its content, in order.
+ROLE_KEYS = ("role", "authorRole", "messageRole", "sender")
+AUTHOR_KEYS = ("role", "type")
+CONTENT_KEYS = ("content", "text", "message", "answer", "response", "output")
 #: Messages in scripts that are no JSON: role before content, and content before role.
 MINED_ROLE_FIRST = r"""["']role["']\s*:\s*["'](user|human|assistant|bot|model)["'][^{}]{0,1800}?["'](?:content|text|message|answer|response)["']\s*:\s*["']((?:\\.|[^"'\\])*)["']"""
 MINED_CONTENT_FIRST = r"""["'](?:content|text|message|answer|response)["']\s*:\s*["']((?:\\.|[^"'\\])*)["'][^{}]{0,1800}?["']role["']\s*:\s*["'](user|human|assistant|bot|model)["']"""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions import rules, text
 from turnloom.functions.sanitize import sanitize_html
-from turnloom.operators import admission, candidates, capture, guides, messages, nodes, providers, render, table_functions
+from turnloom.operators import admission, candidates, capture, embedded, guides, messages, nodes, providers, render, table_functions
 from turnloom.plans import pages as share
 from turnloom.plans import streams
 from turnloom.sources.tables import read_table as table
@@ -551,6 +551,26 @@ def lateral_nodes(spark, sf_dir):
     return spark.sql("SELECT page_id, tag, count(*) AS n FROM {pages} p, LATERAL page_nodes(p.html) GROUP BY page_id, tag", pages=pages)
 
 
+#: A turn's text in the walked JSON: long ones stand at both sides of the longest that counts.
+_LONG = f"CASE WHEN turn = 1 AND conv_id % 40 = 0 THEN rpad(coalesce(text, ''), {rules.MAX_TEXT + 1}, 'x') WHEN turn = 1 AND conv_id % 40 = 20 THEN rpad(coalesce(text, ''), {rules.MAX_TEXT}, 'x') ELSE coalesce(text, '') END"
+_NOISY = " OR ".join(f"v = '{p}' OR starts_with(v, '{p} ')" for p in rules.NOISE_PREFIXES + rules.NOISE_PREFIXES_QWEN)
+_TRIMMED = f"regexp_replace(replace(text, chr(0), ''), '^[{rules.SPACE_CLASS_SQL}]+|[{rules.SPACE_CLASS_SQL}]+$', '', 'g')"
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, role, {_LONG} AS text FROM conversations WHERE role IN ('user', 'assistant') AND turn % 5 <> 4),
+m AS (SELECT conv_id, role, {_TRIMMED} AS text, CASE WHEN turn % 2 = 0 THEN -turn ELSE turn END AS pos, lower({c_('text')}) AS v, {key_('text')} AS k FROM t),
+kept AS (SELECT * FROM m WHERE v <> '' AND length(text) <= {rules.MAX_TEXT} AND NOT ({_NOISY}) QUALIFY row_number() OVER (PARTITION BY conv_id, role, md5(k) ORDER BY pos) = 1)
+SELECT conv_id AS page_id, count(*) AS n_messages, md5(string_agg(role || '|' || text, chr(10) ORDER BY pos)) AS body FROM kept GROUP BY conv_id""")
+def json_walk(spark, sf_dir):
+    """Conversations as an object in scripts, walked: keys of even turns are integers that fall, so they
+    come first and turned round; each fifth turn is nested deeper than counts, the one before just not."""
+    scripts = share.walked_scripts(table(spark, sf_dir, "conversations"), _LONG)
+    found = embedded.json_messages(scripts)
+    line = F.concat_ws("|", "role", "text")
+    made = found.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("script", "path", line.alias("line")))).alias("lines"))
+    return made.select("page_id", F.size("lines").cast("long").alias("n_messages"), md5(F.array_join(F.transform("lines", lambda m: m["line"]), "\n")).alias("body"))
+
+
 for _name in share.FORMS:
     QUERIES[f"parse_{_name}"] = _parse(_name)
     ORACLE_SQL[f"parse_{_name}"] = share.provider_sql(_name, c_, key_)

@@ -144,6 +144,22 @@ made AS (SELECT page_id, '{form.provider}' AS provider, CASE WHEN page_id % 2 =
 SELECT {columns} FROM made"""
 
 
+def walked_scripts(conversations: DataFrame, value: str) -> DataFrame:
+    """``page_id, script, type, value``: each conversation as one object in a script. Its turns (their text
+    by the given expression) have integer keys that fall if even, else keys that are none; they stand in
+    17 lists each fifth turn but one, in 18 each fifth, so that they lie 18 and 19 values deep."""
+    turn = F.col("turn")
+    turns = conversations.filter("role in ('user', 'assistant')").select("conv_id", "turn", "role", F.to_json(F.struct(F.expr(value).alias("t"))).alias("json"))
+    quoted = F.substring("json", F.lit(6), F.length("json") - 6)
+    said = F.when(F.col("role") == "user", '"role":"human"').otherwise('"author":{"type":"bot"}')
+    content = F.when(turn % 3 == 0, F.concat(F.lit('"content":'), quoted)).when(turn % 3 == 1, F.concat(F.lit('"text":{"z":1,"parts":['), quoted, F.lit("]}"))).otherwise(F.concat(F.lit('"content":null,"answer":[{"text":""},{"value":'), quoted, F.lit("}]")))
+    deep = F.when(turn % 5 == 3, 17).when(turn % 5 == 4, 18).otherwise(0)
+    key = F.when(turn % 2 == 0, (100_000 - turn).cast("string")).otherwise(F.concat(F.lit("k"), turn.cast("string")))
+    part = F.concat(F.lit('"'), key, F.lit('":'), F.repeat(F.lit("["), deep), F.lit("{"), said, F.lit(","), content, F.lit("}"), F.repeat(F.lit("]"), deep))
+    made = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", part.alias("part")))), lambda t: t["part"]), ",").alias("parts"))
+    return made.select(F.col("conv_id").alias("page_id"), F.lit(0).alias("script"), F.lit("application/json").alias("type"), F.concat(F.lit("{"), F.col("parts"), F.lit("}")).alias("value"))
+
+
 def dom_summary(pages: DataFrame) -> DataFrame:
     """``page_id, n_elements, n_noise, text``: of each page's tree."""
 
