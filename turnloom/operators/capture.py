@@ -89,14 +89,19 @@ def captured(turns: DataFrame) -> DataFrame:
 def synthetic_pages(turns: DataFrame, heads: DataFrame) -> DataFrame:
     """``page_id, html``: a document of each page's captured turns, with its title and links. A page
     without any turn has a document without turns."""
-    made = turns.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "html"))), lambda t: t["html"]), "\n").alias("_body"))
+    made = turns.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "html"))), lambda t: t["html"]), "\n").alias("body"))
+    return with_heads(made, heads)
+
+
+def with_heads(bodies: DataFrame, heads: DataFrame) -> DataFrame:
+    """``page_id, html``: a document of each page's head and, if it has any, body (page_id, body)."""
     quoted = text.escape_attribute
     page = F.concat(
         F.lit('<!doctype html><html lang="'), F.col("lang"), F.lit('"><head><title>'), text.escape_title("title"), F.lit('</title><link rel="canonical" href="'), quoted("canonical"),
         F.lit('"><meta property="og:title" content="'), quoted("og_title"), F.lit('"><meta property="og:description" content="'), quoted("og_description"),
-        F.lit('"></head><body><main data-provider="chatgpt">'), F.coalesce("_body", F.lit("")), F.lit("</main></body></html>"),
+        F.lit('"></head><body><main data-provider="chatgpt">'), F.coalesce("body", F.lit("")), F.lit("</main></body></html>"),
     )
-    return heads.join(made, "page_id", "left").select("page_id", page.alias("html"))
+    return heads.join(bodies, "page_id", "left").select("page_id", page.alias("html"))
 
 
 def _quoted(value: str) -> str:

@@ -685,20 +685,38 @@ def share_snapshot(spark, sf_dir):
     return made.select("conv_id", "turn", md5(capture.snapshot("html", "url")).alias("body"))
 
 
-@query(f"""WITH t AS (SELECT conv_id, turn, role, {_PIECE} AS text FROM conversations WHERE role IN ('user', 'assistant') AND {c_('text')} <> '')
+_CAPTURED = f"""WITH t AS (SELECT conv_id, turn, role, {_PIECE} AS text FROM conversations WHERE role IN ('user', 'assistant') AND {c_('text')} <> '')
 SELECT conv_id AS page_id, md5('<!doctype html><html lang="en"><head><title>Chat ' || conv_id || '</title><link rel="canonical" href="https://chatgpt.com/share/' || conv_id || '"><meta property="og:title" content="say &quot;hi&quot;"><meta property="og:description" content=""></head><body><main data-provider="chatgpt">'
-|| string_agg('<section data-turn="' || role || '" data-turn-id="t' || turn || '"><p>' || text || '</p></section>', chr(10) ORDER BY turn) || '</main></body></html>') AS body FROM t GROUP BY conv_id""")
-def capture_pages(spark, sf_dir):
-    """Pages read as a scrolling capture reads them: turns cleaned, the first of each kept, put together."""
+|| string_agg('<section data-turn="' || role || '" data-turn-id="t' || turn || '"><p>' || text || '</p></section>', chr(10) ORDER BY turn) || '</main></body></html>') AS body FROM t GROUP BY conv_id"""
+
+
+def _scrolled(spark, sf_dir) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").filter("role in ('user', 'assistant')").withColumn("text", text.collapse("text")).filter("text <> ''")
     twice = turns.withColumn("turn_", F.explode(F.array("turn", F.col("turn") + 1000)))
     part = F.concat(F.lit('<section data-turn="'), F.col("role"), F.lit('" data-turn-id="t'), F.col("turn").cast("string"), F.lit('"><p>'), text.escape_html("text"), F.lit("</p><button>Copy</button></section>"))
     made = twice.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("turn_").alias("at"), part.alias("part")))), lambda t: t["part"]), "").alias("turns"))
     ident = F.col("conv_id").cast("string")
-    pages = made.select(F.col("conv_id").alias("page_id"), F.concat(F.lit("https://chatgpt.com/share/"), ident).alias("url"), F.concat(F.lit("<title>Chat "), ident, F.lit("</title><meta property='og:title' content='say \"hi\"'>"), F.col("turns")).alias("html"))
+    return made.select(F.col("conv_id").alias("page_id"), F.concat(F.lit("https://chatgpt.com/share/"), ident).alias("url"), F.concat(F.lit("<title>Chat "), ident, F.lit("</title><meta property='og:title' content='say \"hi\"'>"), F.col("turns")).alias("html"))
+
+
+@query(_CAPTURED)
+def capture_pages(spark, sf_dir):
+    """Pages read as a scrolling capture reads them: turns cleaned, the first of each kept, put together."""
+    pages = _scrolled(spark, sf_dir)
     return capture.synthetic_pages(capture.captured(capture.page_turns(pages)), capture.page_heads(pages)).select("page_id", md5("html").alias("body"))
 
 
+@query(_CAPTURED)
+def stream_capture_pages(spark, sf_dir):
+    """The same as a stream: turns come in scrambled order, in five parts and over as many micro-batches
+    at least, and a page's document is made when it has gone idle."""
+    pages = _scrolled(spark, sf_dir)
+    turns = capture.page_turns(pages)
+    key = text.turn_key("turn_id", "container_id", "test_id", "turn", "text")
+    polls = turns.select("page_id", key.alias("key"), F.col("pos").cast("long").alias("pos"), "html", F.timestamp_seconds(10**8 + F.col("pos")).alias("ts"))
+    return capture.with_heads(streams.captured_bodies(spark, polls).select("page_id", "body"), capture.page_heads(pages)).select("page_id", md5("html").alias("body"))
+
+
 # -- readers -------------------------------------------------------------------------------------------
 
 

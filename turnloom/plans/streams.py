@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.sources import documents, tables
-from turnloom.streaming import turns
+from turnloom.streaming import captures, turns
+
+
+_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +47,29 @@ def _folder(spark: SparkSession, kind: str) -> str:
     return f"{where.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+def captured_bodies(spark: SparkSession, polls: DataFrame, parts: int = 5) -> DataFrame:
+    """``page_id, body`` of turns (page_id, key, pos, html, ts) that come in so many parts, dealt by hash
+    and so in no order; last a row comes that says that time has gone on. The stream stops after each part
+    and goes on from its state."""
+    path = _folder(spark, "captures")
+    dealt = polls.withColumn("_part", F.pmod(F.xxhash64("page_id", "pos"), F.lit(parts)))
+    dealt.write.partitionBy("_part").parquet(f"{path}/polls")
+    written = spark.read.parquet(f"{path}/polls")
+    schema = polls.schema
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, captures.STORE)
+    try:
+        for part in range(parts + 1):
+            end = spark.range(1).select(*(F.timestamp_seconds(F.lit(10**9)).alias(f.name) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
+            (written.filter(F.col("_part") == part).drop("_part") if part < parts else end).write.mode("append").parquet(f"{path}/in")
+            stream = captures.page_bodies(spark.readStream.schema(schema).parquet(f"{path}/in"))
+            running = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").outputMode("append").trigger(availableNow=True).start()
+            running.awaitTermination()
+    finally:
+        spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
+    return spark.read.schema(captures.BODIES).parquet(f"{path}/out")
+
+
 def guide_files(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """A guide of every document, written as JSON arrays of a thousand, and read again in their order."""
     i = F.col("doc_id")
