@@ -1,6 +1,7 @@
 """Messages in JSON that pages carry in scripts, as rows: values are VARIANT, and the walk is a chain of
-generators in the JVM, one for each level down to the deepest that counts. Nothing is shuffled before the
-messages of a page meet to drop repeats.
+expressions in the JVM over a script's objects and lists of one level, down to the deepest that counts. A
+level that holds none costs nothing, and rows are made of what was found alone. Nothing is shuffled before
+the messages of a page meet to drop repeats.
 
 VARIANT keeps keys sorted, while results follow the order in which scripts list them (integer keys first,
 ascending, then as written). So a level reads an object's text to a map, which keeps that order, and its
@@ -10,7 +11,6 @@ values as VARIANT for their types.
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,7 +24,7 @@ from turnloom.functions.dom import SPACES, parse
 from turnloom.operators import providers
 from turnloom.operators.messages import first_wins
 
-_FIELDS = ", ".join(f"{name} variant" for name in (*rules.ROLE_KEYS, "author", *rules.CONTENT_KEYS))
+_KEYS = (*rules.ROLE_KEYS, "author", *rules.CONTENT_KEYS)
 _SCRIPTS = "page_id long, script int, type string, value string"
 
 
@@ -41,17 +41,24 @@ def page_scripts(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(run, _SCRIPTS)
 
 
-def json_of(kind: Column | str, value: Column | str) -> Column:
-    """The JSON text of a script: all of it, or what stands between its first and last brace; null if it
-    is longer than counts, or no JSON. A text is JSON if it stays so as an array's only item and as an
-    object's value: what follows a whole value would break one of them."""
-    kind, whole = F.col(kind) if isinstance(kind, str) else kind, F.btrim(value, F.lit(SPACES))
-    braces = F.regexp_extract(whole, r"(?s)(\{.*\})", 1)
-    found = F.when((F.coalesce(kind, F.lit("")) == "application/json") | whole.rlike(r"^[{\[]"), whole).otherwise(braces)
-    found = F.when(F.length(whole) <= rules.MAX_SCRIPT, found)
-    alone = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), found, F.lit("]"))), "$[1]", "variant").isNull()
-    good = F.try_parse_json(F.concat(F.lit("["), found, F.lit("]"))).isNotNull() & alone & F.try_parse_json(F.concat(F.lit('{"v":'), found, F.lit("}"))).isNotNull()
-    return F.when(good, found).otherwise(_rewritten(F.when(~good & found.rlike(r"^[{\[]"), found)))
+def json_texts(scripts: DataFrame) -> DataFrame:
+    """``page_id, script, at`` of scripts (page_id, script, type, value): a script's JSON text, all of it or
+    what stands between its first and last brace; null if it is longer than counts, or no JSON. A text is
+    JSON if it stays so as an array's only item and as an object's value: what follows a whole value would
+    break one of them.
+
+    Each step is a projection of its own and rows are not filtered: otherwise what is used twice, or tested
+    by a filter, would be read twice.
+    """
+    rows = scripts.select("page_id", "script", "type", F.btrim("value", F.lit(SPACES)).alias("whole"))
+    all_of_it = (F.coalesce("type", F.lit("")) == "application/json") | F.col("whole").rlike(r"^[{\[]")
+    counts = F.length("whole") <= rules.MAX_SCRIPT
+    rows = rows.select("page_id", "script", F.when(counts, F.when(all_of_it, F.col("whole")).otherwise(F.regexp_extract("whole", r"(?s)(\{.*\})", 1))).alias("found"))
+    rows = rows.select("page_id", "script", "found", F.try_parse_json(F.concat(F.lit("["), "found", F.lit("]"))).alias("item"))
+    value = F.try_parse_json(F.concat(F.lit('{"v":'), "found", F.lit("}")))
+    good = F.col("item").isNotNull() & F.try_variant_get("item", "$[1]", "variant").isNull() & value.isNotNull()
+    rows = rows.select("page_id", "script", "found", good.alias("good"))
+    return rows.select("page_id", "script", F.when(F.col("good"), F.col("found")).otherwise(_rewritten(F.when(~F.col("good") & F.col("found").rlike(r"^[{\[]"), F.col("found")))).alias("at"))
 
 
 @F.pandas_udf(StringType())
@@ -64,36 +71,23 @@ def _rewritten(value: pd.Series) -> pd.Series:
 #: What scripts take for true, as itself; anything else as null.
 _TRUTHY = """CASE WHEN CASE WHEN schema_of_variant({0}) = 'STRING' THEN try_variant_get({0}, '$', 'string') <> '' WHEN schema_of_variant({0}) = 'BOOLEAN' THEN try_variant_get({0}, '$', 'boolean')
     WHEN schema_of_variant({0}) = 'VOID' THEN false WHEN schema_of_variant({0}) RLIKE '^(OBJECT|ARRAY)' THEN true ELSE coalesce(try_variant_get({0}, '$', 'double') <> 0, true) END THEN {0} END"""
-_ROLES = ", ".join(_TRUTHY.format(v) for v in (*(f"f.{k}" for k in rules.ROLE_KEYS), *(f"try_variant_get(f.author, '$.{k}', 'variant')" for k in rules.AUTHOR_KEYS)))
-_CONTENTS = ", ".join(f"CASE WHEN NOT is_variant_null(f.{k}) THEN f.{k} END" for k in rules.CONTENT_KEYS)
+_ROLES = ", ".join(_TRUTHY.format(v) for v in (*rules.ROLE_KEYS, *(f"try_variant_get(author, '$.{k}', 'variant')" for k in rules.AUTHOR_KEYS)))
+_CONTENTS = ", ".join(f"CASE WHEN NOT is_variant_null({k}) THEN {k} END" for k in rules.CONTENT_KEYS)
 #: Whether a child is an object or a list: its text alone does not tell, a string may look like one.
-_NESTED = r"e -> CASE WHEN e.t RLIKE '^[{\\[]' THEN schema_of_variant(e.v) <> 'STRING' ELSE false END"
+_NESTED = r"e -> CASE WHEN startswith(e.t, '[') THEN try_variant_get(e.v, '$', 'array<variant>') IS NOT NULL WHEN startswith(e.t, '{') THEN try_variant_get(e.v, '$', 'map<string,variant>') IS NOT NULL ELSE false END"
 _WHOLE = "CASE WHEN e.k RLIKE '^(0|[1-9][0-9]{0,9})$' AND CAST(e.k AS BIGINT) < 4294967295 THEN CAST(e.k AS BIGINT) ELSE 1099511627776 END"
-#: One level opened: values with role and content stay as found, the objects and lists in them come in,
-#: in the order that they are seen.
-_LEVEL = f"""SELECT page_id, script, n.* FROM (
-  SELECT page_id, script, explode(CASE WHEN at IS NULL THEN array(struct(path, at, role, content)) ELSE concat(
-    filter(array(struct(path, CAST(NULL AS STRING) AS at, r AS role, c AS content)), x -> r IS NOT NULL AND c IS NOT NULL),
-    transform(coalesce(
-      transform(array_sort(transform(filter(zip_with(map_entries(o), map_values(ov), (e, v) -> struct(e.key AS k, e.value AS t, v AS v)), {_NESTED}), (e, i) -> struct({_WHOLE} AS number, i AS i, e.t AS t))), e -> e.t),
-      transform(filter(zip_with(a, av, (t, v) -> struct(t AS t, v AS v)), {_NESTED}), e -> e.t), CAST(array() AS ARRAY<STRING>)),
-      (t, i) -> struct(concat(path, array(i)) AS path, t AS at, CAST(NULL AS VARIANT) AS role, CAST(NULL AS VARIANT) AS content))) END) AS n
-  FROM (SELECT *, coalesce({_ROLES}) AS r, coalesce({_CONTENTS}) AS c
-  FROM (SELECT *, from_json(object, 'map<string,string>') AS o, from_json(object, 'map<string,variant>') AS ov, from_json(list, 'array<string>') AS a, from_json(list, 'array<variant>') AS av, from_json(object, '{_FIELDS}') AS f
-  FROM (SELECT *, CASE WHEN startswith(at, '{{') THEN at END AS object, CASE WHEN startswith(at, '[') THEN at END AS list FROM level))))"""
-
-
-_TOGETHER = 5
-
-
-def _opened(rows: DataFrame, levels: int) -> DataFrame:
-    name = f"values_{uuid.uuid4().hex}"
-    rows.createOrReplaceTempView(name)
-    steps = ", ".join(f"level{i + 1} AS ({_LEVEL.replace('FROM level', f'FROM level{i}')})" for i in range(levels))
-    try:
-        return rows.sparkSession.sql(f"WITH level0 AS (TABLE {name}), {steps} TABLE level{levels}")
-    finally:
-        rows.sparkSession.catalog.dropTempView(name)
+#: One level read: objects as a map of texts and one of values, lists likewise.
+_READ = """transform(level, e -> struct(e.path AS path, from_json(CASE WHEN startswith(e.t, '{') THEN e.t END, 'map<string,string>') AS o, from_json(CASE WHEN startswith(e.t, '{') THEN e.t END, 'map<string,variant>') AS ov,
+    from_json(CASE WHEN startswith(e.t, '[') THEN e.t END, 'array<string>') AS a, from_json(CASE WHEN startswith(e.t, '[') THEN e.t END, 'array<variant>') AS av))"""
+_ANY = lambda keys: f"coalesce({', '.join(f'e.ov[{k!r}]' for k in keys)}) IS NOT NULL"
+#: A level's objects that may be messages, after those of the levels above.
+_FOUND = f"""concat(found, transform(filter(opened, e -> e.ov IS NOT NULL AND {_ANY((*rules.ROLE_KEYS, "author"))} AND {_ANY(rules.CONTENT_KEYS)}),
+    e -> struct(e.path AS path, {", ".join(f"e.ov['{k}'] AS {k}" for k in _KEYS)})))"""
+#: The objects and lists in a level's, in the order that they are seen.
+_BELOW = f"""flatten(transform(opened, r -> transform(coalesce(
+    transform(array_sort(transform(filter(zip_with(map_entries(r.o), map_values(r.ov), (e, v) -> struct(e.key AS k, e.value AS t, v AS v)), {_NESTED}), (e, i) -> struct({_WHOLE} AS number, i AS i, e.t AS t))), e -> e.t),
+    transform(filter(zip_with(r.a, r.av, (t, v) -> struct(t AS t, v AS v)), {_NESTED}), e -> e.t), CAST(array() AS ARRAY<STRING>)),
+    (t, i) -> struct(concat(r.path, array(i)) AS path, t AS t))))"""
 
 
 @F.pandas_udf(StringType())
@@ -108,6 +102,13 @@ def _joined(role: pd.Series) -> pd.Series:
     return role.map(lambda r: None if r is None else providers.said(json.loads(r)))
 
 
+def _settled(rows: DataFrame, whole: int) -> DataFrame:
+    """rows, whose columns after the first ones are worked out before what follows: filters on them are not
+    pushed down, where each use of a column would work it out anew."""
+    first, made = rows.columns[:whole], rows.columns[whole:]
+    return rows.select(*first, F.explode(F.array(F.struct(*made))).alias("_row")).select(*first, *(f"_row.{c}" for c in made))
+
+
 def walk(scripts: DataFrame, depth: int = rules.MAX_DEPTH) -> DataFrame:
     """``page_id, script, path, role, text`` of every object with a role and a content in scripts
     (page_id, script, type, value), to a depth of values. ``path`` sorts objects outside in, in the order
@@ -116,24 +117,26 @@ def walk(scripts: DataFrame, depth: int = rules.MAX_DEPTH) -> DataFrame:
     Scripts that are null, empty, too long, or no JSON have no rows; so have objects nested deeper, and
     values nested over a thousand deep, which the JSON reader refuses.
     """
-    rows = scripts.select("page_id", "script", json_of("type", "value").alias("at")).filter(F.col("at").rlike(r"^[{\[]"))
-    rows = rows.select("page_id", "script", F.array().cast("array<int>").alias("path"), "at", F.lit(None).cast("variant").alias("role"), F.lit(None).cast("variant").alias("content"))
-    # some levels a statement: analysis of all in one takes too many rounds, one by one it takes long
-    for first in range(0, depth + 1, _TOGETHER):
-        rows = _opened(rows, min(_TOGETHER, depth + 1 - first))
+    fields = ", ".join(f"{k}: variant" for k in _KEYS)
+    rows = json_texts(scripts).selectExpr("page_id", "script", "array(struct(CAST(array() AS ARRAY<INT>) AS path, at AS t)) AS level", f"CAST(array() AS ARRAY<STRUCT<path: ARRAY<INT>, {fields}>>) AS found")
+    for _ in range(depth + 1):
+        rows = rows.selectExpr("page_id", "script", "found", f"{_READ} AS opened").selectExpr("page_id", "script", f"{_FOUND} AS found", f"{_BELOW} AS level")
+    # not of the column itself: a test of its size would be pushed down to the scan, with all levels in it
+    rows = rows.select("page_id", "script", F.explode(F.when(F.size("found") > 0, F.col("found"))).alias("n")).select("page_id", "script", "n.*")
+    rows = _settled(rows.selectExpr("page_id", "script", "path", f"coalesce({_ROLES}) AS role", f"coalesce({_CONTENTS}) AS content"), 2).filter("role is not null and content is not null")
     kind = F.schema_of_variant("role")
     said = F.when(kind == "STRING", F.try_variant_get("role", "$", "string")).otherwise(F.coalesce(_joined(F.when(kind.startswith("ARRAY"), F.to_json("role"))), F.lit("")))
     kind = F.schema_of_variant("content")
     nested = _structured(F.when(kind.rlike("^(OBJECT|ARRAY)"), F.to_json("content")))
     value = F.when(kind == "STRING", F.try_variant_get("content", "$", "string")).otherwise(F.coalesce(nested, F.lit("")))
     value = F.btrim(F.replace(value, F.lit("\0"), F.lit("")), F.lit(SPACES))
-    return rows.filter("at is null and role is not null").select("page_id", "script", "path", said.alias("role"), value.alias("text"))
+    return rows.select("page_id", "script", "path", said.alias("role"), value.alias("text"))
 
 
 def json_messages(scripts: DataFrame) -> DataFrame:
     """``page_id, script, path, role, text``: the walk's objects that are messages. Unknown roles, texts
     that are empty, noise, or longer than counts go; of one role's equal texts in a page the first stays."""
-    found = walk(scripts).withColumn("role", text.normalize_role("role"))
+    found = _settled(walk(scripts).withColumn("role", text.normalize_role("role")), 3)
     found = found.filter((F.col("role") != "") & (F.col("text") != "") & (F.length("text") <= rules.MAX_TEXT) & ~text.noise_prefix("text", qwen=True))
     keyed = found.withColumn("_key", F.md5(text.dedupe_key("text")))
     return first_wins(keyed, ["page_id", "role", "_key"], ["script", "path"]).drop("_key")
