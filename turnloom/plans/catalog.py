@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnloom.functions import rules, text
@@ -745,6 +745,30 @@ def stream_rate_limit(spark, sf_dir):
     return streams.rate_limit(spark, sf_dir)
 
 
+@query("""WITH p AS (SELECT user_id AS page_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step, event_type || event_id % 16 AS key, 420 * (user_id % 90) AS bottom FROM events WHERE user_id IS NOT NULL),
+q AS (SELECT *, 420 * least(step, user_pages) AS top, row_number() OVER (PARTITION BY page_id, key ORDER BY step) = 1 AS new FROM (SELECT *, page_id % 90 AS user_pages FROM p)),
+f AS (SELECT *, NOT new AND step > 0 AND (top >= bottom - 8 OR top = lag(top) OVER (PARTITION BY page_id ORDER BY step)) AS still FROM q),
+g AS (SELECT *, still AND lag(still, 1, false) OVER w AND lag(still, 2, false) OVER w AS stops FROM f WINDOW w AS (PARTITION BY page_id ORDER BY step)),
+s AS (SELECT page_id, least(min(step) FILTER (stops), 72, max(step)) AS n_steps, min(step) FILTER (stops) AS third FROM g GROUP BY page_id)
+SELECT page_id, n_steps, (SELECT count(*) FROM q WHERE q.page_id = s.page_id AND q.new AND q.step <= s.n_steps) AS n_turns, CASE WHEN third = n_steps THEN 'still' WHEN n_steps = 72 THEN 'steps' ELSE 'idle' END AS stopped FROM s""")
+def stream_scroll_stops(spark, sf_dir):
+    """Events as polls of a page a user: each brings one turn, pages are of 0 to 89 steps. Polls come in
+    scrambled order, in three parts and over as many micro-batches at least."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("page_id"), (F.row_number().over(order) - 1).cast("long").alias("step"), F.concat("event_type", (F.col("event_id") % 16).cast("string")).alias("key"))
+    last = F.col("page_id") % 90
+    polls = events.select("page_id", "step", (420 * F.least("step", last)).alias("top"), (420 * last).alias("bottom"), F.array("key").alias("keys"), F.timestamp_seconds(10**8 + F.col("step")).alias("ts"))
+    return streams.scroll_stops(spark, polls)
+
+
+@query(share.provider_sql("chatgpt", c_, key_, "page_id, CASE WHEN error IS NULL THEN n_messages END AS n_messages, error"))
+def stream_conversation_sink(spark, sf_dir):
+    """Share pages as a stream: conversations with messages to JSON, the others to the quarantine."""
+    pages = share.provider_pages(table(spark, sf_dir, "conversations"), "chatgpt")
+    good, bad = streams.stored_batches(spark, pages, lambda batch: providers.assemble(providers.parse_pages(batch), "2024-02-29"))
+    return good.select("page_id", F.size("messages").cast("long").alias("n_messages"), F.lit(None).cast("string").alias("error")).unionByName(bad.select("page_id", F.lit(None).cast("long").alias("n_messages"), "error"))
+
+
 # -- extras, beyond the pages ----------------------------------------------------------------------------
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,27 +48,46 @@ def _folder(spark: SparkSession, kind: str) -> str:
     return f"{where.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
-def captured_bodies(spark: SparkSession, polls: DataFrame, parts: int = 5) -> DataFrame:
-    """``page_id, body`` of turns (page_id, key, pos, html, ts) that come in so many parts, dealt by hash
-    and so in no order; last a row comes that says that time has gone on. The stream stops after each part
-    and goes on from its state."""
-    path = _folder(spark, "captures")
-    dealt = polls.withColumn("_part", F.pmod(F.xxhash64("page_id", "pos"), F.lit(parts)))
-    dealt.write.partitionBy("_part").parquet(f"{path}/polls")
-    written = spark.read.parquet(f"{path}/polls")
-    schema = polls.schema
+def in_parts(spark: SparkSession, rows: DataFrame, by: list[str], made: Callable[[DataFrame], DataFrame], schema: str, parts: int) -> DataFrame:
+    """What a stateful stream makes of rows (with a time ``ts``) that come in so many parts, dealt by hash and
+    so in no order; last a row comes that says that time has gone on. The stream stops after each part and
+    goes on from its state."""
+    path = _folder(spark, "parts")
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(*by), F.lit(parts)))
+    dealt.write.partitionBy("_part").parquet(f"{path}/rows")
+    written = spark.read.parquet(f"{path}/rows")
     before = spark.conf.get(_STORE, None)
     spark.conf.set(_STORE, captures.STORE)
     try:
         for part in range(parts + 1):
-            end = spark.range(1).select(*(F.timestamp_seconds(F.lit(10**9)).alias(f.name) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
+            end = spark.range(1).select(*(F.timestamp_seconds(F.lit(10**9)).alias(f.name) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema))
             (written.filter(F.col("_part") == part).drop("_part") if part < parts else end).write.mode("append").parquet(f"{path}/in")
-            stream = captures.page_bodies(spark.readStream.schema(schema).parquet(f"{path}/in"))
+            stream = made(spark.readStream.schema(rows.schema).parquet(f"{path}/in"))
             running = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").outputMode("append").trigger(availableNow=True).start()
             running.awaitTermination()
     finally:
         spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
-    return spark.read.schema(captures.BODIES).parquet(f"{path}/out")
+    return spark.read.schema(schema).parquet(f"{path}/out")
+
+
+def captured_bodies(spark: SparkSession, polls: DataFrame, parts: int = 5) -> DataFrame:
+    """``page_id, body`` of turns (page_id, key, pos, html, ts) that come in so many parts, in no order."""
+    return in_parts(spark, polls, ["page_id", "pos"], captures.page_bodies, captures.BODIES, parts)
+
+
+def scroll_stops(spark: SparkSession, polls: DataFrame, parts: int = 3) -> DataFrame:
+    """Where captures stop, by polls (page_id, step, top, bottom, keys, ts) that come in so many parts, in no order."""
+    return in_parts(spark, polls, ["page_id", "step"], captures.scroll_stops, captures.STOPS, parts)
+
+
+def stored_batches(spark: SparkSession, pages: DataFrame, made: Callable[[DataFrame], DataFrame], parts: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Good and quarantined conversations of pages that come as a stream, in so many micro-batches at least."""
+    path = _folder(spark, "batches")
+    pages.repartition(parts, F.xxhash64("page_id")).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    running = stream.writeStream.foreachBatch(tables.batch_writer(made, path)).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return tables.read_batches(spark, path)
 
 
 def guide_files(spark: SparkSession, documents: DataFrame) -> DataFrame:

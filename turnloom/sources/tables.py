@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,3 +52,25 @@ def write_errors(conversations: DataFrame, path: str) -> None:
 def write_documents(rendered: DataFrame, path: str) -> None:
     """Rendered documents by provider, in columns; a document is one value of the table."""
     rendered.filter("document is not null").select("page_id", "provider", "document").write.mode("overwrite").partitionBy("provider").parquet(path)
+
+
+def batch_writer(made: Callable[[DataFrame], DataFrame], path: str) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: conversations that ``made`` makes of a micro-batch, those without error as JSON
+    lines under ``path/good``, page_id, url and error of the others under ``path/quarantine``. A batch has a
+    folder of its own in each, so a batch that comes again replaces itself and changes nothing."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        conversations = made(batch).persist()
+        try:
+            write_conversations(conversations, f"{path}/good/batch={batch_id}")
+            write_errors(conversations, f"{path}/quarantine/batch={batch_id}")
+        finally:
+            conversations.unpersist()
+
+    return write
+
+
+def read_batches(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """What ``batch_writer`` wrote under path: ``page_id, messages`` of good ones, and the quarantine."""
+    good = spark.read.schema("page_id long, messages array<struct<role:string,text:string>>, batch long").json(f"{path}/good")
+    return good.drop("batch"), spark.read.schema("page_id long, url string, error string, batch long").parquet(f"{path}/quarantine").drop("batch")

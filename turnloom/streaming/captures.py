@@ -12,6 +12,9 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 #: The state store that maps and timers need.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 BODIES = "page_id long, n_turns long, n_seen long, body string"
+#: Pages are keyed as text: beside a row without a page pandas makes numbers floats, which are no keys of the state.
+_PAGE = lambda: F.col("page_id").cast("long").cast("string").alias("page_id")
+STOPS = "page_id long, n_steps long, n_turns long, stopped string"
 
 
 class _Page(StatefulProcessor):
@@ -52,7 +55,7 @@ class _Page(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         kept = sorted(tuple(value) for _, value in self.turns.iterator())
-        made = {"page_id": [key[0]], "n_turns": [len(kept)], "n_seen": [self.seen.get()[1]], "body": ["\n".join(html for _, html in kept)]}
+        made = {"page_id": [int(key[0])], "n_turns": [len(kept)], "n_seen": [self.seen.get()[1]], "body": ["\n".join(html for _, html in kept)]}
         self.turns.clear()
         self.seen.clear()
         yield pd.DataFrame(made)
@@ -72,5 +75,96 @@ def page_bodies(turns: DataFrame, idle: int = 60, delay: str = "1 hour") -> Data
     """
     timed = turns.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     html = F.when(F.col("page_id").isNotNull() & F.col("key").isNotNull(), F.col("html")).alias("html")
-    rows = timed.select("page_id", "key", "pos", html, "ts", F.unix_millis("ts").alias("ms"))
+    rows = timed.select(_PAGE(), "key", "pos", html, "ts", F.unix_millis("ts").alias("ms"))
     return rows.groupBy("page_id").transformWithStateInPandas(_Page(idle * 1000), BODIES, "Append", "EventTime")
+
+
+class _Scroll(StatefulProcessor):
+    """A page's polls folded in the order of their steps, until no more turns come up."""
+
+    def __init__(self, steps: int, still: int, slack: int, idle_ms: int):
+        self.steps, self.still, self.slack, self.idle_ms = steps, still, slack, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        #: The last step folded (-1: none), its place, how many polls in a row brought nothing, turns, the timer.
+        self.at = handle.getValueState("at", "step long, top long, still long, turns long, latest long, done boolean")
+        self.turns = handle.getMapState("turns", "key string", "seen boolean")
+        self.waiting = handle.getMapState("waiting", "step long", "top long, bottom long, keys array<string>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if pd.isna(key[0]):
+            return
+        step, top, still, turns, latest, done = self.at.get() if self.at.exists() else (-1, -1, 0, 0, None, False)
+        before = latest
+        for batch in rows:
+            batch = batch.dropna(subset=["step", "top", "bottom", "ms"])
+            if batch.empty:
+                continue
+            newest = int(batch["ms"].max())
+            latest = newest if latest is None else max(latest, newest)
+            batch = batch[(batch["step"] > step) & (batch["step"] <= self.steps) & (not done)].sort_values(["step", "top", "bottom"])
+            for at, *place, keys in zip(batch["step"], batch["top"], batch["bottom"], batch["keys"]):
+                if not self.waiting.containsKey((int(at),)):
+                    self.waiting.updateValue((int(at),), (*map(int, place), [k for k in (() if keys is None else keys) if k is not None]))
+        if latest is None:
+            return
+        if latest != before:
+            if before is not None:
+                self.handle.deleteTimer(before + self.idle_ms)
+            self.handle.registerTimer(latest + self.idle_ms)
+        step, top, still, turns, why = (step, top, still, turns, None) if done else self._fold(step, top, still, turns, gaps=False)
+        self.at.update((step, top, still, turns, latest, done or why is not None))
+        if why:
+            self.turns.clear()
+            self.waiting.clear()
+            yield self._row(key, step, turns, why)
+
+    def _fold(self, step: int, top: int, still: int, turns: int, gaps: bool) -> tuple:
+        why = None
+        for at in sorted(k[0] for k in self.waiting.keys()):
+            if why or (at != step + 1 and not gaps):
+                break
+            here, bottom, keys = self.waiting.getValue((at,))
+            new = [k for k in dict.fromkeys(keys) if not self.turns.containsKey((k,))]
+            for k in new:
+                self.turns.updateValue((k,), (True,))
+            # the first poll looks before anything has moved
+            still = still + 1 if step >= 0 and not new and (here >= bottom - self.slack or here == top) else 0
+            step, top, turns = at, here, turns + len(new)
+            self.waiting.removeKey((at,))
+            why = "still" if still >= self.still else "steps" if step >= self.steps else None
+        return step, top, still, turns, why
+
+    def _row(self, key, step: int, turns: int, why: str) -> pd.DataFrame:
+        return pd.DataFrame({"page_id": [int(key[0])], "n_steps": [step], "n_turns": [turns], "stopped": [why]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        step, top, still, turns, _, done = self.at.get()
+        if not done:
+            step, top, still, turns, why = self._fold(step, top, still, turns, gaps=True)
+            if step >= 0:
+                yield self._row(key, step, turns, why or "idle")
+        self.turns.clear()
+        self.waiting.clear()
+        self.at.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def scroll_stops(polls: DataFrame, steps: int = 72, still: int = 3, slack: int = 8, idle: int = 60, delay: str = "1 hour") -> DataFrame:
+    """``page_id, n_steps, n_turns, stopped`` of a stream of polls (page_id, step, top, bottom, keys, ts): where
+    a scrolling capture stops. Step 0 looks before the page moves. A poll is still if it finds no new turn and
+    is at the bottom, within ``slack``, or where it was before. It stops at the last of ``still`` such polls in
+    a row ("still"), after ``steps`` ("steps"), or once the watermark is ``idle`` seconds past the last poll
+    ("idle").
+
+    Polls may come in any order: a poll waits for the step before it, at most ``steps`` of a page do, and
+    steps that never came are passed over when the page is idle. Of a step that comes twice the first stays.
+    Polls after the stop change nothing, and once idle a page is forgotten. Rows without page, step, place
+    or time count for nothing; polls later than ``delay`` go; keys may be null, empty or repeated.
+    """
+    timed = polls.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    rows = timed.select(_PAGE(), "step", "top", "bottom", "keys", "ts", F.unix_millis("ts").alias("ms"))
+    return rows.groupBy("page_id").transformWithStateInPandas(_Scroll(steps, still, slack, idle * 1000), STOPS, "Append", "EventTime")
