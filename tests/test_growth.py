@@ -1,0 +1,21 @@
+"""Work and memory that must not grow faster than the input."""
+
+import random
+import unicodedata
+
+from pyspark.sql import functions as F
+
+from turnloom.functions import text
+
+
+def test_composition_of_runs_alone(spark):
+    """Texts are composed as a whole would be, while Python is given what may change and no more."""
+    rng = random.Random(5)
+    signs = "ae ̧́̈é ½ﬁＡ①ｶﾞ゙か각가각…ß̈́\U0001d400\U0001f600ཱིো’漢​\n"
+    values = ["".join(rng.choice(signs) for _ in range(rng.randrange(14))) for _ in range(3_000)] + ["́", "x́", "né", "é" * 3, None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    got = {r.i: r.c for r in df.select("i", text.composed("v").alias("c")).collect()}
+    assert got == {i: unicodedata.normalize("NFKC", v or "") for i, v in enumerate(values)}
+    whole = "plain café text " * 1_000
+    runs = spark.createDataFrame([(whole + "ﬁ" + whole,)], "v string").select(F.regexp_extract_all("v", F.lit(text._OPEN), F.lit(0)).alias("r")).first().r
+    assert runs == [" ﬁ"]

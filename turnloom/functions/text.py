@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from turnloom.functions import rules
 
@@ -27,10 +29,31 @@ def blank(value: Column | str) -> Column:
     return collapse(value) == ""
 
 
-@F.pandas_udf(StringType())
-def nfkc(values: pd.Series) -> pd.Series:
-    """Compatibility composition; Spark has no function for it."""
-    return values.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFKC", v))
+#: Characters that composition leaves as they are, whatever stands beside them; all others may change.
+COMPOSED = (
+    r"\x{0}-\x{9F}\x{A1}-\x{A7}\x{A9}\x{AB}-\x{AE}\x{B0}\x{B1}\x{B6}\x{B7}\x{BB}\x{BF}-\x{131}\x{134}-\x{13E}\x{141}-\x{148}\x{14A}-\x{17E}\x{180}-\x{1C3}\x{1CD}-\x{1F0}\x{1F4}-\x{2AF}"
+    r"\x{38E}-\x{3A1}\x{3A3}-\x{3CF}\x{3FA}-\x{482}\x{48A}-\x{52F}\x{2012}-\x{2016}\x{2018}-\x{2023}\x{20A9}-\x{20BF}\x{3041}-\x{3096}\x{30A1}-\x{30FA}\x{4E00}-\x{9FEF}\x{AC00}-\x{D7A3}"
+)
+#: A character that may change (most are told by the first range alone), and runs of them with the character
+#: before them, with which the first may be composed.
+_MAY = rf"[\x{{A0}}-\x{{10FFFF}}&&[^{COMPOSED}]]"
+_OPEN = f"(?s).?{_MAY}+"
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def nfkc(runs: pd.Series) -> pd.Series:
+    """Compatibility composition of each text of a list; Spark has no function for it."""
+    return runs.map(lambda r: None if r is None else [unicodedata.normalize("NFKC", t) for t in r])
+
+
+def composed(value: Column | str) -> Column:
+    """Compatibility composition; null as ''. Only what may change leaves the JVM, so that what Python holds
+    does not grow with the texts; no character changes beyond such runs."""
+    text = _text(value)
+    may = (F.octet_length(text) != F.length(text)) & text.rlike(_MAY)
+    made = nfkc(F.when(may, F.regexp_extract_all(text, F.lit(_OPEN), F.lit(0))))
+    between = F.split(text, _OPEN, -1)
+    return F.when(made.isNotNull(), F.array_join(F.zip_with(between, made, lambda one, two: F.concat(one, F.coalesce(two, F.lit("")))), "")).otherwise(text)
 
 
 def dedupe_key(value: Column | str, normalize: bool = True) -> Column:
