@@ -19,3 +19,12 @@ def test_composition_of_runs_alone(spark):
     whole = "plain café text " * 1_000
     runs = spark.createDataFrame([(whole + "ﬁ" + whole,)], "v string").select(F.regexp_extract_all("v", F.lit(text._OPEN), F.lit(0)).alias("r")).first().r
     assert runs == [" ﬁ"]
+
+
+def test_noise_collapses_a_text_once(spark):
+    """No phrase has the text collapsed anew."""
+    for noisy in (text.noise_part("t", "claude"), text.noise_prefix("t", qwen=True)):
+        plan = spark.range(1).select(F.lit("Privacy  Policy").alias("t")).select(noisy.alias("n"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("regexp_replace(") == 1 and "regexp_replace(" not in plan.split("lambdafunction(", 1)[1]
+    row = spark.createDataFrame([("our Privacy \n POLICY x", "Sign  in now", None)], "a string, b string, c string")
+    assert tuple(row.select(text.noise_part("a", "claude"), text.noise_part("b", "claude"), text.noise_part("c", "grok"), text.noise_prefix("b"), text.noise_prefix("a"), text.noise_prefix("c")).first()) == (True, False, True, True, False, True)

@@ -62,9 +62,7 @@ def dedupe_key(value: Column | str, normalize: bool = True) -> Column:
     normalize: False leaves out the composition, and with it the only step outside the JVM; right where
     texts are known to be composed.
     """
-    text = _text(value)
-    if normalize:  # only texts beyond ASCII leave the JVM: the others are composed as they are
-        text = F.coalesce(nfkc(F.when(F.octet_length(text) != F.length(text), text)), text)
+    text = composed(value) if normalize else _text(value)
     return F.lower(collapse(F.regexp_replace(text, "[\\u200B-\\u200D\\uFEFF]", "")))
 
 
@@ -123,17 +121,25 @@ def detect_provider(html: Column | str, url: Column | str) -> Column:
     return found.otherwise("claude")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once. Spark puts an expression in wherever it is used, and works
+    one inside of a function over an array out anew for each of its items."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _any(conditions: list[Column]) -> Column:
+    return reduce(lambda one, two: one | two, conditions)
+
+
 def noise_prefix(value: Column | str, qwen: bool = False) -> Column:
     """Empty, one of the phrases, or a phrase and more words."""
-    text = F.lower(collapse(value))
     phrases = rules.NOISE_PREFIXES + (rules.NOISE_PREFIXES_QWEN if qwen else ())
-    return (text == "") | F.exists(F.array(*map(F.lit, phrases)), lambda p: (text == p) | F.startswith(text, F.concat(p, F.lit(" "))))
+    return let(F.lower(collapse(value)), lambda t: (t == "") | _any([(t == p) | F.startswith(t, F.lit(f"{p} ")) for p in phrases]))
 
 
 def noise_part(value: Column | str, provider: str) -> Column:
     """Empty, or containing one of the provider's phrases anywhere."""
-    text = F.lower(collapse(value))
-    return (text == "") | F.exists(F.array(*map(F.lit, rules.NOISE_PARTS[provider])), lambda p: F.contains(text, p))
+    return let(F.lower(collapse(value)), lambda t: (t == "") | _any([F.contains(t, F.lit(p)) for p in rules.NOISE_PARTS[provider]]))
 
 
 def title_or_first_user(title: Column | str, messages: Column | str) -> Column:
