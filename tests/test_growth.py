@@ -1,11 +1,25 @@
 """Work and memory that must not grow faster than the input."""
 
 import random
+import time
 import unicodedata
 
 from pyspark.sql import functions as F
 
 from turnloom.functions import text
+from turnloom.operators import messages
+
+
+def test_pairs_of_long_messages(spark):
+    """Hashes of a message are worked out once, not at each of its places."""
+    rng = random.Random(3)
+    whole = "".join(rng.choice("abcdefgh ") for _ in range(12_000))
+    rows = [(1, "user", 1, whole), (1, "user", 2, whole[5_000:5_060]), (1, "user", 3, whole[7_000:9_000]), (1, "user", 4, whole[:39]), (2, "user", 5, whole[5_000:5_060]), (1, "user", 6, None)]
+    df = spark.createDataFrame(rows, "conv long, role string, id long, key string")
+    began = time.monotonic()
+    got = {(r.a, r.b) for r in messages.near_duplicate_pairs(df, ["conv", "role"], "id", "key").collect()}
+    assert got == {(2, 1), (3, 1)}
+    assert time.monotonic() - began < 40
 
 
 def test_composition_of_runs_alone(spark):

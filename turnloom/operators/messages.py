@@ -70,11 +70,21 @@ def near_duplicate_pairs(rows: DataFrame, scope: list[str], ident: str, key: str
     """
     long = rows.filter(F.length(key) > least)
     octets, window = F.col(key).cast("binary"), least - gram + 1  # any place in bytes is found at once, unlike in characters
-    hashes = F.transform(F.sequence(F.lit(1), F.octet_length(key) - gram + 1), lambda i: F.xxhash64(F.substring(octets, i, F.lit(gram))))
-    hashed = long.select(*scope, ident, hashes.alias("_h"))
-    smallest = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_h") - window + 1), lambda i: F.array_min(F.slice("_h", i, window))))
-    held = hashed.select(*scope, F.col(ident).alias("a"), F.array_min(F.slice("_h", 1, window)).alias("_run"))
-    holder = hashed.select(*scope, F.col(ident).alias("b"), F.explode(smallest).alias("_run"))
+    hashes = lambda o, n: F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.substring(o, i, F.lit(gram))))
+    shifted = lambda m, n: text.let(m, lambda m: F.zip_with(m, F.slice(m, n + 1, F.size(m)), lambda one, two: F.least(one, two)))
+
+    def lows(h: Column) -> Column:
+        """The smallest of each window, from those of two shorter ones: a slice at each place would read the whole list there."""
+        wide = 1
+        while wide < window:
+            step = min(wide, window - wide)
+            h, wide = shifted(h, step), wide + step
+        return h
+
+    held = long.select(*scope, F.col(ident).alias("a"), F.array_min(text.let(octets, lambda o: hashes(o, F.lit(window)))).alias("_run"))
+    smallest = text.let(text.let(octets, lambda o: hashes(o, F.greatest(F.length(o) - gram + 1, F.lit(1)))), lambda h: text.let(lows(h), lambda m: F.array_distinct(F.slice(m, 1, F.greatest(F.size(m) - window + 1, F.lit(1))))))
+    # no list is empty; plain explode has a test of its size pushed down, with all of the work in it
+    holder = long.select(*scope, F.col(ident).alias("b"), F.explode_outer(smallest).alias("_run"))
     # ids meet first; keys, which are long, come in for the pairs that met
     met = held.join(holder, [*scope, "_run"]).filter(F.col("a") != F.col("b")).select(*scope, "a", "b").distinct()
     keys = long.select(F.col(ident), F.col(key))
