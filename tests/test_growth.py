@@ -7,7 +7,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from turnloom.functions import text
-from turnloom.operators import messages
+from turnloom.operators import candidates, messages, providers
 
 
 def test_pairs_of_long_messages(spark):
@@ -41,4 +41,16 @@ def test_noise_collapses_a_text_once(spark):
         plan = spark.range(1).select(F.lit("Privacy  Policy").alias("t")).select(noisy.alias("n"))._jdf.queryExecution().analyzed().toString()
         assert plan.count("regexp_replace(") == 1 and "regexp_replace(" not in plan.split("lambdafunction(", 1)[1]
     row = spark.createDataFrame([("our Privacy \n POLICY x", "Sign  in now", None)], "a string, b string, c string")
-    assert tuple(row.select(text.noise_part("a", "claude"), text.noise_part("b", "claude"), text.noise_part("c", "grok"), text.noise_prefix("b"), text.noise_prefix("a"), text.noise_prefix("c")).first()) == (True, False, True, True, False, True)
+    assert tuple(row.select(text.noise_part("a", "claude"), text.noise_part("b", "claude"), text.noise_part("c", "gemini"), text.noise_prefix("b"), text.noise_prefix("a"), text.noise_prefix("c")).first()) == (True, False, True, True, False, True)
+
+
+def test_candidates_of_a_long_page(spark):
+    """Gates and near copies are settled once for a page or a candidate, not at each candidate of it."""
+    turns = "".join(f'<div class="font-user-message">question {i} {"why " * 60}</div><div class="prose"><p>answer {i} {"so " * 60}</p></div>' for i in range(60))
+    pages = spark.createDataFrame([(1, "https://claude.ai/share/1", f"<main>{turns}</main>")], "page_id long, url string, html string")
+    began = time.monotonic()
+    got = candidates.parse_pages(pages).first()
+    took = time.monotonic() - began
+    want = providers.parse_pages(pages, "claude").first()
+    assert len(got.messages) == 120 and [(m.role, m.text) for m in got.messages] == [(m.role, m.text) for m in want.messages]
+    assert took < 20

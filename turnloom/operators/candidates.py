@@ -88,11 +88,12 @@ def _has(candidates: Column, stages: tuple[int, ...], role: str | None = None) -
 def gated(candidates: Column) -> Column:
     """Of candidates that are clean those whose stage is asked: plain assistant markup only where the first
     stage has no assistant, role attributes for the roles that it lacks, bare markup where nothing was found."""
-    good = F.filter(candidates, lambda c: ~c["walled"] & ~text.noise_part(c["whole"], "claude") & ~text.noise_part(c["inner"], "claude") & (c["key"] != ""))
-    user, assistant = _has(good, (1,), "user"), _has(good, (1,), "assistant")
-    asked = lambda c: (c["stage"] == 1) | ((c["stage"] == 2) & ~assistant) | ((c["stage"] == 3) & F.when(c["role"] == "user", ~user).otherwise(~assistant))
-    first = F.filter(good, asked)
-    return F.when(F.size(first) > 0, first).otherwise(F.filter(good, lambda c: c["stage"] == 4))
+    clean = lambda c: ~c["walled"] & ~text.noise_part(c["whole"], "claude") & ~text.noise_part(c["inner"], "claude") & (c["key"] != "")
+    has = lambda good: F.struct(_has(good, (1,), "user").alias("user"), _has(good, (1,), "assistant").alias("assistant"))
+    asked = lambda c, has: (c["stage"] == 1) | ((c["stage"] == 2) & ~has["assistant"]) | ((c["stage"] == 3) & F.when(c["role"] == "user", ~has["user"]).otherwise(~has["assistant"]))
+    bare = lambda good: F.filter(good, lambda c: c["stage"] == 4)
+    first = lambda good: text.let(has(good), lambda has: F.filter(good, lambda c: asked(c, has)))
+    return text.let(F.filter(candidates, clean), lambda good: text.let(first(good), lambda found: F.when(F.size(found) > 0, found).otherwise(bare(good))))
 
 
 def near_keys(one: Column, two: Column, least: int = 40) -> Column:
@@ -113,10 +114,10 @@ def folded(candidates: Column) -> Column:
         return (kept["role"] == new["role"]) & (near_keys(kept["key"], new["key"]) | nested)
 
     def step(kept: Column, new: Column) -> Column:
-        at = F.array_position(F.transform(kept, lambda k: like(k, new)), True)
         cleaner = lambda k: (F.length(new["text"]) > 0) & (F.length(new["text"]) <= F.length(k["text"])) & _holds(k, new)
-        instead = F.transform(kept, lambda k, i: F.when((i + 1 == at) & cleaner(k), new.withField("nid", k["nid"])).otherwise(k))
-        return F.when(at == 0, F.concat(kept, F.array(new))).otherwise(instead)
+        instead = lambda at: F.transform(kept, lambda k, i: F.when((i + 1 == at) & cleaner(k), new.withField("nid", k["nid"])).otherwise(k))
+        at = F.array_position(F.transform(kept, lambda k: like(k, new)), True)
+        return text.let(at, lambda at: F.when(at == 0, F.concat(kept, F.array(new))).otherwise(instead(at)))
 
     return F.aggregate(candidates, F.filter(candidates, lambda c: F.lit(False)), step)
 
@@ -130,8 +131,8 @@ def in_order(survivors: Column) -> Column:
 
 def parse_pages(pages: DataFrame) -> DataFrame:
     """Claude pages to ``page_id, provider, url, titles, dates, messages``, the rows of ``providers.parse_pages``."""
-    found = with_candidates(pages).withColumn("gated", gated(F.col("candidates"))).withColumn("kept", folded(F.col("gated")))
-    return found.select("page_id", "provider", "url", "titles", "dates", in_order(F.col("kept")).alias("messages"))
+    found = text.let(text.let(gated(F.col("candidates")), folded), in_order)
+    return with_candidates(pages).select("page_id", "provider", "url", "titles", "dates", found.alias("messages"))
 
 
 def near_duplicate_survivors(pairs: DataFrame, rows: DataFrame, scope: list[str], ident: str, key: str) -> DataFrame:
