@@ -4,9 +4,10 @@ import random
 import time
 import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from turnloom.functions import text
+from turnloom.functions import batches, text
 from turnloom.operators import candidates, messages, providers
 
 
@@ -54,3 +55,9 @@ def test_candidates_of_a_long_page(spark):
     want = providers.parse_pages(pages, "claude").first()
     assert len(got.messages) == 120 and [(m.role, m.text) for m in got.messages] == [(m.role, m.text) for m in want.messages]
     assert took < 20
+
+
+def test_slices_of_batches():
+    batch = pa.RecordBatch.from_pydict({"a": list(range(100))})
+    parts = list(batches.sliced(iter([batch, batch.slice(0, 0)])))
+    assert max(p.num_rows for p in parts) <= batches.ROWS and sum((p.column("a").to_pylist() for p in parts), []) == list(range(100))

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.functions import text
+from turnloom.functions.batches import sliced
 from turnloom.functions.dom import Node, body, parse
 from turnloom.functions.sanitize import message, remove_noise
 from turnloom.operators import providers
@@ -64,7 +65,7 @@ def with_candidates(pages: DataFrame) -> DataFrame:
     texts = pa.list_(pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for html, url in zip(batch.column("html").to_pylist(), batch.column("url").to_pylist()):
                 document = parse(html)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from turnloom.functions import rules, text
+from turnloom.functions.batches import sliced
 from turnloom.functions.dom import Node, parse, parse_fragment
 from turnloom.functions.sanitize import remove_noise
 from turnloom.operators.messages import first_wins
@@ -43,7 +44,7 @@ def page_turns(pages: DataFrame) -> DataFrame:
     """The turns with text of pages (page_id, html), in their order, cleaned, with what they are known by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found, at = [], []
             for i, html in enumerate(batch.column("html").to_pylist()):
                 turns = [(n, t) for n in parse(html).all(rules.TURN_NODES) if (t := n.text())]
@@ -65,7 +66,7 @@ def page_heads(pages: DataFrame) -> DataFrame:
         return "" if node is None else node.get(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
                 tree = parse(html)

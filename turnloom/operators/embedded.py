@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from turnloom.functions import rules, text
+from turnloom.functions.batches import sliced
 from turnloom.functions.dom import SPACES, parse
 from turnloom.operators import providers
 from turnloom.operators.messages import first_wins
@@ -32,7 +33,7 @@ def page_scripts(pages: DataFrame) -> DataFrame:
     """``page_id, script, type, value``: the scripts with text of pages (page_id, html), in their order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [(i, k, s.get("type"), s.raw_text()) for i, html in enumerate(batch.column("html").to_pylist()) for k, s in enumerate(parse(html).all("script"))]
             at, number, kinds, values = zip(*found) if found else ((), (), (), ())
             columns = [batch.column("page_id").take(pa.array(at, pa.int64())), pa.array(number, pa.int32()), pa.array(kinds, pa.string()), pa.array(values, pa.string())]

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnloom.functions import rules, text
+from turnloom.functions.batches import sliced
 from turnloom.functions.dom import Node, parse, parse_selector
 
 NODES = "page_id long, nid int, parent int, last int, tag string, attrs map<string,string>"
@@ -41,7 +42,7 @@ def node_table(pages: DataFrame) -> DataFrame:
     kind = pa.schema([("page_id", pa.int64()), ("nid", pa.int32()), ("parent", pa.int32()), ("last", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             for page_id, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist()):
                 nodes, place, last = numbered(parse(html))
                 yield pa.RecordBatch.from_arrays(
