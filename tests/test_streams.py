@@ -141,3 +141,14 @@ def test_a_batch_that_fails_halfway_comes_again(spark, tmp_path):
     start()
     good, bad = tables.read_batches(spark, str(tmp_path))
     assert sorted(r.page_id for r in good.collect()) == [i for i in range(12) if i % 3] and sorted(r.page_id for r in bad.collect()) == [0, 3, 6, 9]
+
+
+def test_batches_of_many_files(spark, tmp_path, monkeypatch):
+    """A micro-batch of pages is read by many tasks, not as a single file by one."""
+    monkeypatch.setattr(streams, "_folder", lambda spark, kind: str(tmp_path / kind))
+    pages = spark.range(300).selectExpr("id AS page_id", "CAST(NULL AS STRING) AS url", "concat('text ', id) AS html")
+    made = lambda b: b.selectExpr("page_id", "url", "array(named_struct('role', 'user', 'text', html)) AS messages", "CASE WHEN page_id % 3 = 0 THEN 'bad' END AS error")
+    good, bad = streams.stored_batches(spark, pages, made)
+    assert (good.select("page_id").distinct().count(), bad.select("page_id").distinct().count()) == (200, 100) and good.count() + bad.count() == 300
+    assert len(list((tmp_path / "batches" / "in").glob("*.parquet"))) == 3 * spark.sparkContext.defaultParallelism
+    assert len(list((tmp_path / "batches" / "good").glob("batch=*"))) == 3

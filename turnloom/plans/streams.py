@@ -81,10 +81,12 @@ def scroll_stops(spark: SparkSession, polls: DataFrame, parts: int = 3) -> DataF
 
 
 def stored_batches(spark: SparkSession, pages: DataFrame, made: Callable[[DataFrame], DataFrame], parts: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Good and quarantined conversations of pages that come as a stream, in so many micro-batches at least."""
+    """Good and quarantined conversations of pages that come as a stream, in so many micro-batches (fewer of a few pages)."""
     path = _folder(spark, "batches")
-    pages.repartition(parts, F.xxhash64("page_id")).write.parquet(f"{path}/in")
-    stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    # a batch has many files, and so many tasks: one file a batch would have one task read it
+    cores = spark.sparkContext.defaultParallelism
+    pages.repartition(parts * cores, F.xxhash64("page_id")).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", cores).parquet(f"{path}/in")
     running = stream.writeStream.foreachBatch(tables.batch_writer(made, path)).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
     running.awaitTermination()
     return tables.read_batches(spark, path)
