@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,3 +153,26 @@ def test_batches_of_many_files(spark, tmp_path, monkeypatch):
     assert (good.select("page_id").distinct().count(), bad.select("page_id").distinct().count()) == (200, 100) and good.count() + bad.count() == 300
     assert len(list((tmp_path / "batches" / "in").glob("*.parquet"))) == 3 * spark.sparkContext.defaultParallelism
     assert len(list((tmp_path / "batches" / "good").glob("batch=*"))) == 3
+
+
+def test_scrolling_asks_the_state_once_for_many_polls():
+    """However many polls of a page come together, its state is read and written once."""
+    calls = []
+
+    class State:
+        def __init__(self, *schema):
+            self.value = None
+
+        def __getattr__(self, name):
+            calls.append(name)
+            return {"exists": lambda: self.value is not None, "get": lambda: self.value, "update": lambda v: setattr(self, "value", v), "containsKey": lambda k: False, "keys": lambda: iter(())}.get(name, lambda *a: None)
+
+    class Handle:
+        getValueState = getMapState = State
+        registerTimer = deleteTimer = lambda self, at: None
+
+    page = captures._Scroll(72, 3, 8, 60_000)
+    page.init(Handle())
+    polls = pd.DataFrame({"step": range(50), "top": range(50), "bottom": [900] * 50, "keys": [[f"k{i}"] for i in range(50)], "ms": range(50)})
+    assert list(page.handleInputRows(("1",), iter([polls]), None)) == []
+    assert len(calls) <= 3

@@ -87,15 +87,16 @@ class _Scroll(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        #: The last step folded (-1: none), its place, how many polls in a row brought nothing, turns, the timer.
-        self.at = handle.getValueState("at", "step long, top long, still long, turns long, latest long, done boolean")
-        self.turns = handle.getMapState("turns", "key string", "seen boolean")
-        self.waiting = handle.getMapState("waiting", "step long", "top long, bottom long, keys array<string>")
+        #: The last step folded (-1: none), its place, how many polls in a row brought nothing, the timer; the
+        #: polls that wait, of ``steps`` steps at most, and the keys seen. One value: each call of the state
+        #: costs a message to it, so a page is read and written once for all polls that come together.
+        polls = "array<struct<step:long,top:long,bottom:long,keys:array<string>>>"
+        self.at = handle.getValueState("at", f"step long, top long, still long, latest long, done boolean, waiting {polls}, seen array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         if pd.isna(key[0]):
             return
-        step, top, still, turns, latest, done = self.at.get() if self.at.exists() else (-1, -1, 0, 0, None, False)
+        step, top, still, latest, done, waiting, seen = self._load()
         before = latest
         for batch in rows:
             batch = batch.dropna(subset=["step", "top", "bottom", "ms"])
@@ -105,48 +106,48 @@ class _Scroll(StatefulProcessor):
             latest = newest if latest is None else max(latest, newest)
             batch = batch[(batch["step"] > step) & (batch["step"] <= self.steps) & (not done)].sort_values(["step", "top", "bottom"])
             for at, *place, keys in zip(batch["step"], batch["top"], batch["bottom"], batch["keys"]):
-                if not self.waiting.containsKey((int(at),)):
-                    self.waiting.updateValue((int(at),), (*map(int, place), [k for k in (() if keys is None else keys) if k is not None]))
+                waiting.setdefault(int(at), (*map(int, place), [k for k in (() if keys is None else keys) if k is not None]))
         if latest is None:
             return
         if latest != before:
             if before is not None:
                 self.handle.deleteTimer(before + self.idle_ms)
             self.handle.registerTimer(latest + self.idle_ms)
-        step, top, still, turns, why = (step, top, still, turns, None) if done else self._fold(step, top, still, turns, gaps=False)
-        self.at.update((step, top, still, turns, latest, done or why is not None))
+        step, top, still, why = (step, top, still, None) if done else self._fold(step, top, still, waiting, seen, gaps=False)
         if why:
-            self.turns.clear()
-            self.waiting.clear()
-            yield self._row(key, step, turns, why)
+            yield self._row(key, step, len(seen), why)
+            waiting, seen = {}, {}
+        self.at.update((step, top, still, latest, done or why is not None, [(at, *poll) for at, poll in waiting.items()], list(seen)))
 
-    def _fold(self, step: int, top: int, still: int, turns: int, gaps: bool) -> tuple:
+    def _load(self) -> tuple:
+        if not self.at.exists():
+            return -1, -1, 0, None, False, {}, {}
+        *known, waiting, seen = self.at.get()
+        return *known, {p[0]: (p[1], p[2], list(p[3])) for p in waiting}, dict.fromkeys(seen)
+
+    def _fold(self, step: int, top: int, still: int, waiting: dict, seen: dict, gaps: bool) -> tuple:
         why = None
-        for at in sorted(k[0] for k in self.waiting.keys()):
+        for at in sorted(waiting):
             if why or (at != step + 1 and not gaps):
                 break
-            here, bottom, keys = self.waiting.getValue((at,))
-            new = [k for k in dict.fromkeys(keys) if not self.turns.containsKey((k,))]
-            for k in new:
-                self.turns.updateValue((k,), (True,))
+            here, bottom, keys = waiting.pop(at)
+            new = [k for k in keys if k not in seen]
+            seen.update(dict.fromkeys(new))
             # the first poll looks before anything has moved
             still = still + 1 if step >= 0 and not new and (here >= bottom - self.slack or here == top) else 0
-            step, top, turns = at, here, turns + len(new)
-            self.waiting.removeKey((at,))
+            step, top = at, here
             why = "still" if still >= self.still else "steps" if step >= self.steps else None
-        return step, top, still, turns, why
+        return step, top, still, why
 
     def _row(self, key, step: int, turns: int, why: str) -> pd.DataFrame:
         return pd.DataFrame({"page_id": [int(key[0])], "n_steps": [step], "n_turns": [turns], "stopped": [why]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        step, top, still, turns, _, done = self.at.get()
+        step, top, still, _, done, waiting, seen = self._load()
         if not done:
-            step, top, still, turns, why = self._fold(step, top, still, turns, gaps=True)
+            step, top, still, why = self._fold(step, top, still, waiting, seen, gaps=True)
             if step >= 0:
-                yield self._row(key, step, turns, why or "idle")
-        self.turns.clear()
-        self.waiting.clear()
+                yield self._row(key, step, len(seen), why or "idle")
         self.at.clear()
 
     def close(self) -> None:
