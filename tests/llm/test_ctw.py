@@ -3,10 +3,14 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from turnloom.llm import ctw
@@ -153,3 +157,21 @@ def test_probabilities_sum_to_one():
 def test_ln_gamma():
     x = np.array([0.5, 1.0, 2.5, 10.0, 1e6])
     assert np.allclose(ctw.ln_gamma(x), [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-12)
+
+
+def test_sums_of_a_slice_are_bounded_by_its_runs(monkeypatch):
+    """What a slice is worked on with grows with its distinct runs, not with its length."""
+    monkeypatch.setattr(ctw, "CHUNK", 1 << 16)
+    monkeypatch.setattr(ctw, "TOGETHER", 1 << 13)
+    monkeypatch.setattr(ctw, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rng = np.random.default_rng(5)
+    texts = [rng.choice(np.frombuffer(b"abcd ", np.uint8), 1 << 16).tobytes().decode() for _ in range(64)]
+    rows = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(64), pa.int64()), "held_out": [i % 4 == 0 for i in range(64)], "text": texts})
+    packed = list(ctw._sliced(iter([rows])))
+    tracemalloc.start()
+    found = [(b.num_rows, int(pc.sum(b.column("n")).as_py())) for b in ctw._asked(iter(packed)) if b.column("key2")[0].as_py() == ctw.RUN]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(n for _, n in found) == 48 * ((1 << 16) + 1)
+    assert max(n for n, _ in found) <= 1 << 13
+    assert peak < 24 << 20

@@ -31,12 +31,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import Texts, column, cut, cut_at, delete, slices
+from turnloom.llm.common import Texts, column, cut, cut_at, delete, ragged, slices
 
 #: Bytes of context, and of the contexts whose subtrees a task holds whole.
 DEPTH, ROOT = 5, 2
 #: Bytes of text in a slice, bytes worked on at a time, and runs that a task works on together, about.
-SLICE, CHUNK, TOGETHER = 1 << 25, 1 << 20, 1 << 18
+SLICE, CHUNK, TOGETHER = 1 << 25, 1 << 19, 1 << 18
 #: Stands before and after every text; no UTF-8 has it.
 MARK = 0xFF
 #: Second key of runs; words have one of 0 or more.
@@ -62,14 +62,17 @@ def runs_of(texts: Texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for at in range(DEPTH, len(data), CHUNK):
         # places in this part, of bytes or of the first mark after a text
         to = min(at + CHUNK, len(data))
-        text = np.searchsorted(first, np.arange(at, to), "right") - 1
-        place = np.arange(at, to)
-        some = place <= first[text] + lengths[text]
-        key = np.zeros(to - at, np.uint64)
-        for back in range(1, DEPTH + 1):
-            key = key << np.uint64(8) | data[at - back : to - back]
-        key = key << np.uint64(8) | data[at:to]
-        yield text[some], key[some].view(np.int64)
+        a, b = int(np.searchsorted(first, at, "right")) - 1, int(np.searchsorted(first, to))
+        start, end = np.maximum(first[a:b], at), np.minimum(first[a:b] + lengths[a:b] + 1, to)
+        count = np.maximum(end - start, 0)
+        some = ragged(start - at, count)
+        key = data[at - 1 : to - 1].astype(np.uint64)
+        for back in range(2, DEPTH + 1):
+            key <<= np.uint64(8)
+            key |= data[at - back : to - back]
+        key <<= np.uint64(8)
+        key |= data[at:to]
+        yield np.repeat(np.arange(a, b), count), key[some].view(np.int64)
 
 
 def words_of(texts: Texts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -79,28 +82,27 @@ def words_of(texts: Texts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]
         yield np.repeat(np.arange(len(piece)) + first, np.diff(piece.first)), piece.hashes.view(np.int64), (piece.more[0] >> np.uint64(33)).astype(np.int32)
 
 
-def _packed(batches: list[pa.RecordBatch]) -> bytes:
-    out = pa.BufferOutputStream()
-    with pa.ipc.new_stream(out, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
-        for batch in batches:
-            stream.write_batch(batch)
-    return out.getvalue().to_pybytes()
-
-
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows packed into slices, one row each: a new one begins with the part that would overfill the last."""
-    number, size, held = TaskContext.get().partitionId() << 32, 0, []
+    """Rows packed into slices, one row each: a new one begins with the part that would overfill the last.
+    A part is packed as it comes, so that no slice is held as it was read."""
+    number, size, out = TaskContext.get().partitionId() << 32, 0, None
 
     def slice_() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"slice": pa.array([number], pa.int64()), "rows": pa.array([_packed(held)], pa.large_binary())})
+        stream.close()
+        packed = out.getvalue()
+        ends = pa.py_buffer(np.array([0, packed.size], np.int64))
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.LargeBinaryArray.from_buffers(pa.large_binary(), 1, [None, ends, packed])], names=["slice", "rows"])
 
     for part, texts in slices(batches):
-        if held and size + len(texts.data) > SLICE:
+        if out and size + len(texts.data) > SLICE:
             yield slice_()
-            number, size, held = number + 1, 0, []
-        held.append(part)
+            number, size, out = number + 1, 0, None
+        if not out:
+            out = pa.BufferOutputStream()
+            stream = pa.ipc.new_stream(out, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+        stream.write_batch(part)
         size += len(texts.data) + len(texts)
-    if held:
+    if out:
         yield slice_()
 
 
@@ -112,8 +114,10 @@ def _rows_of(blobs: pa.Array) -> Iterator[tuple[pa.RecordBatch, Texts]]:
 
 
 def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """Parts of (key1, key2, n), or of (key1, n), as one: distinct keys in order, and the sums of n."""
+    """Parts of (key1, key2, n), or of (key1, n), as one: distinct keys in order, and the sums of n. The
+    list is emptied."""
     *keys, n = (np.concatenate([p[k] for p in parts]) for k in range(len(parts[0])))
+    parts.clear()
     order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0])
     keys = [k[order] for k in keys]
     new = np.zeros(len(n), bool)
@@ -125,20 +129,28 @@ def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
 
 
 class _Sums:
-    """Sums by key, of parts that are put together as they fill up."""
+    """Sums by key, of parts that are put together as they fill up, so that what is held is bounded by the
+    distinct keys and not by how often they came."""
 
     def __init__(self, keys: int):
-        self.parts, self.fresh, self.rows = [(np.zeros(0, np.int64),) * (keys + 1)], [], 0
+        self.whole, self.fresh, self.rows = (np.zeros(0, np.int64),) * (keys + 1), [], 0
 
     def add(self, *part: np.ndarray) -> None:
         self.fresh.append(part)
         self.rows += len(part[0])
-        if self.rows > 2 * TOGETHER:
-            self.parts.append(_summed(self.fresh))
-            self.fresh, self.rows = [], 0
+        if self.rows > max(2 * TOGETHER, len(self.whole[0]) // 2):
+            self._together()
+
+    def _together(self) -> None:
+        parts, self.whole, self.fresh, self.rows = [self.whole, *self.fresh], (), [], 0
+        self.whole = _summed(parts)
 
-    def done(self) -> tuple[np.ndarray, ...]:
-        return _summed(self.parts + self.fresh)
+    def done(self) -> Iterator[tuple[np.ndarray, ...]]:
+        """The sums, in order and in parts of bounded size."""
+        self._together()
+        whole, self.whole = self.whole, ()
+        for at in range(0, len(whole[0]), TOGETHER):
+            yield tuple(column[at : at + TOGETHER] for column in whole)
 
 
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,11 +165,9 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     runs.add(key, np.bincount(code, train[text], len(key)).astype(np.int64))
                 for text, key1, key2 in words_of(texts):
                     words.add(*_summed([(key1, key2, train[text].astype(np.int64))]))
-            run, n = runs.done()
-            if len(run):
+            for run, n in runs.done():
                 yield pa.RecordBatch.from_pydict({"slice": pa.array(np.full(len(run), number)), "key1": pa.array(run), "key2": pa.array(np.full(len(run), RUN, np.int32)), "n": pa.array(n)})
-            key1, key2, n = words.done()
-            if len(key1):
+            for key1, key2, n in words.done():
                 yield pa.RecordBatch.from_pydict({"slice": pa.array(np.full(len(key1), number)), "key1": pa.array(key1), "key2": pa.array(key2.astype(np.int32)), "n": pa.array(n)})
 
 
