@@ -55,3 +55,11 @@ def test_rows_of_files_and_of_other_tables(spark, tmp_path):
         assert len(numbers) == len(set(numbers)) == n
     got = exact.exact_dedup(scan.select("doc_id", "text", F.explode("k")))
     assert got.count() == 60 and got.filter("kept").count() == 1
+
+
+def test_levels_meet_in_one_table(spark):
+    """What follows the last level reads one table: plans, and so the driver's memory, do not grow by levels."""
+    df = spark.createDataFrame([(i, "abcd" * (1 + i % 9)) for i in range(36)], "doc_id long, text string")
+    found = exact.exact_dedup(df, block_bytes=4)
+    assert len({f.rsplit("/", 1)[0] for f in found.inputFiles()}) == 1
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in found.collect()} == {(i, 27 + i % 9, 4) for i in range(36)}

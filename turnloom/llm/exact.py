@@ -82,6 +82,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     texts = done[0]
     for more in done[1:]:
         texts = texts.unionByName(more)
+    # one table, not all levels' in each of the plans that follow, which the driver goes through stage by stage
+    texts = cut(texts) if level else texts
     groups = texts.groupBy("level", "name").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("group_size"))
     # groups above the limit are at most HOT_SHARE, so their rows stay where they are
     hot = F.broadcast(groups.filter(F.col("group_size") > hot_rows))

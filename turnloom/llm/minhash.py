@@ -168,7 +168,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
     pairs = pairs.filter(estimate("bits_a", "bits_b") >= LEAST_ESTIMATE).select("a", "b")
     links = cut(_confirmed(pairs, sets))
     parts = cut(components(links))
-    parts = cut(merged(parts, _rest(members, parts, sets, first.select("node", "bands"))))
+    parts = cut(merged(parts, cut(_rest(members, parts, sets, first.select("node", "bands")))))
     placed = some.join(nodes, key).select("row", "doc_id", "n_shingles", "node").join(parts, "node", "left")
     placed = placed.withColumn("component", F.coalesce("component", "node")).select("row", "doc_id", "n_shingles", "component")
     alone = features.filter("n_shingles = 0").select("row", "doc_id", "n_shingles", F.col("row").alias("component"))
@@ -229,7 +229,7 @@ def _rest(members: DataFrame, parts: DataFrame, sets: DataFrame, bands: DataFram
     small = now.filter((F.col("n") <= LARGE) & (F.col("node") != F.col("pivot")))
     new = (F.col("part_a") != F.col("part_b")) & (~F.col("minor_b") | (F.col("a") < F.col("b")))
     pairs = side(small.filter("minor"), "a").join(side(small, "b"), "bucket").filter(new & (estimate("bits_a", "bits_b") >= LEAST_ESTIMATE))
-    few = _confirmed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets)
+    few = cut(_confirmed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets))
 
     large = now.filter(F.col("n") > LARGE).join(sets, "node").join(bands, "node")
     blocks = lambda n: F.ceil(F.col(n) / F.lit(TILE)).cast("int")
