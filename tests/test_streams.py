@@ -1,6 +1,7 @@
 """The capture streams: turns and polls in any order over several micro-batches, and state that ends."""
 
 import random
+import time
 
 import pandas as pd
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from turnloom.plans import streams
 from turnloom.sources import tables
-from turnloom.streaming import captures
+from turnloom.streaming import captures, turns
 
 POLLS = "page_id long, key string, pos long, html string, ts long"
 
@@ -176,3 +177,33 @@ def test_scrolling_asks_the_state_once_for_many_polls():
     polls = pd.DataFrame({"step": range(50), "top": range(50), "bottom": [900] * 50, "keys": [[f"k{i}"] for i in range(50)], "ms": range(50)})
     assert list(page.handleInputRows(("1",), iter([polls]), None)) == []
     assert len(calls) <= 3
+
+
+def test_first_captures_over_batches(spark, tmp_path):
+    """A key is taken by what came first, and free again once the watermark has left it behind; of one batch
+    the first in order counts, and null is a key."""
+    schema = "id long, a long, b string, ts timestamp"
+    batches = [
+        [(3, 1, "x", 100), (2, 1, "x", 100), (4, 1, None, 50), (5, None, "null", 70), (6, None, None, 71)],
+        [(1, 1, "x", 90), (7, 1, "y", 20_000), (8, 1, None, 100)],
+        [(9, 2, "z", 30_000)],
+        [(10, 1, "x", 31_000), (11, 1, "y", 31_000), (12, 1, "y", 30_900)],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, "id long, a long, b string, ts long").withColumn("ts", F.timestamp_seconds("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        found = turns.first_captures(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), ["a", "b"], "ts", ["ts", "id"], keep_minutes=60)
+        found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema(schema).parquet(str(tmp_path / "out"))
+    assert sorted(r.id for r in got.collect()) == [2, 4, 5, 6, 7, 9, 10, 12]
+
+
+def test_first_captures_of_many_keys(spark, tmp_path):
+    """A key does not cost a call of its own."""
+    spark.range(40_000).select("id", (F.col("id") % 20_000).alias("a"), F.timestamp_seconds(F.col("id") + 10**6).alias("ts")).write.parquet(str(tmp_path / "in"))
+    began = time.monotonic()
+    found = turns.first_captures(spark.readStream.schema("id long, a long, ts timestamp").parquet(str(tmp_path / "in")), ["a"], "ts", ["ts"])
+    found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
+    took = time.monotonic() - began
+    got = spark.read.schema("id long, a long, ts timestamp").parquet(str(tmp_path / "out"))
+    assert got.count() == 20_000 and got.filter("id <> a").count() == 0
+    assert took < 25

@@ -12,26 +12,41 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 ADMITTED = "client string, id long, admitted boolean"
 
 
+#: Keys are dealt over so many groups of a first-capture stream. Its state is by group, so a stream keeps the number.
+GROUPS = 1024
+
+
 def _first(order: list[str], keep_ms: int):
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        if not state.exists:
+    def run(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = dict(zip(*state.get)) if state.exists else {}
+        now, came = state.getCurrentWatermarkMs(), {}
+        if not state.hasTimedOut:
             # of what comes in together the first in order; later batches find the key taken
-            rows = pd.concat(list(batches), ignore_index=True)
-            yield rows.sort_values(order).head(1)
-            state.update((True,))
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + keep_ms)
+            first = None
+            for rows in batches:
+                first = (rows if first is None else pd.concat([first, rows], ignore_index=True)).sort_values(order).drop_duplicates("_key")
+            came = dict.fromkeys(first["_key"], now + keep_ms)
+            new = first[~first["_key"].isin(list(held))]
+            if len(new):
+                yield new.drop(columns=["_key", "_group"])
+        held = {key: until for key, until in held.items() if until >= now} | came
+        if held:
+            state.update((list(held), list(held.values())))
+            state.setTimeoutTimestamp(max(now + 1, min(held.values())))
+        else:
+            state.remove()
 
     return run
 
 
 def first_captures(turns: DataFrame, keys: list[str], ts: str, order: list[str], delay: str = "10 minutes", keep_minutes: int = 60) -> DataFrame:
     """The first of turns with equal keys, on a stream. Within a micro-batch turns count in the given
-    order, across batches as they arrive; a key is forgotten once the watermark has gone so far past it."""
+    order, across batches as they arrive; a key is forgotten once the watermark has gone so far past it.
+    Many keys share a call and a state, as a call costs some milliseconds whatever it is given."""
     timed = turns.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
-    return timed.groupBy(*keys).applyInPandasWithState(_first(order, keep_minutes * 60_000), timed.schema, "taken boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    key = F.to_json(F.array(*(F.col(k).cast("string") for k in keys)))
+    dealt = timed.withColumn("_key", key).withColumn("_group", F.pmod(F.xxhash64("_key"), F.lit(GROUPS)))
+    return dealt.groupBy("_group").applyInPandasWithState(_first(order, keep_minutes * 60_000), timed.schema, "keys array<string>, until array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def counts(requests: DataFrame, client: str, ts: str, window: str = "15 minutes", delay: str = "1 hour") -> DataFrame:
