@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import pytest
 
@@ -86,3 +87,19 @@ def test_no_rows(spark):
     empty = spark.createDataFrame([], embedded._SCRIPTS)
     assert embedded.json_messages(empty).count() == 0
     assert embedded.page_scripts(spark.createDataFrame([(1, None), (None, "<script>1</script>")], "page_id long, html string")).count() == 1
+
+
+def test_walk_reads_a_script_once(spark):
+    """Depth costs nothing: a text 17 lists deep is not read anew at each of them. Halves of surrogate pairs
+    become signs that UTF-8 has, and what is nested too deep to be read has no rows."""
+    size = min(rules.MAX_SCRIPT, rules.MAX_TEXT) - 1_000
+    value = json.dumps({"a": nested({"role": "user", "text": "x" * size}, 17), "b": {"role": "user", "text": "y"}})
+    odd = [(-1, 0, "", '{"role":"user","text":"a\\ud83d"}'), (-2, 0, "", "[" * 100_000 + "]" * 100_000), (-3, 0, "", json.dumps({"role": "user", "text": "z"}))]
+    count = 1 + 30_000_000 // size
+    df = spark.createDataFrame(odd, embedded._SCRIPTS).union(spark.range(count).crossJoin(spark.createDataFrame([(value,)], "v string")).selectExpr("id", "0", "''", "v"))
+    began = time.monotonic()
+    got = sorted(tuple(r) for r in embedded.walk(df).selectExpr("page_id", "path", "length(text)", "right(text, 1)").collect())
+    took = time.monotonic() - began
+    assert got[:2] == [(-3, [], 1, "z"), (-1, [], 2, "?")]
+    assert got[2:] == [row for i in range(count) for row in ((i, [0] + [0] * 17, size, "x"), (i, [1], 1, "y"))]
+    assert took < 20

@@ -1,23 +1,17 @@
-"""Messages in JSON that pages carry in scripts, as rows: values are VARIANT, and the walk is a chain of
-expressions in the JVM over a script's objects and lists of one level, down to the deepest that counts. A
-level that holds none costs nothing, and rows are made of what was found alone. Nothing is shuffled before
-the messages of a page meet to drop repeats.
-
-VARIANT keeps keys sorted, while results follow the order in which scripts list them (integer keys first,
-ascending, then as written). So a level reads an object's text to a map, which keeps that order, and its
-values as VARIANT for their types.
+"""Messages in JSON that pages carry in scripts, as rows. A script's JSON is found by expressions, read once
+and walked outside in by a small helper, so the work is in proportion to its length, however deep it is
+nested. Nothing is shuffled before the messages of a page meet to drop repeats.
+
+Results follow the order in which scripts list keys: integer keys first, ascending, then as written.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from turnloom.functions import rules, text
 from turnloom.functions.batches import sliced
@@ -25,7 +19,6 @@ from turnloom.functions.dom import SPACES, parse
 from turnloom.operators import providers
 from turnloom.operators.messages import first_wins
 
-_KEYS = (*rules.ROLE_KEYS, "author", *rules.CONTENT_KEYS)
 _SCRIPTS = "page_id long, script int, type string, value string"
 
 
@@ -43,64 +36,29 @@ def page_scripts(pages: DataFrame) -> DataFrame:
 
 
 def json_texts(scripts: DataFrame) -> DataFrame:
-    """``page_id, script, at`` of scripts (page_id, script, type, value): a script's JSON text, all of it or
-    what stands between its first and last brace; null if it is longer than counts, or no JSON. A text is
-    JSON if it stays so as an array's only item and as an object's value: what follows a whole value would
-    break one of them.
-
-    Each step is a projection of its own and rows are not filtered: otherwise what is used twice, or tested
-    by a filter, would be read twice.
-    """
+    """``page_id, script, at`` of scripts (page_id, script, type, value): what may be a script's JSON text,
+    all of it or what stands between its first and last brace; null if it is longer than counts."""
     rows = scripts.select("page_id", "script", "type", F.btrim("value", F.lit(SPACES)).alias("whole"))
     all_of_it = (F.coalesce("type", F.lit("")) == "application/json") | F.col("whole").rlike(r"^[{\[]")
     counts = F.length("whole") <= rules.MAX_SCRIPT
-    rows = rows.select("page_id", "script", F.when(counts, F.when(all_of_it, F.col("whole")).otherwise(F.regexp_extract("whole", r"(?s)(\{.*\})", 1))).alias("found"))
-    rows = rows.select("page_id", "script", "found", F.try_parse_json(F.concat(F.lit("["), "found", F.lit("]"))).alias("item"))
-    value = F.try_parse_json(F.concat(F.lit('{"v":'), "found", F.lit("}")))
-    good = F.col("item").isNotNull() & F.try_variant_get("item", "$[1]", "variant").isNull() & value.isNotNull()
-    rows = rows.select("page_id", "script", "found", good.alias("good"))
-    return rows.select("page_id", "script", F.when(F.col("good"), F.col("found")).otherwise(_rewritten(F.when(~F.col("good") & F.col("found").rlike(r"^[{\[]"), F.col("found")))).alias("at"))
-
-
-@F.pandas_udf(StringType())
-def _rewritten(value: pd.Series) -> pd.Series:
-    """JSON that VARIANT refuses because an object repeats a key, with the last value of each; null for
-    what is no JSON."""
-    return value.map(lambda v: None if v is None or (found := providers._loads(v)) is None else json.dumps(found))
-
-
-#: What scripts take for true, as itself; anything else as null.
-_TRUTHY = """CASE WHEN CASE WHEN schema_of_variant({0}) = 'STRING' THEN try_variant_get({0}, '$', 'string') <> '' WHEN schema_of_variant({0}) = 'BOOLEAN' THEN try_variant_get({0}, '$', 'boolean')
-    WHEN schema_of_variant({0}) = 'VOID' THEN false WHEN schema_of_variant({0}) RLIKE '^(OBJECT|ARRAY)' THEN true ELSE coalesce(try_variant_get({0}, '$', 'double') <> 0, true) END THEN {0} END"""
-_ROLES = ", ".join(_TRUTHY.format(v) for v in (*rules.ROLE_KEYS, *(f"try_variant_get(author, '$.{k}', 'variant')" for k in rules.AUTHOR_KEYS)))
-_CONTENTS = ", ".join(f"CASE WHEN NOT is_variant_null({k}) THEN {k} END" for k in rules.CONTENT_KEYS)
-#: Whether a child is an object or a list: its text alone does not tell, a string may look like one.
-_NESTED = r"e -> CASE WHEN startswith(e.t, '[') THEN try_variant_get(e.v, '$', 'array<variant>') IS NOT NULL WHEN startswith(e.t, '{') THEN try_variant_get(e.v, '$', 'map<string,variant>') IS NOT NULL ELSE false END"
-_WHOLE = "CASE WHEN e.k RLIKE '^(0|[1-9][0-9]{0,9})$' AND CAST(e.k AS BIGINT) < 4294967295 THEN CAST(e.k AS BIGINT) ELSE 1099511627776 END"
-#: One level read: objects as a map of texts and one of values, lists likewise.
-_READ = """transform(level, e -> struct(e.path AS path, from_json(CASE WHEN startswith(e.t, '{') THEN e.t END, 'map<string,string>') AS o, from_json(CASE WHEN startswith(e.t, '{') THEN e.t END, 'map<string,variant>') AS ov,
-    from_json(CASE WHEN startswith(e.t, '[') THEN e.t END, 'array<string>') AS a, from_json(CASE WHEN startswith(e.t, '[') THEN e.t END, 'array<variant>') AS av))"""
-_ANY = lambda keys: f"coalesce({', '.join(f'e.ov[{k!r}]' for k in keys)}) IS NOT NULL"
-#: A level's objects that may be messages, after those of the levels above.
-_FOUND = f"""concat(found, transform(filter(opened, e -> e.ov IS NOT NULL AND {_ANY((*rules.ROLE_KEYS, "author"))} AND {_ANY(rules.CONTENT_KEYS)}),
-    e -> struct(e.path AS path, {", ".join(f"e.ov['{k}'] AS {k}" for k in _KEYS)})))"""
-#: The objects and lists in a level's, in the order that they are seen.
-_BELOW = f"""flatten(transform(opened, r -> transform(coalesce(
-    transform(array_sort(transform(filter(zip_with(map_entries(r.o), map_values(r.ov), (e, v) -> struct(e.key AS k, e.value AS t, v AS v)), {_NESTED}), (e, i) -> struct({_WHOLE} AS number, i AS i, e.t AS t))), e -> e.t),
-    transform(filter(zip_with(r.a, r.av, (t, v) -> struct(t AS t, v AS v)), {_NESTED}), e -> e.t), CAST(array() AS ARRAY<STRING>)),
-    (t, i) -> struct(concat(r.path, array(i)) AS path, t AS t))))"""
-
-
-@F.pandas_udf(StringType())
-def _structured(content: pd.Series) -> pd.Series:
-    """The text of lists and objects; strings never come here."""
-    return content.map(lambda c: None if c is None else providers.structured_text(json.loads(c)))
-
-
-@F.pandas_udf(StringType())
-def _joined(role: pd.Series) -> pd.Series:
-    """The strings in roles that are lists; other roles never come here."""
-    return role.map(lambda r: None if r is None else providers.said(json.loads(r)))
+    return rows.select("page_id", "script", F.when(counts, F.when(all_of_it, F.col("whole")).otherwise(F.regexp_extract("whole", r"(?s)(\{.*\})", 1))).alias("at"))
+
+
+_WALKED = "page_id long, script int, path array<int>, role string, text string"
+
+
+def _said(value: str) -> str:
+    """value without halves of surrogate pairs, which escapes in JSON may make and UTF-8 has not."""
+    return value.encode("utf-8", "replace").decode()
+
+
+def _found(at: str | None, depth: int) -> list[tuple[tuple[int, ...], str, str]]:
+    """Path, role and text of a JSON text's objects that have both; none if it is no JSON."""
+    try:
+        walked = providers.walk_paths(None if at is None else providers._loads(at), depth)
+        return [(path, _said(role), _said(providers.structured_text(content).replace("\0", ""))) for path, role, content in walked]
+    except RecursionError:
+        return []
 
 
 def _settled(rows: DataFrame, whole: int) -> DataFrame:
@@ -115,23 +73,20 @@ def walk(scripts: DataFrame, depth: int = rules.MAX_DEPTH) -> DataFrame:
     (page_id, script, type, value), to a depth of values. ``path`` sorts objects outside in, in the order
     that scripts list them. Roles and texts are as written, white space at a text's ends and NULs apart.
 
-    Scripts that are null, empty, too long, or no JSON have no rows; so have objects nested deeper, and
-    values nested over a thousand deep, which the JSON reader refuses.
+    Scripts that are null, empty, too long, or no JSON have no rows, nor have those with values nested
+    about a thousand deep; objects nested deeper than depth have none.
     """
-    fields = ", ".join(f"{k}: variant" for k in _KEYS)
-    rows = json_texts(scripts).selectExpr("page_id", "script", "array(struct(CAST(array() AS ARRAY<INT>) AS path, at AS t)) AS level", f"CAST(array() AS ARRAY<STRUCT<path: ARRAY<INT>, {fields}>>) AS found")
-    for _ in range(depth + 1):
-        rows = rows.selectExpr("page_id", "script", "found", f"{_READ} AS opened").selectExpr("page_id", "script", f"{_FOUND} AS found", f"{_BELOW} AS level")
-    # not of the column itself: a test of its size would be pushed down to the scan, with all levels in it
-    rows = rows.select("page_id", "script", F.explode(F.when(F.size("found") > 0, F.col("found"))).alias("n")).select("page_id", "script", "n.*")
-    rows = _settled(rows.selectExpr("page_id", "script", "path", f"coalesce({_ROLES}) AS role", f"coalesce({_CONTENTS}) AS content"), 2).filter("role is not null and content is not null")
-    kind = F.schema_of_variant("role")
-    said = F.when(kind == "STRING", F.try_variant_get("role", "$", "string")).otherwise(F.coalesce(_joined(F.when(kind.startswith("ARRAY"), F.to_json("role"))), F.lit("")))
-    kind = F.schema_of_variant("content")
-    nested = _structured(F.when(kind.rlike("^(OBJECT|ARRAY)"), F.to_json("content")))
-    value = F.when(kind == "STRING", F.try_variant_get("content", "$", "string")).otherwise(F.coalesce(nested, F.lit("")))
-    value = F.btrim(F.replace(value, F.lit("\0"), F.lit("")), F.lit(SPACES))
-    return rows.select("page_id", "script", "path", said.alias("role"), value.alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            found = [(i, *f) for i, at in enumerate(batch.column("at")) for f in _found(at.as_py(), depth)]
+            at, paths, roles, texts = zip(*found) if found else ((), (), (), ())
+            at = pa.array(at, pa.int64())
+            columns = [batch.column("page_id").take(at), batch.column("script").take(at), pa.array(map(list, paths), pa.list_(pa.int32())), pa.array(roles, pa.string()), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "script", "path", "role", "text"])
+
+    rows = json_texts(scripts).select(F.col("page_id").cast("long"), F.col("script").cast("int"), "at").mapInArrow(run, _WALKED)
+    return rows.withColumn("text", F.btrim("text", F.lit(SPACES)))
 
 
 def json_messages(scripts: DataFrame) -> DataFrame:
