@@ -63,3 +63,13 @@ def test_levels_meet_in_one_table(spark):
     found = exact.exact_dedup(df, block_bytes=4)
     assert len({f.rsplit("/", 1)[0] for f in found.inputFiles()}) == 1
     assert {(r.doc_id, r.keep_id, r.group_size) for r in found.collect()} == {(i, 27 + i % 9, 4) for i in range(36)}
+
+
+def test_long_texts_take_few_levels(spark, monkeypatch):
+    """A text of 200 blocks has its name after two levels, so that the driver has few plans and jobs to keep."""
+    written = []
+    monkeypatch.setattr(exact, "cut", lambda df, write=exact.cut: written.append(df) or write(df))
+    texts = ["ab" * 400, "ab" * 400 + "c", "ba" * 400, "ab" * 32, "ab" * 33, "ab"]
+    rows = [(i, texts[i % 6]) for i in range(30)]
+    assert run(spark, rows, block_bytes=4) == brute(rows)
+    assert len([df for df in written if "name" in df.columns]) <= 4

@@ -102,3 +102,29 @@ def test_further_links_join_components(spark):
     more = spark.createDataFrame([(2, 4), (9, 8), (6, 7)], "a long, b long")
     got = sorted(tuple(r) for r in merged(parts, more).collect())
     assert got == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 5), (7, 5), (8, 8), (9, 8)]
+
+
+def test_stars_take_one_round(spark, monkeypatch):
+    """Links that are components already are looked at once, and no links not at all; each table is counted as it is written."""
+    from turnloom.llm import components as module
+
+    written = []
+    monkeypatch.setattr(module, "cut", lambda df, write=module.cut: written.append(df) or write(df))
+    for links, tables in (([(1, 2), (1, 3), (4, 5)], 2), ([], 1)):
+        written.clear()
+        got = components(spark.createDataFrame(links, "a long, b long"))
+        assert len(written) == tables
+        assert all("CollectMetrics" in df._jdf.queryExecution().optimizedPlan().toString() for df in written)
+        assert dict(map(tuple, got.collect())) == {x: a for a, b in links for x in (a, b)}
+
+
+def test_what_no_bucket_needs_is_not_planned(spark, monkeypatch):
+    """Where the first links join all of a bucket, nothing is merged and no sets are dealt out to blocks."""
+    from turnloom.llm import minhash
+
+    calls = []
+    monkeypatch.setattr(minhash, "merged", lambda *a, f=minhash.merged: calls.append("merged") or f(*a))
+    text = " ".join(f"w{i}" for i in range(60))
+    got, kept = run(spark, [(i, f"{text} end{i}") for i in range(5)] + [(9, "quite another text of six words")])
+    assert [(i, c) for i, _, c in got] == [(i, 0) for i in range(5)] + [(9, 9)]
+    assert not calls

@@ -56,3 +56,11 @@ def test_targets_and_words_taken(spark, monkeypatch, limit):
 def test_empty_and_sizeless(spark):
     assert run(spark, []) == []
     assert run(spark, [(1, None, "a"), (2, "", None)]) == [(1, "a", 0, 0, 0.0, 0, 0), (2, None, 0, 0, 0.0, 0, 0)]
+
+
+def test_what_a_pass_joins_is_written_once(spark, monkeypatch):
+    """No plan of a pass holds its joins twice, for the edge and for the others."""
+    plans = []
+    monkeypatch.setattr(mixing, "cut", lambda df, write=mixing.cut: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df))
+    mixing.mix_sources(spark.createDataFrame([(i, "word " * (i % 7), "ab"[i % 2]) for i in range(60)], "doc_id long, text string, source string"))
+    assert max(p.count("Join ") for p in plans) <= 4

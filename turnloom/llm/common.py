@@ -105,9 +105,9 @@ def with_rows(df: DataFrame, name: str, columns: list | None = None) -> DataFram
     and on whatever cores the table is read.
 
     Rows of a Parquet table are known by their file and their place in it, so nothing is written: the
-    number is a hash of the file's path and the place, in as many bits as the longest file needs. One pass
-    over paths and places makes sure that no two files share a hash; of several salts the first that
-    tells them apart is taken, which one does up to some millions of files. Tables beyond that, and any
+    number is a hash of the file's path and the place, in as many bits as the longest file needs. A pass
+    over the places, and one over the paths for each salt tried, make sure that no two files share a hash;
+    of several salts the first that tells them apart is taken, which one does up to some millions of files. Tables beyond that, and any
     that is no plain scan, are numbered once and written.
     """
     columns = [named(c) for c in df.columns] if columns is None else columns
@@ -115,15 +115,13 @@ def with_rows(df: DataFrame, name: str, columns: list | None = None) -> DataFram
         path = F.col("_metadata.file_path")
         salted = lambda k: F.xxhash64(path, F.lit(k))
         try:
-            files = df.select(path.alias("_file"), F.col("_metadata.row_index").alias("_at"), *(salted(k).alias(f"_{k}") for k in range(SALTS)))
-            files = files.groupBy("_file", *(f"_{k}" for k in range(SALTS))).agg(F.max("_at").alias("_at"))
-            bits = files.agg(F.max("_at")).first()[0]
+            bits = df.agg(F.max("_metadata.row_index")).first()[0]
         except AnalysisException:  # files that do not number their rows
             bits = None
         if bits is not None:
             bits = max(1, int(bits).bit_length())
-            found = files.agg(F.count("*").alias("n"), *(F.countDistinct(F.shiftrightunsigned(f"_{k}", bits + 1)).alias(f"n{k}") for k in range(SALTS))).first()
-            salt = next((k for k in range(SALTS) if found[f"n{k}"] == found.n), None)
+            files = lambda k: df.select(path.alias("_file"), F.shiftrightunsigned(salted(k), bits + 1).alias("_hash")).distinct()
+            salt = next((k for k in range(SALTS) if files(k).groupBy("_hash").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] == 1), None)
             if salt is not None:
                 # one bit is left for the sign
                 number = F.shiftleft(F.shiftrightunsigned(salted(salt), bits + 1), bits) + F.col("_metadata.row_index")

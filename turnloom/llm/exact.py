@@ -1,8 +1,8 @@
 """Exact dedup by deterministic block naming, with DataFrame functions only.
 
 Every text is cut into blocks of a fixed number of bytes. Blocks are sorted and each distinct block
-gets an integer name; then names of adjacent blocks are paired, the pairs are sorted and named in
-turn, and so on until one name stands for the whole text. Names stand for whole values, never for
+gets an integer name; then names of up to 16 adjacent blocks make a run, the runs are sorted and named
+in turn, and so on until one name stands for the whole text. Names stand for whole values, never for
 hashes of them, so two texts have the same last name (at the same level) only if they are identical.
 
 Hashes only deal the work out: a block goes to the bucket of its hash, is sorted there, and is named
@@ -22,6 +22,9 @@ from turnloom.llm.common import column, cut, with_rows
 HOT_SHARE = 1000
 #: Values are dealt over so many buckets; a name is bucket << 44 plus the rank in it.
 BUCKETS = 1 << 16
+#: Names of 2 to this power adjacent values make a value of the next level. Every level is a few jobs, whose
+#: plans and tasks the driver keeps, so levels are to be few.
+RUN_BITS = 4
 
 
 def name_values(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
@@ -67,18 +70,18 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     blocks = rows.select("row", "doc_id", F.unhex(F.sha2("body", 256)).alias("sha"), width.alias("width"), F.posexplode(F.transform(F.sequence(F.lit(0), width - 1), block)).alias("pos", "block"))
     first = F.col("pos") == 0
     blocks = blocks.select("row", "pos", "width", F.when(first, F.col("doc_id")).alias("doc_id"), F.when(first, F.col("sha")).alias("sha"), "block")
-    level, done = 0, []
+    level, done, last, widest = 0, [], (1 << RUN_BITS) - 1, widest or 1
     named = cut(name_values(blocks, ["block"], hot_rows))
     while True:
         done.append(named.filter("width = 1").select(F.lit(level).alias("level"), "name", "row", "doc_id", "sha"))
-        widest = ((widest or 1) + 1) // 2 if level else (widest or 1)
         if widest <= 1:
             break
         level += 1
-        side = lambda odd: F.max(F.when(F.col("pos") % 2 == odd, F.col("name")))  # noqa: E731, B023
-        pairs = named.filter("width > 1").groupBy("row", F.shiftright("pos", 1).alias("pos")).agg(F.max("doc_id").alias("doc_id"), F.max("sha").alias("sha"), F.first("width").alias("width"), side(0).alias("left"), side(1).alias("right"))
-        pairs = cut(pairs.withColumn("width", F.shiftright(F.col("width") + 1, 1)))
-        named = cut(name_values(pairs, ["left", "right"], hot_rows))
+        widest = widest + last >> RUN_BITS
+        run = F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"])
+        runs = named.filter("width > 1").groupBy("row", F.shiftright("pos", RUN_BITS).alias("pos")).agg(F.max("doc_id").alias("doc_id"), F.max("sha").alias("sha"), F.first("width").alias("width"), run.alias("run"))
+        runs = cut(runs.withColumn("width", F.shiftright(F.col("width") + last, RUN_BITS)))
+        named = cut(name_values(runs, ["run"], hot_rows))
     texts = done[0]
     for more in done[1:]:
         texts = texts.unionByName(more)

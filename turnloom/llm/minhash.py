@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from turnloom.llm.common import Texts, column, cut, long_lists, mix, ragged, sequence_hashes, slices, with_rows
@@ -168,7 +168,8 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
     pairs = pairs.filter(estimate("bits_a", "bits_b") >= LEAST_ESTIMATE).select("a", "b")
     links = cut(_confirmed(pairs, sets))
     parts = cut(components(links))
-    parts = cut(merged(parts, cut(_rest(members, parts, sets, first.select("node", "bands")))))
+    rest = _rest(members, parts, sets, first.select("node", "bands"))
+    parts = parts if rest is None else cut(merged(parts, cut(rest)))
     placed = some.join(nodes, key).select("row", "doc_id", "n_shingles", "node").join(parts, "node", "left")
     placed = placed.withColumn("component", F.coalesce("component", "node")).select("row", "doc_id", "n_shingles", "component")
     alone = features.filter("n_shingles = 0").select("row", "doc_id", "n_shingles", F.col("row").alias("component"))
@@ -211,26 +212,37 @@ def _tile(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
 
-def _rest(members: DataFrame, parts: DataFrame, sets: DataFrame, bands: DataFrame) -> DataFrame:
-    """Links between members of a bucket that the first links leave in different components.
+def _rest(members: DataFrame, parts: DataFrame, sets: DataFrame, bands: DataFrame) -> DataFrame | None:
+    """Links between members of a bucket that the first links leave in different components; None where all
+    of a bucket are in one.
 
     The members outside a bucket's main component are held against all of it. Small buckets do so by a
     join. Large ones are cut into blocks, and a task compares two blocks: it makes a row for a link, and
-    none for the pairs that it looks at.
+    none for the pairs that it looks at. What no bucket needs is not planned: sets are not shuffled for it.
     """
     now = members.filter("n > 2").join(parts, "node", "left").select("bucket", "band", "node", "n", "pivot", "bits", F.coalesce("component", "node").alias("part"))
     sizes = now.groupBy("bucket", "part").agg(F.count("*").alias("n"))
     main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
     main = main.select("bucket", F.col("main.part").alias("main"), (F.col("n") - F.col("main.n")).alias("n_minor"))
-    now = cut(now.join(main, "bucket").withColumn("minor", F.col("part") != F.col("main")))
+    seen = Observation()
+    now = now.join(main, "bucket").withColumn("minor", F.col("part") != F.col("main"))
+    now = cut(now.observe(seen, F.count_if(F.col("n") <= LARGE).alias("small"), F.count_if(F.col("n") > LARGE).alias("large")))
+    found = [make(now, sets, bands) for size, make in (("small", _few), ("large", _many)) if seen.get[size]]
+    return found[0].unionByName(found[1]) if len(found) == 2 else found[0] if found else None
 
+
+def _few(now: DataFrame, sets: DataFrame, bands: DataFrame) -> DataFrame:
+    """The links of _rest in small buckets."""
     fields = ("part", "bits", "minor")
     side = lambda df, to: df.select("bucket", F.col("node").alias(to), *(F.col(c).alias(f"{c}_{to}") for c in fields))
     small = now.filter((F.col("n") <= LARGE) & (F.col("node") != F.col("pivot")))
     new = (F.col("part_a") != F.col("part_b")) & (~F.col("minor_b") | (F.col("a") < F.col("b")))
     pairs = side(small.filter("minor"), "a").join(side(small, "b"), "bucket").filter(new & (estimate("bits_a", "bits_b") >= LEAST_ESTIMATE))
-    few = cut(_confirmed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets))
+    return cut(_confirmed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets))
+
 
+def _many(now: DataFrame, sets: DataFrame, bands: DataFrame) -> DataFrame:
+    """The links of _rest in large buckets."""
     large = now.filter(F.col("n") > LARGE).join(sets, "node").join(bands, "node")
     blocks = lambda n: F.ceil(F.col(n) / F.lit(TILE)).cast("int")
     dealt = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
@@ -239,8 +251,7 @@ def _rest(members: DataFrame, parts: DataFrame, sets: DataFrame, bands: DataFram
     left = large.filter("minor").select("bucket", dealt("n_minor").alias("x"), each("n").alias("y"), *given)
     right = large.select(F.col("bucket").alias("bucket"), each("n_minor").alias("x"), dealt("n").alias("y"), *(F.col(c).alias(c) for c in given))
     key = ["bucket", "x", "y"]
-    many = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_tile, "a long, b long")
-    return few.unionByName(many)
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_tile, "a long, b long")
 
 
 SQL = r"""

@@ -88,8 +88,8 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         marked = marked.withColumn("can", can)
         edges = _edges(marked.filter("can"), gaps)
         marked = marked.join(per_source(edges), "place", "left")
-        if not few:  # else the window below would take the join's partitions, and with them whole sources
-            marked = cut(marked)
+        # written: what is read twice below has no joins, and the window does not take their partitions, with whole sources
+        marked = cut(marked)
         at_edge = F.col("can") & F.col("edge").isNotNull() & (F.col("bin") == F.col("edge.bin"))
         inside = F.sum("size").over(Window.partitionBy("place").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
         edge = marked.filter(at_edge).withColumn("more", F.col("edge.before") + inside <= F.col("gap"))
